@@ -131,7 +131,7 @@ def code_string(tokens: Column) -> Column:
 EVENT_REWRITES = [
     (r"(?<=[qfw])\(", "["),  # parenthesis that opens a head
     (r"(?<=[=y,])\{", "<"),  # brace of an array initialiser
-    (r"(k[^{}();]*)\{", "$1@"),  # brace of a class body
+    (r"(k[^{}()\[;<]*)\{", "$1@"),  # brace of a class body
     (r"(?<=[{};@^])(?=[^{}@;)<hn])", "!"),
     (r"(?<=h)(?=[^{}@;)<hn])", "?"),
     (r"(?<=\))(?=[^{}@;)<hn])", "~"),

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from likeness.operators.pairs import NON_PLAGIARIZED, ORIGINAL, PLAGIARIZED, case_pairs, first_as_original
+from likeness.operators.similarity import bags_of, measure_pairs, profiles, token_overlap
+
 # Rewrites that turn prose into code-like text: some sentence openers become keywords, commas
 # argument lists, sentence ends semicolons, lines blocks, junk marks assignments and comments.
 CODE_REWRITES = [
@@ -59,3 +62,102 @@ def code_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents rewritten as code: (doc_id, case_id, text)."""
     docs = read_table(spark, folder, "documents")
     return docs.select("doc_id", F.concat_ws("/", "lang", "source").alias("case_id"), as_code(F.col("text")).alias("text"))
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as they are: (doc_id, case_id, lang, text)."""
+    docs = read_table(spark, folder, "documents")
+    return docs.select("doc_id", F.concat_ws("/", "lang", "source").alias("case_id"), "lang", "text")
+
+
+def with_roles(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add role and label: a case's first document is the original, ``quality`` labels the others."""
+    judged = labels.select("doc_id", F.col("quality").alias("label"))
+    role = (
+        F.when(F.col("is_original"), ORIGINAL)
+        .when(F.col("label") == 1, PLAGIARIZED)
+        .when(F.col("label") == 0, NON_PLAGIARIZED)
+        .otherwise("unknown")
+    )
+    return (
+        first_as_original(docs)
+        .join(judged, "doc_id", "left")
+        .withColumn("role", role)
+        .withColumn("label", F.when(~F.col("is_original"), F.col("label")))
+        .drop("is_original")
+    )
+
+
+def corpus_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus without its texts: (doc_id, case_id, role, label)."""
+    docs = documents(spark, folder).select("doc_id", "case_id")
+    return with_roles(docs, read_table(spark, folder, "labels"))
+
+
+def conversation_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as submitted batches: (batch_id, path, doc_id, text), the user's turns on top."""
+    turns = read_table(spark, folder, "conversations")
+    name = F.format_string("t%d.java", "turn")
+    path = F.when(F.col("role") == "user", name).otherwise(F.concat(F.lit("replies/"), name))
+    return turns.select(
+        F.col("conv_id").alias("batch_id"),
+        path.alias("path"),
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"),
+        "text",
+    )
+
+
+def corpus_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a path in the layout of a labelled code corpus: (doc_id, path)."""
+    ids = corpus_ids(spark, folder)
+    level = F.concat(F.lit("L"), (F.col("doc_id") % 6 + 1).cast("string"))
+    number = F.col("doc_id").cast("string")
+    case = F.concat(F.lit("corpus/case-"), F.translate("case_id", "/", "-"))
+    path = (
+        F.when(F.col("role") == ORIGINAL, F.concat(case, F.lit("/original/"), number, F.lit(".java")))
+        .when(F.col("role") == NON_PLAGIARIZED, F.concat(case, F.lit("/non-plagiarized/"), number, F.lit("/Main.java")))
+        .otherwise(F.concat(case, F.lit("/plagiarized/"), level, F.lit("/"), number, F.lit("/Main.java")))
+    )
+    return ids.select("doc_id", path.alias("path"))
+
+
+def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled case pairs with four plain scores in 200ths, standing in for models in evaluations.
+
+    Originals and variants are told apart before the texts are read, and only documents that some
+    pair needs are tokenised.
+    """
+    pairs = case_pairs(corpus_ids(spark, folder)).filter(F.col("label").isNotNull())
+    texts = documents(spark, folder).select("doc_id", "text")
+    firsts = pairs.select(F.col("doc1").alias("doc_id")).distinct()
+    variants = pairs.select(F.col("doc2").alias("doc_id"))
+    left = bags_of(texts.join(firsts, "doc_id", "left_semi"))
+    right = bags_of(texts.join(variants, "doc_id", "left_semi"))
+    both = token_overlap(pairs, left, right)
+    parts = "200 * {} div greatest({}, 1)"
+    larger, smaller = "greatest(num_tokens1, num_tokens2)", "least(num_tokens1, num_tokens2)"
+    return both.select(
+        "case_id",
+        "doc1",
+        "doc2",
+        "label",
+        F.expr(parts.format("token_overlap", larger)).alias("votes_a"),
+        F.expr(parts.format("token_overlap", smaller)).alias("votes_b"),
+        F.expr(parts.format(smaller, larger)).alias("votes_c"),
+        F.expr(
+            parts.format(
+                "least(num_unique_tokens1, num_unique_tokens2)", "greatest(num_unique_tokens1, num_unique_tokens2)"
+            )
+        ).alias("votes_d"),
+    )
+
+
+def measured_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All case pairs of the code documents with their features and measures."""
+    pairs = case_pairs(corpus_ids(spark, folder))
+    texts = code_documents(spark, folder).select("doc_id", "text")
+    firsts = pairs.select(F.col("doc1").alias("doc_id")).distinct()
+    variants = pairs.select(F.col("doc2").alias("doc_id"))
+    left = profiles(texts.join(firsts, "doc_id", "left_semi"))
+    right = profiles(texts.join(variants, "doc_id", "left_semi"))
+    return measure_pairs(pairs, left, right)
