@@ -189,8 +189,20 @@ CTE = {
         FROM scored, simplex GROUP BY ALL""",
     "best": "SELECT * FROM tried ORDER BY correct DESC, a, b, c LIMIT 1",
     "blended": """
-        SELECT label, (a * (votes_a / 200) + b * (votes_b / 200) + c * (votes_c / 200) + d * (votes_d / 200)) AS total
-        FROM scored, best""",
+        SELECT label, total, round(total / 10, 9) AS score FROM (
+          SELECT label, a * (votes_a / 200) + b * (votes_b / 200) + c * (votes_c / 200) + d * (votes_d / 200) AS total
+          FROM scored, best)""",
+    # embeddings
+    "words": f"""
+        SELECT doc_id, list_extract(words, 1) AS first, unnest(words) AS word
+        FROM (SELECT doc_id, {words_of("text")} AS words FROM documents)""",
+    "word_vectors": """
+        SELECT first AS word, arg_min(embedding, vec_id)::DOUBLE[] AS v
+        FROM (SELECT DISTINCT doc_id AS vec_id, first FROM words) JOIN embeddings USING (vec_id) GROUP BY 1""",
+    "means": """
+        SELECT doc_id, dim, avg(value) AS value FROM (
+          SELECT doc_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS value FROM words JOIN word_vectors USING (word))
+        GROUP BY 1, 2""",
     # batches
     "files": """
         SELECT conv_id AS batch_id, CASE WHEN role = 'user' THEN 't' || turn || '.java'
@@ -528,7 +540,21 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT accuracy, f1, auc FROM (SELECT {rates()} FROM (
               SELECT count(*) FILTER (label = 0 AND p = 0) AS tn, count(*) FILTER (label = 0 AND p = 1) AS fp,
                 count(*) FILTER (label = 1 AND p = 0) AS fn, count(*) FILTER (label = 1 AND p = 1) AS tp
-              FROM (SELECT label, (total > 5.0::DOUBLE)::BIGINT AS p FROM blended))), ({auc_of("blended", "total")})""",
+              FROM (SELECT label, (total > 5.0::DOUBLE)::BIGINT AS p FROM blended))), ({auc_of("blended", "score")})""",
+        ),
+        "doc_embedding": with_ctes(
+            "means",
+            """SELECT doc_id, dim::BIGINT AS dim, round(value, 6)::DOUBLE AS value FROM means WHERE value <> 0""",
+        ),
+        "nn_pair_vector": with_ctes(
+            "means pairs",
+            """, norms AS (SELECT doc_id, sqrt(sum(value * value)) AS norm FROM means GROUP BY 1)
+            SELECT p.doc1, p.doc2, 129::BIGINT AS width, round(coalesce(any_value(dot) / (any_value(a.norm) * any_value(b.norm)), 0), 6)::DOUBLE AS cosine
+            FROM pairs p LEFT JOIN norms a ON a.doc_id = p.doc1 LEFT JOIN norms b ON b.doc_id = p.doc2
+            LEFT JOIN (SELECT p.doc1, p.doc2, sum(x.value * y.value) AS dot FROM pairs p
+                       JOIN means x ON x.doc_id = p.doc1 JOIN means y ON y.doc_id = p.doc2 AND x.dim = y.dim
+                       GROUP BY 1, 2) d ON d.doc1 = p.doc1 AND d.doc2 = p.doc2
+            GROUP BY 1, 2""",
         ),
         "batch_report": COMPARISONS
         + """SELECT l.batch_id, total_files, total_comparisons, file1, file2, prediction, round(p1, 6)::DOUBLE AS p1

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.functions import text as tx
-from likeness.operators import ensemble, evaluate, pairs, report, similar, similarity, splits, structure, tokens
+from likeness.operators import ensemble, evaluate, models, pairs, report, similar, similarity, splits, structure, tokens
 from likeness.plans import tables
 from likeness.session import stored
 from likeness.sources import corpus
@@ -427,10 +428,135 @@ def best_blend(spark, folder):
     """Accuracy and rank AUC of the best weighting."""
     scored = stored(_model_scores(spark, folder), "scores")
     blended = ensemble.blend_with_best(scored, ensemble.best_weights(scored, SCORES), SCORES)
+    # Scores that differ only in their last bits count as equal.
+    blended = blended.withColumn("score", F.round("score", 9))
     rates = evaluate.binary_metrics(evaluate.confusion_matrix(blended)).select(F.lit(1).alias("k"), "accuracy", "f1")
     return bigs(rates.join(evaluate.auc_rank(blended).withColumn("k", F.lit(1)), "k").drop("k"))
 
 
+# Models
+
+
+def _training(spark, folder):
+    """Labelled pair vectors with one shared stratified split, written once since training reads them often."""
+    vectors = similarity.pair_vector(tables.measured_pairs(spark, folder).filter(F.col("label").isNotNull()))
+    rows = splits.stratified_split(vectors.select("doc1", "doc2", "label", "features"), ["doc1", "doc2"])
+    return stored(rows, "pairs")
+
+
+def _rated(scored):
+    """Held-out rates and rank AUC of scored pairs, next to each other."""
+    held_out = scored.filter(~F.col("is_train")).withColumn("score", F.element_at("confidence", 2))
+    kept = stored(held_out.select("label", "prediction", "score"), "scored")
+    rates = evaluate.binary_metrics(evaluate.confusion_matrix(kept)).withColumn("k", F.lit(1))
+    return rates.join(evaluate.auc_rank(kept).withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def _trained(train):
+    def run(spark, folder):
+        rows = _training(spark, folder)
+        model = train(rows.filter("is_train"))
+        return _rated(models.score_pairs(model, rows, 2 * len(similarity.FEATURE_KEYS)))
+
+    return run
+
+
+@query
+def random_forest(spark, folder):
+    """Held-out results of the forest by hard votes, with ties as in evaluation."""
+    rows = _training(spark, folder)
+    forest = models.train_random_forest(rows.filter("is_train"))
+    return _rated(models.forest_predict(models.forest_votes(forest, rows), forest.getNumTrees, tie=0))
+
+
+@query
+def forest_votes(spark, folder):
+    """Votes, served prediction and confidence of every labelled pair."""
+    rows = _training(spark, folder)
+    forest = models.train_random_forest(rows.filter("is_train"))
+    voted = models.forest_predict(models.forest_votes(forest, rows), forest.getNumTrees)
+    return voted.select("doc1", "doc2", "votes", "prediction", "confidence")
+
+
+@query
+def boosted_trees(spark, folder):
+    return _trained(lambda train: models.train_boosted_trees(train, maxIter=20, maxDepth=4))(spark, folder)
+
+
+@query
+def grid_search_cv(spark, folder):
+    """Mean F1 over the folds for each parameter set of the short grid."""
+    rows = _training(spark, folder)
+    found = models.grid_search_cv(rows.filter("is_train"), ["doc1", "doc2"], {"maxDepth": [2, 3]}, k=3, maxIter=5)
+    table = [
+        (i, float(f1), ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda x: x[0].name)))
+        for i, (f1, params) in enumerate(zip(found.avgMetrics, found.getEstimatorParamMaps()))
+    ]
+    return spark.createDataFrame(table, "candidate int, mean_f1 double, params string")
+
+
+@query
+def support_vectors(spark, folder):
+    return _trained(models.train_svm)(spark, folder)
+
+
+@query
+def logistic_regression(spark, folder):
+    return _trained(models.train_logistic_regression)(spark, folder)
+
+
+@query
+def score_pairs(spark, folder):
+    """Prediction, confidence and its maximum for every case pair, labelled or not."""
+    rows = stored(similarity.pair_vector(tables.measured_pairs(spark, folder)).select("doc1", "doc2", "label", "features"), "pairs")
+    model = models.train_logistic_regression(rows.filter(F.col("label").isNotNull()))
+    scored = models.with_max_confidence(models.score_pairs(model, rows, 2 * len(similarity.FEATURE_KEYS)))
+    return scored.select("doc1", "doc2", "prediction", "confidence", "max_confidence", "error")
+
+
+def _word_vectors(spark, folder):
+    """The stored vectors as vectors of words: each belongs to the first word of its document."""
+    docs = tables.documents(spark, folder).select(
+        F.col("doc_id").alias("vec_id"), F.get(tx.word_tokens(F.col("text")), F.lit(0)).alias("word")
+    )
+    vectors = tables.read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    named = docs.filter(F.col("word").isNotNull()).join(vectors, "vec_id").groupBy("word")
+    return named.agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
+        "word", array_to_vector("embedding").alias("vector")
+    )
+
+
+@query
+def doc_embedding(spark, folder):
+    docs = tables.documents(spark, folder).select("doc_id", "text")
+    means = models.doc_embedding(docs, _word_vectors(spark, folder), size=64)
+    rows = means.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return bigs(rows.filter(F.col("value") != 0))
+
+
+@query
+def nn_pair_vector(spark, folder):
+    """Width and cosine of the network's pair vectors for all case pairs."""
+    docs = tables.documents(spark, folder).select("doc_id", "text")
+    means = models.doc_embedding(docs, _word_vectors(spark, folder), size=64)
+    ids = pairs.case_pairs(tables.corpus_ids(spark, folder)).select("doc1", "doc2")
+    vectors = models.nn_pair_vector(ids, means)
+    return bigs(vectors.select("doc1", "doc2", F.size("features").alias("width"), "cosine"))
+
+
+@query
+def word2vec_network(spark, folder):
+    """Word vectors learnt from all texts, and a network on the pair vectors they give."""
+    docs = tables.documents(spark, folder).select("doc_id", "text")
+    vectors = models.train_word2vec(docs, size=16, rounds=1).getVectors()
+    means = models.doc_embedding(docs, vectors, size=16)
+    drawn = pairs.training_pairs(tables.corpus_ids(spark, folder)).drop("turn")
+    rows = stored(models.nn_pair_vector(drawn, means).select("doc1", "doc2", "label", "features"), "pairs")
+    marked = splits.validation_split(rows, ["doc1", "doc2"]).withColumn("is_train", ~F.col("is_validation"))
+    network = models.train_mlp(marked.filter("is_train"), 33, hidden=[32, 16], rounds=20)
+    return _rated(models.score_pairs(network, marked, 33))
+
+
 # Reports
 
 
