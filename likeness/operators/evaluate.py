@@ -153,8 +153,9 @@ def vote_predict(votes: Column, trees: int, tie: int = 1) -> Column:
     return F.when(votes * 2 > trees, 1).when(votes * 2 < trees, 0).otherwise(tie)
 
 
-def sort_scores(df: DataFrame, score: str = "score") -> DataFrame:
-    return df.orderBy(F.desc(score))
+def sort_scores(df: DataFrame, ids: list[str], score: str = "score") -> DataFrame:
+    """Highest score first; the ids order equal scores, so that those too can be sorted in parts."""
+    return df.orderBy(F.desc(score), *ids)
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -164,4 +165,5 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     weights = counts.select(
         label, (F.sum("_n").over(whole) / (F.count("*").over(whole) * F.col("_n"))).alias(out)
     )
-    return df.join(weights, label)
+    # One row per class of a classifier.
+    return df.join(F.broadcast(weights), label)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import join_one
 from likeness.operators.ranking import hash_key
 
 ORIGINAL = "original"
@@ -28,12 +29,11 @@ def first_as_original(docs: DataFrame, doc_id: str = "doc_id", case_id: str = "c
 def case_pairs(corpus: DataFrame) -> DataFrame:
     """Each original with every variant of its case: (case_id, doc1, doc2, label).
 
-    The result grows with the variants. The originals are broadcast only if they are found small;
-    otherwise a case with many variants is split by the adaptive skew join.
+    The result grows with the variants; the variants of a large case are dealt onto several tasks.
     """
     originals = corpus.filter(F.col("role") == ORIGINAL).select("case_id", F.col("doc_id").alias("doc1"))
     variants = corpus.filter(F.col("role") != ORIGINAL).select("case_id", F.col("doc_id").alias("doc2"), "label")
-    return variants.join(originals, "case_id").select("case_id", "doc1", "doc2", "label")
+    return join_one(variants, originals, ["case_id"], "doc2").select("case_id", "doc1", "doc2", "label")
 
 
 def one_pair(docs: DataFrame, original_id, suspect_id) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import join_one
+
 # Wording shown to readers.
 PLAGIARIZED_TEXT = "Plagiarized"
 NOT_PLAGIARIZED_TEXT = "Not Plagiarized"
@@ -62,7 +64,7 @@ def batch_report(
     pages = F.ceil(F.greatest(F.col("listed"), F.lit(1)) / page_size)
     entry = F.struct("file1", "file2", "prediction", "confidence", "error")
     placed = (
-        comparisons.join(summary.select(batch, "listed"), batch)
+        join_one(comparisons, summary.select(batch, "listed"), [batch], "file2")
         .withColumn("page", F.pmod(F.xxhash64("file1", "file2"), pages))
         .groupBy(batch, "page")
         .agg(F.array_sort(F.collect_list(entry)).alias("comparisons"))
@@ -78,15 +80,31 @@ def batch_report(
     )
 
 
-def report_history(reports: DataFrame) -> DataFrame:
-    """Each pair's probability in every saved report, with the one of the report before."""
+def report_history(reports: DataFrame, slice_days: int = 7) -> DataFrame:
+    """Each pair's probability in every saved report, with the one of the report before.
+
+    A pair that is in most reports is cut into slices of time. A row finds its predecessor in its
+    slice; the first of a slice takes the last of the slice before, from a table of slices.
+    """
     rows = reports.select("submitted_at", F.explode_outer("comparisons").alias("c")).filter(F.col("c").isNotNull())
-    over_time = Window.partitionBy("file1", "file2").orderBy("submitted_at")
+    pair = ["file1", "file2"]
+    slice_number = F.floor(F.unix_timestamp("submitted_at") / (slice_days * 86400))
     probability = F.element_at("c.confidence", 2)
+    sliced = rows.select("submitted_at", "c.file1", "c.file2", "c.prediction", probability.alias("p1")).withColumn(
+        "slice", slice_number
+    )
+    lasts = sliced.groupBy(*pair, "slice").agg(F.max_by("p1", "submitted_at").alias("last"))
+    earlier = lasts.select(
+        *pair, "slice", F.lag("last").over(Window.partitionBy(*pair).orderBy("slice")).alias("carried")
+    )
+    over_time = Window.partitionBy(*pair, "slice").orderBy("submitted_at")
+    placed = sliced.withColumn("place", F.row_number().over(over_time)).withColumn("near", F.lag("p1").over(over_time))
+    previous = F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("near"))
     return (
-        rows.select("submitted_at", "c.file1", "c.file2", "c.prediction", probability.alias("p1"))
-        .withColumn("previous_p1", F.lag("p1").over(over_time))
+        placed.join(earlier, [*pair, "slice"])
+        .withColumn("previous_p1", previous)
         .withColumn("change", F.col("p1") - F.col("previous_p1"))
+        .select("submitted_at", *pair, "prediction", "p1", "previous_p1", "change")
     )
 
 

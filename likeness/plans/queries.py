@@ -123,7 +123,7 @@ def token_numbers(spark, folder):
 
 @query
 def token_context(spark, folder):
-    return bigs(structure.token_context(tokens.with_tokens(tables.code_documents(spark, folder))))
+    return bigs(structure.token_context(tables.code_documents(spark, folder)))
 
 
 @query
@@ -220,10 +220,9 @@ def candidate_pairs(spark, folder):
 
 @query
 def token_overlap(spark, folder):
-    ids = pairs.case_pairs(tables.corpus_ids(spark, folder))
+    ids = stored(pairs.case_pairs(tables.corpus_ids(spark, folder)), "ids")
     texts = tables.documents(spark, folder).select("doc_id", "text")
-    firsts = ids.select(F.col("doc1").alias("doc_id")).distinct()
-    left = similarity.bags_of(texts.join(firsts, "doc_id", "left_semi"))
+    left = similarity.bags_of(tables.only_first(texts, ids))
     return similarity.token_overlap(ids.drop("label"), left, similarity.bags_of(texts))
 
 
@@ -356,7 +355,7 @@ def evaluate_by_group(spark, folder):
 
 @query
 def sort_scores(spark, folder):
-    return bigs(evaluate.sort_scores(_predicted(spark, folder).select("doc1", "doc2", "score")))
+    return bigs(evaluate.sort_scores(_predicted(spark, folder).select("doc1", "doc2", "score"), ["doc1", "doc2"]))
 
 
 @query

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import bounded
 from likeness.operators.pairs import NON_PLAGIARIZED, ORIGINAL, PLAGIARIZED, case_pairs, first_as_original
 from likeness.operators.similarity import bags_of, measure_pairs, profiles, token_overlap
+from likeness.session import stored
 
 # Rewrites that turn prose into code-like text: some sentence openers become keywords, commas
 # argument lists, sentence ends semicolons, lines blocks, junk marks assignments and comments.
@@ -121,17 +123,22 @@ def corpus_paths(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", path.alias("path"))
 
 
+def only_first(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that stand first in some pair; their ids are broadcast if counted to be few."""
+    firsts = pairs.select(F.col("doc1").alias("doc_id")).distinct()
+    return docs.join(bounded(firsts), "doc_id", "left_semi")
+
+
 def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled case pairs with four plain scores in 200ths, standing in for models in evaluations.
 
     Originals and variants are told apart before the texts are read, and only documents that some
     pair needs are tokenised.
     """
-    pairs = case_pairs(corpus_ids(spark, folder)).filter(F.col("label").isNotNull())
+    pairs = stored(case_pairs(corpus_ids(spark, folder)).filter(F.col("label").isNotNull()), "ids")
     texts = documents(spark, folder).select("doc_id", "text")
-    firsts = pairs.select(F.col("doc1").alias("doc_id")).distinct()
     variants = pairs.select(F.col("doc2").alias("doc_id"))
-    left = bags_of(texts.join(firsts, "doc_id", "left_semi"))
+    left = bags_of(only_first(texts, pairs))
     right = bags_of(texts.join(variants, "doc_id", "left_semi"))
     both = token_overlap(pairs, left, right)
     parts = "200 * {} div greatest({}, 1)"
@@ -154,10 +161,6 @@ def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def measured_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All case pairs of the code documents with their features and measures."""
-    pairs = case_pairs(corpus_ids(spark, folder))
+    pairs = stored(case_pairs(corpus_ids(spark, folder)), "ids")
     texts = code_documents(spark, folder).select("doc_id", "text")
-    firsts = pairs.select(F.col("doc1").alias("doc_id")).distinct()
-    variants = pairs.select(F.col("doc2").alias("doc_id"))
-    left = profiles(texts.join(firsts, "doc_id", "left_semi"))
-    right = profiles(texts.join(variants, "doc_id", "left_semi"))
-    return measure_pairs(pairs, left, right)
+    return measure_pairs(pairs, profiles(only_first(texts, pairs)), profiles(texts))

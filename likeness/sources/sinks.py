@@ -40,9 +40,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.select(*rates, matrix.alias("confusion_matrix")).write.mode("overwrite").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Append report rows as JSON, so the history of a folder grows."""
-    report.write.mode("append").json(path)
+def write_report(report: DataFrame, path: str, mode: str = "append") -> None:
+    """Report rows as JSON, by default added to what the folder holds, so that its history grows."""
+    report.write.mode(mode).json(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
