@@ -13,6 +13,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a table of ids evenly onto as many tasks as the session shuffles with.
+
+    For few bytes with much work behind each row: left alone, adaptive execution would join so
+    small a table into one task, and a key that repeats would gather its rows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def join_one(many: DataFrame, one: DataFrame, keys: list[str], spread_by: str, salts: int = 16) -> DataFrame:
     """Inner join where ``one`` has a single short row, or a few, per key and ``many`` any number.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import dealt
 from likeness.operators.structure import doc_features
 from likeness.operators.tokens import with_bag, with_tokens
 
@@ -55,19 +56,20 @@ def bags_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     )
 
 
-def with_overlap(pairs: DataFrame, bag1: str = "bag1", bag2: str = "bag2", out: str = "token_overlap") -> DataFrame:
-    """Add the size of the intersection of two token bags.
+def bag_overlap(bag1: Column, bag2: Column) -> Column:
+    """Size of the intersection of two token bags.
 
     Both sorted bags are merged; a token of both stands next to itself and counts its smaller entry.
     """
-    merged = pairs.withColumn("_merged", F.sort_array(F.concat(bag1, bag2)))
+    merged = F.sort_array(F.concat(bag1, bag2))
     shared = F.zip_with(
-        "_merged",
-        F.slice("_merged", 2, 1 << 30),
-        lambda a, b: F.when(a["token"] == b["token"], F.least(a["cnt"], b["cnt"])).otherwise(F.lit(0)).cast("bigint"),
+        merged,
+        F.slice(merged, 2, 1 << 30),
+        lambda entry, following: F.when(
+            entry["token"] == following["token"], F.least(entry["cnt"], following["cnt"])
+        ).otherwise(F.lit(0).cast("bigint")),
     )
-    total = F.aggregate(shared, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return merged.withColumn(out, total).drop("_merged")
+    return F.aggregate(shared, F.lit(0).cast("bigint"), lambda total, cnt: total + cnt)
 
 
 def sequence_distance(kinds1: Column, kinds2: Column) -> Column:
@@ -88,8 +90,8 @@ def attach(pairs: DataFrame, docs: DataFrame, side: int) -> DataFrame:
 
 def token_overlap(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Add ``token_overlap`` and both token numbers to a pair table, given bags of both sides."""
-    both = attach(attach(pairs, right, 2), left, 1)
-    return with_overlap(both).drop("bag1", "bag2")
+    both = attach(attach(dealt(pairs, "doc1", "doc2"), right, 2), left, 1)
+    return both.withColumn("token_overlap", bag_overlap(F.col("bag1"), F.col("bag2"))).drop("bag1", "bag2")
 
 
 def measure_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -98,7 +100,8 @@ def measure_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     The second documents go first: there each pair meets a document of its own, while first
     documents repeat and can be small enough to broadcast.
     """
-    both = with_overlap(attach(attach(pairs, right, 2), left, 1)).drop("bag1", "bag2")
+    both = attach(attach(dealt(pairs, "doc1", "doc2"), right, 2), left, 1)
+    both = both.withColumn("token_overlap", bag_overlap(F.col("bag1"), F.col("bag2"))).drop("bag1", "bag2")
     distance = sequence_distance(F.col("kinds1"), F.col("kinds2"))
     return both.withColumn("ast_levenshtein_distance", distance).withColumn(
         "ast_levenshtein_similarity",

@@ -78,7 +78,8 @@ def compare(wanted: DataFrame, docs: DataFrame, model) -> DataFrame:
     """Score a pair table (doc1, doc2) against documents (doc_id, text): prediction and confidence."""
     profiled = similarity.profiles(docs.select("doc_id", "text"))
     vectors = similarity.pair_vector(similarity.measure_pairs(wanted, profiled, profiled))
-    return models.score_pairs(model, vectors, VECTOR_WIDTH)
+    kept = stored(vectors.select(*wanted.columns, "features"), "vectors")
+    return models.score_pairs(model, kept, VECTOR_WIDTH)
 
 
 def compare_two(docs: DataFrame, original_id, suspect_id, model) -> DataFrame:
