@@ -63,20 +63,26 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
             "f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
         )
     )
+    # The classes are few; they are put in one row, so that the predictions are read only once.
     scores = ["precision", "recall", "f1"]
-    total = F.sum("support").alias("support")
-    classes = per_class.select(F.col("class").cast("string").alias("name"), *scores, "support")
-    accuracy = per_class.agg(ratio(F.sum("hits"), F.sum("support")).alias("f1"), total).select(
-        F.lit("accuracy").alias("name"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        "f1",
-        "support",
+    rows = per_class.agg(
+        F.collect_list(F.struct(F.col("class").cast("string").alias("name"), *scores, "support")).alias("classes"),
+        ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        F.sum("support").alias("total"),
+        *[F.avg(s).alias(f"macro_{s}") for s in scores],
+        *[ratio(F.sum(F.col(s) * F.col("support")), F.sum("support")).alias(f"weighted_{s}") for s in scores],
     )
-    macro = per_class.agg(*[F.avg(s).alias(s) for s in scores], total)
-    weighted = per_class.agg(*[ratio(F.sum(F.col(s) * F.col("support")), F.sum("support")).alias(s) for s in scores], total)
-    named = [t.select(F.lit(name).alias("name"), *scores, "support") for name, t in (("macro avg", macro), ("weighted avg", weighted))]
-    return classes.unionByName(accuracy).unionByName(named[0]).unionByName(named[1])
+
+    def line(name: str, values: list[Column]) -> Column:
+        named = [value.cast("double").alias(s) for s, value in zip(scores, values)]
+        return F.struct(F.lit(name).alias("name"), *named, F.col("total").alias("support"))
+
+    averages = F.array(
+        line("accuracy", [F.lit(None), F.lit(None), F.col("accuracy")]),
+        line("macro avg", [F.col(f"macro_{s}") for s in scores]),
+        line("weighted avg", [F.col(f"weighted_{s}") for s in scores]),
+    )
+    return rows.select(F.inline(F.concat("classes", averages)))
 
 
 def roc_points(df: DataFrame, votes: str = "votes", trees: int = 200, label: str = "label") -> DataFrame:

@@ -37,6 +37,7 @@ FOREST_TREES = 200
 FOREST_DEPTH = 15
 FOREST_MIN_ROWS = 5
 FOREST_SAMPLE = 0.8
+REGRESSION_TOLERANCE = 1e-4
 EMBEDDING_SIZE = 128
 EMBEDDING_WINDOW = 5
 EMBEDDING_ROUNDS = 30
@@ -146,7 +147,12 @@ def train_svm(train: DataFrame, rounds: int = 100) -> PipelineModel:
 def train_logistic_regression(train: DataFrame, rounds: int = 1000):
     """Logistic regression with the unit penalty spread over the rows."""
     regression = LogisticRegression(
-        featuresCol="vector", labelCol="label", maxIter=rounds, regParam=1.0 / max(train.count(), 1), standardization=False
+        featuresCol="vector",
+        labelCol="label",
+        maxIter=rounds,
+        tol=REGRESSION_TOLERANCE,
+        regParam=1.0 / max(train.count(), 1),
+        standardization=False,
     )
     return regression.fit(with_vector(train))
 

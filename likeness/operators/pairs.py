@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from likeness.operators.joins import join_one
 from likeness.operators.ranking import hash_key
+from likeness.session import stored
 
 ORIGINAL = "original"
 PLAGIARIZED = "plagiarized"
@@ -66,7 +67,7 @@ def negative_pairs(corpus: DataFrame, k: int = 5, rings: int = 64, seed: int = 4
         F.col("doc_id").alias("doc2"), F.col("case_id").alias("case2"), hash_key(seed + 1, F.col("doc_id")).alias("turn")
     )
     with_ring = candidates.withColumn("ring", ring(F.col("doc2")))
-    per_case = _first_k(with_ring, ["ring", "case2"], k)
+    per_case = stored(_first_k(with_ring, ["ring", "case2"], k), "candidates")
     ring_list = _first_k(per_case, ["ring"], 2 * k).withColumn("near", F.lit(0))
     overall = _first_k(_first_k(per_case, ["case2"], k), [], 2 * k)
 

@@ -176,12 +176,12 @@ def positive_pairs(spark, folder):
 
 @query
 def negative_pairs(spark, folder):
-    return bigs(pairs.negative_pairs(tables.corpus_ids(spark, folder)))
+    return bigs(pairs.negative_pairs(stored(tables.corpus_ids(spark, folder), "ids")))
 
 
 @query
 def training_pairs(spark, folder):
-    return bigs(pairs.training_pairs(tables.corpus_ids(spark, folder)))
+    return bigs(pairs.training_pairs(stored(tables.corpus_ids(spark, folder), "ids")))
 
 
 @query
@@ -390,7 +390,7 @@ SCORES = ["p_a", "p_b", "p_c", "p_d"]
 
 
 def _four_scores(spark, folder):
-    scored = tables.scored_pairs(spark, folder)
+    scored = stored(tables.scored_pairs(spark, folder), "scores")
     key = ["doc1", "doc2"]
     named = {
         f"p_{x}": scored.select(*key, (F.col(f"votes_{x}") / 200).alias("score")) for x in ("a", "b", "c", "d")
@@ -429,8 +429,8 @@ def best_blend(spark, folder):
     blended = ensemble.blend_with_best(scored, ensemble.best_weights(scored, SCORES), SCORES)
     # Scores that differ only in their last bits count as equal.
     blended = blended.withColumn("score", F.round("score", 9))
-    rates = evaluate.binary_metrics(evaluate.confusion_matrix(blended)).select(F.lit(1).alias("k"), "accuracy", "f1")
-    return bigs(rates.join(evaluate.auc_rank(blended).withColumn("k", F.lit(1)), "k").drop("k"))
+    rates = evaluate.binary_metrics(evaluate.confusion_matrix(blended))
+    return bigs(rates.select("accuracy", "f1", evaluate.auc_rank(blended).scalar().alias("auc")))
 
 
 # Models
@@ -447,8 +447,8 @@ def _rated(scored):
     """Held-out rates and rank AUC of scored pairs, next to each other."""
     held_out = scored.filter(~F.col("is_train")).withColumn("score", F.element_at("confidence", 2))
     kept = stored(held_out.select("label", "prediction", "score"), "scored")
-    rates = evaluate.binary_metrics(evaluate.confusion_matrix(kept)).withColumn("k", F.lit(1))
-    return rates.join(evaluate.auc_rank(kept).withColumn("k", F.lit(1)), "k").drop("k")
+    rates = evaluate.binary_metrics(evaluate.confusion_matrix(kept))
+    return rates.select("*", evaluate.auc_rank(kept).scalar().alias("auc"))
 
 
 def _trained(train):
@@ -529,7 +529,7 @@ def _word_vectors(spark, folder):
 def doc_embedding(spark, folder):
     docs = tables.documents(spark, folder).select("doc_id", "text")
     means = models.doc_embedding(docs, _word_vectors(spark, folder), size=64)
-    rows = means.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    rows = means.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value"))
     return bigs(rows.filter(F.col("value") != 0))
 
 
@@ -549,7 +549,7 @@ def word2vec_network(spark, folder):
     docs = tables.documents(spark, folder).select("doc_id", "text")
     vectors = models.train_word2vec(docs, size=16, rounds=1).getVectors()
     means = models.doc_embedding(docs, vectors, size=16)
-    drawn = pairs.training_pairs(tables.corpus_ids(spark, folder)).drop("turn")
+    drawn = pairs.training_pairs(stored(tables.corpus_ids(spark, folder), "ids")).drop("turn")
     rows = stored(models.nn_pair_vector(drawn, means).select("doc1", "doc2", "label", "features"), "pairs")
     marked = splits.validation_split(rows, ["doc1", "doc2"]).withColumn("is_train", ~F.col("is_validation"))
     network = models.train_mlp(marked.filter("is_train"), 33, hidden=[32, 16], rounds=20)
@@ -579,7 +579,8 @@ def _comparisons(spark, folder):
     rated = scored.withColumn("prediction", evaluate.vote_predict(F.col("votes"), 200)).withColumn(
         "confidence", F.array((200 - F.col("votes")) / 200, p1)
     )
-    return files, report.row_errors(rated, F.col("valid"), "no tokens", ["prediction", "confidence"])
+    checked = report.row_errors(rated, F.col("valid"), "no tokens", ["prediction", "confidence"])
+    return files, stored(checked, "comparisons")
 
 
 @query
