@@ -14,10 +14,10 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a table of ids evenly onto as many tasks as the session shuffles with.
+    """Deal a table by the given keys onto as many tasks as the session shuffles with.
 
-    For few bytes with much work behind each row: left alone, adaptive execution would join so
-    small a table into one task, and a key that repeats would gather its rows.
+    For few bytes with much work behind each row, as ids of pairs or strings that become a row per
+    character: adaptive execution, which looks at bytes, would put so small a table into one task.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import dealt
 from likeness.operators.tokens import explode_with_position, with_token_numbers, with_tokens
 
 # Words of the analysed language.
@@ -159,12 +160,9 @@ def structure_events(docs: DataFrame, doc_id: str = "doc_id", carry: tuple[str,
     Adds ``kind`` (a letter, set where a statement starts), ``direct`` (it follows a block edge or
     a semicolon) and ``depth`` (open braces before the event). Expects ``tokens``.
     """
-    by_doc = (
-        docs.select(doc_id, *carry, event_string(F.col("tokens")).alias("_events"))
-        .repartition(doc_id)
-        .select(doc_id, *carry, F.posexplode_outer(F.regexp_extract_all("_events", F.lit(r"[!?~].|."), F.lit(0))))
-        .withColumnRenamed("col", "event")
-    )
+    strings = dealt(docs.select(doc_id, *carry, event_string(F.col("tokens")).alias("_events")), doc_id)
+    events = F.posexplode_outer(F.regexp_extract_all("_events", F.lit(r"[!?~].|."), F.lit(0)))
+    by_doc = strings.select(doc_id, *carry, events.alias("pos", "event"))
     event = F.col("event")
     in_order = Window.partitionBy(doc_id).orderBy("pos")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -210,7 +208,7 @@ def token_context(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Texts are placed by document before they are cut, which moves far less than their tokens.
     """
-    placed = with_tokens(docs.select(doc_id, text).repartition(doc_id), text)
+    placed = with_tokens(dealt(docs.select(doc_id, text), doc_id), text)
     stream = explode_with_position(placed, doc_id, "tokens", "token")
     in_order = Window.partitionBy(doc_id).orderBy("pos")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
