@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import dealt
+
 WEIGHTS = ["a", "b", "c", "d"]
 
 
@@ -36,11 +38,14 @@ def weight_simplex(spark: SparkSession, steps: int = 10) -> DataFrame:
 
 
 def weight_accuracy(df: DataFrame, scores: list[str], label: str = "label", steps: int = 10) -> DataFrame:
-    """Accuracy of every weighting. A row is widened in place; only sums per weighting are shuffled."""
+    """Accuracy of every weighting.
+
+    The scores are dealt evenly, each row is widened in place, and then only sums per weighting move.
+    """
     total = blend(scores, [F.col(w) for w in WEIGHTS])
     correct = (total > steps / 2).cast("int") == F.col(label)
     return (
-        with_simplex(df.select(*scores, label), steps)
+        with_simplex(dealt(df.select(*scores, label)), steps)
         .groupBy(*WEIGHTS)
         .agg(F.count("*").alias("n"), F.sum(correct.cast("int")).cast("bigint").alias("correct"))
         .withColumn("accuracy", F.col("correct") / F.col("n"))
