@@ -103,7 +103,8 @@ class WordRepeats:
         first = np.arange(n, dtype="i4")
         last = first + np.int32(self.window)
         keys = np.empty(n, "u8")
-        live = np.arange(n, dtype="i4")
+        # Neighbouring windows with the same certain symbols are one entry: ``live`` to ``until`` (exclusive).
+        live, until = first, first + np.int32(1)
         for turn in range(ROUNDS + 1):
             if turn < ROUNDS:
                 following, a, b = one_round(symbols, first, last, turn)
@@ -112,11 +113,19 @@ class WordRepeats:
                 ended = np.ones(len(live), bool)
             if ended.any():
                 ranked = mix(symbols + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-                keys[live[ended]] = smallest_in(ranked, first[ended], last[ended])
-            live = live[~ended]
-            if not len(live):
+                found = smallest_in(ranked, first[ended], last[ended])
+                sizes = until[ended] - live[ended]
+                spots = np.repeat(live[ended] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+                keys[spots] = np.repeat(found, sizes)
+            kept = ~ended
+            if not kept.any():
                 break
-            symbols, first, last = following, a[~ended], b[~ended]
+            symbols, first, last, live, until = following, a[kept], b[kept], live[kept], until[kept]
+            new = np.ones(len(live), bool)
+            new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (live[1:] != until[:-1])
+            lead = np.flatnonzero(new)
+            until = until[np.append(lead[1:], len(live)) - 1]
+            first, last, live = first[lead], last[lead], live[lead]
         return keys
 
     def text(self, units: WordSpans, start: int, count: int) -> bytes:

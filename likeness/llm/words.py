@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from likeness.llm.packs import Pack, mix
@@ -14,21 +12,16 @@ _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
 
-@functools.lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, "u8")
-    out[0] = 1
-    return np.cumprod(out)
+_KEPT: dict = {}  # a task makes these arrays once
 
 
 def _up_to(base: int, n: int) -> np.ndarray:
     """The powers of an odd number, at least ``n`` of them."""
-    return _powers(base, 1 << max(16, int(n).bit_length()))
-
-
-@functools.lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype="u8"))
+    if len(_KEPT.get(base, ())) < n:
+        powers = np.full(1 << max(16, int(n).bit_length()), base, "u8")
+        powers[0] = 1
+        _KEPT[base] = np.cumprod(powers)
+    return _KEPT[base]
 
 
 class WordSpans:
@@ -58,7 +51,7 @@ class WordSpans:
         """A polynomial over the bytes of each word, scrambled."""
         raw = np.frombuffer(self.data, "u1")
         total = np.zeros(len(raw) + 1, "u8")
-        np.cumsum(_byte_values()[raw] * _up_to(_ODD, len(raw))[: len(raw)], out=total[1:])
+        np.cumsum(mix(np.arange(1, 257, dtype="u8"))[raw] * _up_to(_ODD, len(raw))[: len(raw)], out=total[1:])
         return mix((total[self.end] - total[self.begin]) * _up_to(_INVERSE, len(raw))[self.begin])
 
     def join(self, a: int, b: int) -> bytes:
