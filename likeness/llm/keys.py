@@ -41,8 +41,8 @@ def counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _ask(emit: Callable, buckets: int):
     def run(batches):
-        for pack, _ in unpacked(batches):
-            keys, docs, occurrences = emit(pack)
+        for pack, row in unpacked(batches):
+            keys, docs, occurrences = emit(pack, row)
             bucket = (mix(keys) % np.uint64(buckets)).astype("i8")
             order = np.argsort(bucket, kind="stable")
             keys, docs, occurrences, bucket = keys[order], docs[order].astype("<i4"), occurrences[order].astype("<i4"), bucket[order]
@@ -95,10 +95,10 @@ def _tell(table: pa.Table) -> pa.Table:
     )
 
 
-def shared_keys(packs: DataFrame, emit: Callable[[Pack], tuple], keys_per_byte: float) -> DataFrame:
+def shared_keys(packs: DataFrame, emit: Callable[[Pack, dict], tuple], keys_per_byte: float) -> DataFrame:
     """For each pack its keys that two or more documents have, with their numbers of documents and occurrences.
 
-    ``emit`` gives a pack's different keys with both numbers. The result is written out, as it is read again.
+    ``emit`` gives a pack's different keys with both numbers, from the pack and its row. The result is written out, as it is read again.
     """
     n_bytes = packs.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4 * shuffle_tasks(packs.sparkSession), int(n_bytes * keys_per_byte * 16 / BUCKET_BYTES))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from likeness.session import shared_folder
 
 PACK_BYTES = 2 << 20
+PACK_DOCS = 1 << 16
 PACK_SCHEMA = "pack long, ids binary, lens binary, tags array<string>, n_bytes long, body binary"
 
 
@@ -57,7 +58,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, memoryview, np.ndarray]:
 
 def _pack_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
-    number, squeeze = task << 32, zstandard.ZstdCompressor(level=3)
+    number, squeeze = task << 24, zstandard.ZstdCompressor(level=3)
     held: list[tuple] = []
     total = 0
 
@@ -82,12 +83,12 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         at = 0
         while at < len(ids):
             room = int(np.searchsorted(offsets, offsets[at] + max(1, size - total), "left"))
-            to = min(max(at + 1, room), len(ids))
+            to = min(max(at + 1, room), len(ids), at + PACK_DOCS - sum(len(h[0]) for h in held))
             lens = np.where(valid[at:to], np.diff(offsets[at : to + 1]), -1).astype("<i8")
             held.append((ids[at:to].astype("<i8"), lens, tags[at:to], bytes(data[offsets[at] : offsets[to]])))
             total += int(offsets[to] - offsets[at])
             at = to
-            if total >= size:
+            if total >= size or sum(len(h[0]) for h in held) >= PACK_DOCS:
                 yield row()
     if held:
         yield row()

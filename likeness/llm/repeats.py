@@ -60,6 +60,11 @@ def runs_of(keys: np.ndarray, starts: np.ndarray, window: int) -> tuple:
     return keys[first[inside]], docs[inside], first[inside], counts[inside]
 
 
+def shard_of(pack: int, shards: int) -> int:
+    """Where what is settled about a pack waits for the rest."""
+    return (pack * 0x9E3779B97F4A7C15 >> 20) % shards
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     columns = list(zip(*rows)) if rows else [()] * 5
@@ -87,7 +92,7 @@ def _fragments(method, shards: int):
                 found = np.zeros(int(settled.sum()), INTERVAL)
                 found["idx"], found["start"] = docs[settled], begin[settled]
                 found["end"] = begin[settled] + counts[settled] + method.window - 1
-                out.append((pack.number % shards, pack.number, REMOVED, found.tobytes(), b""))
+                out.append((shard_of(pack.number, shards), pack.number, REMOVED, found.tobytes(), b""))
             parts = -(-often // HOT_FRAGMENTS)
             sub = np.uint64(pack.number * 0x9E3779B1 & (1 << 63) - 1) % parts.astype("u8") if len(parts) else parts.astype("u8")
             shard = (mix(keys + sub * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(shards)).astype("i8")
@@ -168,7 +173,7 @@ def _resolve(method, shards: int):
         for i, kind in enumerate(kinds):
             blob = metas[i].as_py()
             if kind == REMOVED:
-                out.append((packs[i] % shards, packs[i], REMOVED, blob, b""))
+                out.append((shard_of(packs[i], shards), packs[i], REMOVED, blob, b""))
                 continue
             m, body = np.frombuffer(blob, FRAGMENT), bodies[i].as_py()
             ends = np.cumsum(m["size"]).tolist()
@@ -192,7 +197,7 @@ def _resolve(method, shards: int):
             owner, found = owner[order], found[order]
             at = group_starts(owner)
             for a, b in zip(at, np.append(at[1:], len(owner))):
-                out.append((int(owner[a]) % shards, int(owner[a]), REMOVED, found[a:b].tobytes(), b""))
+                out.append((shard_of(int(owner[a]), shards), int(owner[a]), REMOVED, found[a:b].tobytes(), b""))
         by_shard: dict[int, list] = {}
         for entry in firsts:
             by_shard.setdefault(xxhash.xxh3_64_intdigest(entry[0]) % shards, []).append(entry)
@@ -211,7 +216,7 @@ def _merge(method, shards: int):
         out, runs = [], []
         for row in table.to_pylist():
             if row["kind"] == REMOVED:
-                out.append((row["pack"] % shards, row["pack"], REMOVED, row["meta"], b""))
+                out.append((0, row["pack"], REMOVED, row["meta"], b""))
             else:
                 runs.append((np.frombuffer(row["body"], f"V{width}"), np.frombuffer(row["meta"], FIRST)))
         if runs:
@@ -227,7 +232,7 @@ def _merge(method, shards: int):
                 for m in meta[meta["doc"] > smallest[spot]]:
                     by_pack.setdefault(int(m["pack"]), []).append((int(m["idx"]), int(m["start"]), int(m["start"]) + method.window))
             for pack, found in by_pack.items():
-                out.append((pack % shards, pack, REMOVED, np.array(found, INTERVAL).tobytes(), b""))
+                out.append((0, pack, REMOVED, np.array(found, INTERVAL).tobytes(), b""))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -268,7 +273,7 @@ def _finish(method, with_text: bool):
 
 
 def emit_anchors(method):
-    def emit(pack):
+    def emit(pack, row):
         keys, docs, _, _ = method.anchors(method.units(pack))
         return counted(keys, docs)
 
