@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from likeness.llm.components import components
 from likeness.llm.keys import counted, group_starts, places, shared_keys, told_keys
-from likeness.llm.packs import Pack, mix, pack_documents, unpacked
+from likeness.llm.packs import Pack, chosen_documents, mix, pack_documents, rest_of, unpacked, with_rest
 from likeness.llm.words import WordSpans
 from likeness.session import stored
 
@@ -255,19 +255,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b")
 
 
-def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Groups of documents linked by Jaccard similarity of their word runs: doc_id, n_shingles, component_id.
-
-    Words are runs of anything but ASCII white space, with A-Z lower-cased. A document's set holds its
-    different runs of ``size`` words; one with fewer words has them all as one run; one without words has an
-    empty set and no link. ``percent`` is the threshold, from 75 to 100. ``component_id`` is the smallest
-    doc_id reachable by links, or the document's own. Every row gets a result: null texts have empty sets,
-    rows with equal ids are judged each by its text. Rows without an id are left out. Other columns than
-    ``doc_id`` and ``text`` are ignored. An empty table gives an empty result.
-    """
+def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Each document of the packs with the root of its group: ref, pack, doc_id, n_shingles, root."""
     if not 75 <= percent <= 100:
         raise ValueError("the bands are laid out for 75 to 100 percent")
-    packs = pack_documents(docs)
     for seed in range(8):
         run, schema = _sets_of(size, percent, seed)
         facts = stored(packs.mapInArrow(run, schema), "sets")
@@ -324,10 +315,36 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     so_far = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
     whole = components(so_far.unionByName(rest).unionByName(copies))
 
-    named = facts.join(whole, facts.ref == whole.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "ref").alias("root"))
+    root = F.coalesce("root", "ref").alias("root")
+    return facts.join(whole, facts.ref == whole.node, "left").select("ref", "pack", "doc_id", "n_shingles", root)
+
+
+def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """Groups of documents linked by Jaccard similarity of their word runs: doc_id, n_shingles, component_id.
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased. A document's set holds its
+    different runs of ``size`` words; one with fewer words has them all as one run; one without words has an
+    empty set and no link. ``percent`` is the threshold, from 75 to 100. ``component_id`` is the smallest
+    doc_id reachable by links, or the document's own. Every row gets a result: null texts have empty sets,
+    rows with equal ids are judged each by its text. Rows without an id are left out. Other columns than
+    ``doc_id`` and ``text`` are ignored. An empty table gives an empty result.
+    """
+    named = _grouped(pack_documents(docs), size, percent)
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(ids, "root").select("doc_id", "n_shingles", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The documents of which each group keeps one, that of the smallest id (of equal ids, one), as they are.
+
+    Groups, nulls and the rest as for ``jaccard_groups``; documents with an empty set all stay. ``docs`` may
+    have further columns, which are handed on.
+    """
+    packs = pack_documents(docs.withColumn("_rest", rest_of(docs)), "_rest")
+    named = stored(_grouped(packs, size, percent), "grouped")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "ref", "pack")).alias("first")).select("first.*")
+    return with_rest(chosen_documents(packs, first.select("pack", F.col("ref").bitwiseAND(65535).alias("idx"))), docs)
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

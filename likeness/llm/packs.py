@@ -30,13 +30,9 @@ PACK_SCHEMA = "pack long, ids binary, lens binary, tags array<string>, n_bytes l
 class Pack:
     """One unpacked row: ``ids``, ``lens`` (-1: null text), ``starts`` (one more than documents) and the bytes."""
 
-    def __init__(self, number: int, ids: bytes, lens: bytes, tags, body: bytes):
-        self.number = number
-        self.ids = np.frombuffer(ids, "<i8")
-        self.lens = np.frombuffer(lens, "<i8")
-        self.tags = tags
-        self.starts = np.concatenate([[0], np.cumsum(np.maximum(self.lens, 0))]).astype("i8")
-        self.data = zstandard.ZstdDecompressor().decompress(body) if body else b""
+    def __init__(self, number: int, ids: np.ndarray, lens: np.ndarray, tags, data: bytes):
+        self.number, self.ids, self.lens, self.tags, self.data = number, ids, lens, tags, data
+        self.starts = np.concatenate([[0], np.cumsum(np.maximum(lens, 0))]).astype("i8")
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -132,14 +128,29 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pack, dict]]:
             row = {n: batch.column(j)[i] for j, n in enumerate(names)}
             pack = Pack(
                 row["pack"].as_py(),
-                row["ids"].as_py(),
-                row["lens"].as_py(),
+                np.frombuffer(row["ids"].as_py(), "<i8"),
+                np.frombuffer(row["lens"].as_py(), "<i8"),
                 row["tags"].as_py() if "tags" in row else None,
-                row["body"].as_py(),
+                zstandard.ZstdDecompressor().decompress(row["body"].as_py()),
             )
             yield pack, row
 
 
+def passing_packs(batches: Iterator[pa.RecordBatch], size: int = PACK_BYTES) -> Iterator[tuple[Pack, pa.RecordBatch]]:
+    """Documents on their way through one task, some megabytes at a time, with the rows they come from.
+
+    The batches have a column ``text``; ids are not looked at.
+    """
+    for batch in batches:
+        offsets, data, valid = text_buffers(batch.column(batch.schema.get_field_index("text")))
+        at, n = 0, batch.num_rows
+        while at < n:
+            to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "left"))), n)
+            lens = np.where(valid[at:to], np.diff(offsets[at : to + 1]), -1)
+            yield Pack(0, np.arange(to - at), lens, None, bytes(data[offsets[at] : offsets[to]])), batch.slice(at, to - at)
+            at = to
+
+
 def with_replies(packs: DataFrame, replies: DataFrame) -> DataFrame:
     """Packs with the rows that belong to them, as an array ``replies``; null where there are none.
 
@@ -150,6 +161,39 @@ def with_replies(packs: DataFrame, replies: DataFrame) -> DataFrame:
     return packs.join(gathered, "pack", "left")
 
 
+def rest_of(docs: DataFrame):
+    """All columns but ``doc_id`` and ``text`` as one string, to ride along as a tag."""
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return F.to_json(F.struct(*names)) if names else F.lit(None).cast("string")
+
+
+def with_rest(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, tag) in the columns of ``docs``."""
+    fields = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    rows = rows.withColumn("_rest", F.from_json("tag", schema)) if fields else rows
+    cast = {f.name: f.dataType for f in docs.schema}
+    return rows.select(
+        *[F.col(c).cast(cast[c]) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns]
+    )
+
+
+def _restored(batches):
+    for pack, row in unpacked(batches):
+        chosen = np.array(row["chosen"].as_py() or [], "i8")
+        texts = [pack.data[pack.starts[i] : pack.starts[i + 1]].decode("utf-8", "replace") if pack.lens[i] >= 0 else None for i in chosen]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pack.ids[chosen]), pa.array(texts, pa.string()), pa.array([pack.tags[i] for i in chosen], pa.string())],
+            names=["doc_id", "text", "tag"],
+        )
+
+
+def chosen_documents(packs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, tag) at the places (pack, idx) of ``chosen``."""
+    places = chosen.groupBy("pack").agg(F.collect_list("idx").alias("chosen"))
+    return packs.join(places, "pack").mapInArrow(_restored, "doc_id long, text string, tag string")
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A fixed scrambling of 64-bit values, one to one."""
     values = values.astype("u8", copy=True)

@@ -24,6 +24,14 @@ def _up_to(base: int, n: int) -> np.ndarray:
     return _KEPT[base]
 
 
+def hashes_of(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial over the bytes of each stretch, scrambled."""
+    raw = np.frombuffer(data, "u1")
+    total = np.zeros(len(raw) + 1, "u8")
+    np.cumsum(mix(np.arange(1, 257, dtype="u8"))[raw] * _up_to(_ODD, len(raw))[: len(raw)], out=total[1:])
+    return mix((total[end] - total[begin]) * _up_to(_INVERSE, len(raw) + 1)[begin])
+
+
 class WordSpans:
     """``begin`` and ``end`` of each word in the pack's bytes; ``starts`` says where each document's words begin."""
 
@@ -48,11 +56,7 @@ class WordSpans:
         return len(self.begin)
 
     def hashes(self) -> np.ndarray:
-        """A polynomial over the bytes of each word, scrambled."""
-        raw = np.frombuffer(self.data, "u1")
-        total = np.zeros(len(raw) + 1, "u8")
-        np.cumsum(mix(np.arange(1, 257, dtype="u8"))[raw] * _up_to(_ODD, len(raw))[: len(raw)], out=total[1:])
-        return mix((total[self.end] - total[self.begin]) * _up_to(_INVERSE, len(raw))[self.begin])
+        return hashes_of(self.data, self.begin, self.end)
 
     def join(self, a: int, b: int) -> bytes:
         """The words from ``a`` to ``b`` (exclusive), joined by one space. They are of one document."""
