@@ -7,9 +7,11 @@ agree: a segment picked exactly stands for one difference, one picked with its o
 for two, as two sets that differ in one element there have a neighbour in common. Every set picks what is
 cheapest, by how many sets have the same subsets; subsets that no other set has cost nothing.
 
-Sets that meet are first compared with the smallest of each meeting, which links most near copies to a
-group. Only meetings with several groups left are compared further, and only across groups. So links that
-can join two groups are all verified, and no meeting is expanded into all its pairs.
+Sets that meet are first compared with one of each meeting, another one in each round, which links most
+near copies to a group. Only meetings with several groups left are compared further, and only across groups.
+So links that can join two groups are all verified, and no meeting is expanded into all its pairs. Every set
+has a bitmap in which each element turns a bit over; two sets differ in at least as many elements as their
+bitmaps in bits. Pairs that differ too much by this are out before any set is looked up.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BANDS = [(64, 0, False), (96, 24, True), (192, 48, True), (384, 192, False)]
 BANDS += [(768 << i, 256 << i, False) for i in range(32)]
 UPPER = np.array([b[0] for b in BANDS])
+#: 64-bit words of a bitmap, and rounds in which meetings are compared with one set each.
+WORDS = 16
+ROUNDS = 4
 
 
 def shingle_sets(pack: Pack, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,11 +177,21 @@ def chosen(cost_one: np.ndarray, cost_two: np.ndarray, worth: np.ndarray, owner:
     return np.bincount(segment[taken], minlength=len(owner))
 
 
+def bitmaps(sets: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words for each of the given sets."""
+    out = np.zeros((len(docs), WORDS), "i8")
+    spots = (mix(sets + np.uint64(WORDS)) >> np.uint64(32)) % np.uint64(64 * WORDS)
+    for i, d in enumerate(docs.tolist()):
+        odd = np.bincount(spots[starts[d] : starts[d + 1]].astype("i8"), minlength=64 * WORDS) & 1
+        out[i] = np.packbits(odd.astype("u1")).view("i8")
+    return out
+
+
 def _meetings(size: int, percent: int, seed: int):
     """Rows of two kinds: keys of sets that may have a partner, and these sets themselves."""
-    schema = "key long, ref long, n long, probe boolean, shingles binary"
+    schema = "key long, ref long, n long, probe boolean, shingles binary, bits array<long>"
 
-    def batch(keys, refs, n, probe, shingles):
+    def batch(keys, refs, n, probe, shingles, bits=None):
         count = len(refs)
         return pa.RecordBatch.from_arrays(
             [
@@ -185,8 +200,9 @@ def _meetings(size: int, percent: int, seed: int):
                 pa.array(n),
                 pa.array(probe) if probe is not None else pa.nulls(count, pa.bool_()),
                 pa.array(shingles, pa.binary()) if shingles is not None else pa.nulls(count, pa.binary()),
+                pa.array(list(bits), pa.list_(pa.int64())) if bits is not None else pa.nulls(count, pa.list_(pa.int64())),
             ],
-            names=["key", "ref", "n", "probe", "shingles"],
+            names=["key", "ref", "n", "probe", "shingles", "bits"],
         )
 
     def run(batches):
@@ -231,7 +247,7 @@ def _meetings(size: int, percent: int, seed: int):
             yield batch(keys, ref, n[owner].astype("i8"), probe, None)
             members = np.unique(owner)
             blobs = [sets[a:b].tobytes() for a, b in zip(starts[members].tolist(), starts[members + 1].tolist())]
-            yield batch(None, (pack.number << 16) + members, n[members].astype("i8"), None, blobs)
+            yield batch(None, (pack.number << 16) + members, n[members].astype("i8"), None, blobs, bitmaps(sets, starts, members))
 
     return run, schema
 
@@ -247,6 +263,18 @@ def fitting(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
+def alike(one: str, two: str, percent: int) -> Column:
+    """Whether the bitmaps allow for the threshold."""
+    apart = sum(F.bit_count(F.col(f"bits{one}")[i].bitwiseXOR(F.col(f"bits{two}")[i])) for i in range(WORDS))
+    return apart * (100 + percent) <= (F.col(f"n{one}") + F.col(f"n{two}")) * (100 - percent)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps leave."""
+    side = lambda name: sets.select(F.col("ref").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a", "b", percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold."""
     side = lambda name: sets.select(F.col("ref").alias(name), F.col("n").alias(f"n_{name}"), F.col("shingles").alias(f"set_{name}"))
@@ -280,39 +308,57 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
     run, schema = _meetings(size, percent, seed)
     rows = stored(sources.join(gathered, "pack").mapInArrow(run, schema), "meetings")
     entries = rows.filter("key is not null").select("key", "ref", "n", "probe")
-    sets = rows.filter("key is null").select("ref", "n", "shingles")
+    sets = rows.filter("key is null").select("ref", "n", "shingles", "bits")
 
     # A meeting's members are told by two sums over them, so meetings of the same sets are one.
     who = [F.sum(F.xxhash64("ref", F.lit(i)).bitwiseAND((1 << 40) - 1)).alias(f"who{i}") for i in (1, 2)]
-    centre = F.min(F.struct("ref", "n", "probe")).alias("centre")
-    groups = entries.groupBy("key").agg(centre, *who, F.count("*").alias("size"), F.max("probe").alias("any"))
+    groups = entries.groupBy("key").agg(*who, F.count("*").alias("size"), F.max("probe").alias("any"))
     met = entries.join(groups.filter("size > 1 and any"), "key")
-    members = stored(
-        met.groupBy("who1", "who2", "size", "ref", "n").agg(
-            F.max("probe").alias("probe"), F.min("centre.ref").alias("centre"), F.min("centre.n").alias("centre_n"), F.max("centre.probe").alias("centre_probe")
-        ),
-        "members",
-    )
-    near = fitting(F.col("n"), F.col("centre_n"), percent) & (F.col("probe") | F.col("centre_probe"))
-    stars = members.filter((F.col("ref") != F.col("centre")) & near)
-    links = stored(verified(stars.select(F.col("centre").alias("a"), F.col("ref").alias("b")).distinct(), sets, percent), "near")
-
-    roots = components(links)
-    placed = members.join(roots, members.ref == roots.node, "left").select(
-        "who1", "who2", "size", "ref", "n", "probe", F.coalesce("root", "ref").alias("root")
-    )
-    placed = stored(placed, "placed")
     meeting = ["who1", "who2", "size"]
-    open_ = placed.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high and size > 2")
-    unsettled = stored(placed.join(open_.select(*meeting), meeting), "unsettled")
-    one, two = (unsettled.select(*meeting, *[F.col(c).alias(f"{c}{i}") for c in ("ref", "n", "probe", "root")]) for i in (1, 2))
-    across = one.join(two, meeting).filter(
-        (F.col("root1") < F.col("root2")) & (F.col("probe1") | F.col("probe2")) & fitting(F.col("n1"), F.col("n2"), percent)
-    )
+    members = met.groupBy(*meeting, "ref", "n").agg(F.max("probe").alias("probe")).withColumn("root", F.col("ref"))
+    members, groups_of = stored(members, "members"), None
+    fit = lambda one, two: fitting(F.col(f"n{one}"), F.col(f"n{two}"), percent) & (F.col(f"probe{one}") | F.col(f"probe{two}"))
+    side = lambda df, name: df.select(*meeting, *[F.col(c).alias(f"{c}{name}") for c in ("ref", "n", "probe", "root")])
+
+    def merged(links: DataFrame, so_far: DataFrame | None) -> DataFrame:
+        """(node, root) of all sets that are linked, after further links between groups."""
+        step = components(links)
+        if so_far is None:
+            return step
+        moved = so_far.join(step.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+        moved = moved.select("node", F.coalesce("above", "root").alias("root"))
+        return stored(moved.unionByName(step.join(so_far, "node", "left_anti")), "groups")
+
+    def unsettled() -> DataFrame:
+        """The members of meetings with several groups, with these."""
+        at = members.drop("root").join(groups_of.withColumnRenamed("node", "ref"), "ref", "left") if groups_of else members
+        at = at.withColumn("root", F.coalesce("root", "ref"))
+        left = at.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        return stored(at.join(left.select(*meeting), meeting), "unsettled")
+
+    open_ = members
+    for turn in range(ROUNDS):
+        order = F.xxhash64("ref", F.lit(turn)) if turn else F.lit(0)
+        centres = open_.groupBy(*meeting).agg(F.min(F.struct(order.alias("o"), "ref", "n", "probe", "root")).alias("c"))
+        centres = centres.select(*meeting, *[F.col(f"c.{c}").alias(f"{c}2") for c in ("ref", "n", "probe", "root")])
+        stars = side(open_, "1").join(centres, meeting).filter((F.col("root1") != F.col("root2")) & fit("1", "2"))
+        pairs = stars.groupBy(F.col("ref1").alias("a"), F.col("ref2").alias("b")).agg(F.first("root1").alias("root1"), F.first("root2").alias("root2"))
+        pairs = stored(pairs, "pairs")
+        near = verified(possible(pairs.select("a", "b"), sets, percent), sets, percent).join(pairs, ["a", "b"])
+        links = stored(near.select(F.col("root1").alias("a"), F.col("root2").alias("b")).distinct(), "near")
+        if links.isEmpty() and turn:
+            break
+        groups_of = merged(links, groups_of)
+        open_ = unsettled()
+        if open_.isEmpty():
+            break
+    marked = open_.join(sets.select("ref", "bits"), "ref")
+    wide = lambda name: marked.select(*meeting, *[F.col(c).alias(f"{c}{name}") for c in ("ref", "n", "probe", "root", "bits")])
+    across = wide("1").join(wide("2"), meeting).filter((F.col("root1") < F.col("root2")) & fit("1", "2") & alike("1", "2", percent))
     rest = verified(across.select(F.col("ref1").alias("a"), F.col("ref2").alias("b")).distinct(), sets, percent)
     copies = repeated.filter("ref != rep").select(F.col("rep").alias("a"), F.col("ref").alias("b"))
     # Groups found so far stand for their links.
-    so_far = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    so_far = groups_of.select(F.col("root").alias("a"), F.col("node").alias("b"))
     whole = components(so_far.unionByName(rest).unionByName(copies))
 
     root = F.coalesce("root", "ref").alias("root")
