@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from likeness.llm.components import components
 from likeness.llm.keys import counted, group_starts, places, shared_keys, told_keys
 from likeness.llm.packs import Pack, chosen_documents, mix, pack_documents, rest_of, unpacked, with_rest
-from likeness.llm.words import WordSpans
+from likeness.llm.words import LOWER, WordSpans
 from likeness.session import stored
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bands: upper size (exclusive), number of segments (0: one for each element), one-deletion neighbourhoods.
 BANDS = [(64, 0, False), (96, 24, True), (192, 48, True), (384, 192, False)]
 BANDS += [(768 << i, 256 << i, False) for i in range(32)]

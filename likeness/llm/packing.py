@@ -9,6 +9,8 @@ places by their rank among the pieces of their grid length.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections import Counter
 
@@ -17,42 +19,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from likeness.llm.keys import group_starts, places
 from likeness.llm.packs import passing_packs
-from likeness.llm.words import WordSpans
+from likeness.llm.words import LOWER, WordSpans
 from likeness.operators.ranking import hash_rank
 from likeness.session import stored
 
 END = 1
-#: Different words whose tokens a worker keeps at hand; the number has no influence on the result.
-KEPT_WORDS = 1 << 19
+#: Different words whose tokens a worker process keeps at hand; the number has no influence on the result.
+KEPT_WORDS = 1 << 21
 
 
 class WordTokens:
-    """Token ids of texts, word by word: this tokenizer treats what white space parts on its own."""
+    """Token ids of texts, word by word: this tokenizer treats what white space parts on its own.
+
+    Words are known by their hash, in sorted arrays that take few bytes a word: a small recent pair and a
+    large one into which it is merged now and then.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = [np.zeros(0, "u8"), np.zeros(0, "u8")]
+        self.at = [np.zeros(0, "i8"), np.zeros(0, "i8")]
+        self.size = [np.zeros(0, "i4"), np.zeros(0, "i4")]
+        self.flat, self.n_flat = np.zeros(1 << 16, "u2"), 0
+
+    @classmethod
+    def of_process(cls, path: str) -> WordTokens:
+        """One for each worker process, which outlives its tasks."""
+        kept = sys.modules.setdefault("_kept_word_tokens", types.ModuleType("_kept_word_tokens")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _add(self, into: int, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        keys = np.append(self.keys[into], keys)
+        order = np.argsort(keys)
+        self.keys[into] = keys[order]
+        self.at[into], self.size[into] = np.append(self.at[into], at)[order], np.append(self.size[into], size)[order]
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), "i4", len(found))
+        total = int(size.sum())
+        while self.n_flat + total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(len(self.flat), "u2"))
+        self.flat[self.n_flat : self.n_flat + total] = np.fromiter((i for ids in found for i in ids), "u2", total)
+        self._add(1, keys, self.n_flat + np.cumsum(size) - size, size)
+        self.n_flat += total
+        if len(self.keys[1]) * 4 > len(self.keys[0]):
+            self._add(0, self.keys[1], self.at[1], self.size[1])
+            for part in (self.keys, self.at, self.size):
+                part[1] = part[1][:0]
 
     def of_words(self, data: bytes, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each word has."""
-        different, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = different.tolist()
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        words = [data[b:e].decode("utf-8", "replace") for b, e in zip(begin[at[new]].tolist(), end[at[new]].tolist())]
-        for i, found in zip(new, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[keys[i]] = np.array(found.ids, "<u4").tobytes()
-        ids = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        start = np.cumsum(size) - size
-        counts = size[which]
-        spots = np.repeat(start[which] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        return flat[spots], counts
+        order = np.argsort(hashes)
+        first = group_starts(hashes[order])
+        different, lead = hashes[order][first], order[first]
+        if len(self.keys[0]) > KEPT_WORDS:
+            self.clear()
+        new = ~(places(self.keys[0], different)[0] | places(self.keys[1], different)[0])
+        if new.any():
+            spots = lead[new]
+            self._learn(different[new], [data[b:e].decode("utf-8", "replace") for b, e in zip(begin[spots].tolist(), end[spots].tolist())])
+        at, size = np.zeros(len(different), "i8"), np.zeros(len(different), "i8")
+        for keys, starts, sizes in zip(self.keys, self.at, self.size):
+            hit, spot = places(keys, different)
+            at[hit], size[hit] = starts[spot[hit]], sizes[spot[hit]]
+        times = np.diff(np.append(first, len(hashes)))
+        start, counts = np.empty(len(hashes), "i8"), np.empty(len(hashes), "i8")
+        start[order], counts[order] = np.repeat(at, times), np.repeat(size, times)
+        spots = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return self.flat[spots].astype("<u4"), counts
 
 
 def _with_marks_apart(data: bytes, spans: WordSpans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +117,12 @@ def _with_marks_apart(data: bytes, spans: WordSpans) -> tuple[np.ndarray, np.nda
 
 def _pieces(tokenizer: str, length: int, keep_ids: bool):
     def run(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = WordTokens.of_process(tokenizer)
         for pack, rows in passing_packs(batches):
+            # The tokenizer lower-cases; doing it before makes fewer different words. Its special tokens are
+            # in lower case, so texts that might spell one in capitals stay as they are.
+            if b"<|" not in pack.data:
+                pack.data = pack.data.translate(LOWER)
             spans = WordSpans(pack)
             begin, end, starts = _with_marks_apart(pack.data, spans)
             spans.begin, spans.end = begin, end

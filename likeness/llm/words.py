@@ -8,6 +8,8 @@ from likeness.llm.packs import Pack, mix
 
 #: ASCII white space.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: A table for ``bytes.translate`` that lower-cases A-Z.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
