@@ -34,7 +34,7 @@ BANDS += [(768 << i, 256 << i, False) for i in range(32)]
 UPPER = np.array([b[0] for b in BANDS])
 #: 64-bit words of a bitmap, and rounds in which meetings are compared with one set each.
 WORDS = 16
-ROUNDS = 4
+ROUNDS = 3
 
 
 def shingle_sets(pack: Pack, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +313,8 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
     who = [F.sum(F.xxhash64("ref", F.lit(i)).bitwiseAND((1 << 40) - 1)).alias(f"who{i}") for i in (1, 2)]
     groups = entries.groupBy("key").agg(*who, F.count("*").alias("size"), F.max("probe").alias("any"))
     met = entries.join(groups.filter("size > 1 and any"), "key")
-    meeting = ["who1", "who2", "size"]
+    meeting = ["meeting"]
+    met = met.withColumn("meeting", F.xxhash64("who1", "who2", "size"))
     members = met.groupBy(*meeting, "ref", "n").agg(F.max("probe").alias("probe")).withColumn("root", F.col("ref"))
     members, groups_of = stored(members, "members"), None
     fit = lambda one, two: fitting(F.col(f"n{one}"), F.col(f"n{two}"), percent) & (F.col(f"probe{one}") | F.col(f"probe{two}"))
@@ -328,29 +329,27 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
         moved = moved.select("node", F.coalesce("above", "root").alias("root"))
         return stored(moved.unionByName(step.join(so_far, "node", "left_anti")), "groups")
 
-    def unsettled() -> DataFrame:
-        """The members of meetings with several groups, with these."""
-        at = members.drop("root").join(groups_of.withColumnRenamed("node", "ref"), "ref", "left") if groups_of else members
-        at = at.withColumn("root", F.coalesce("root", "ref"))
-        left = at.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        return stored(at.join(left.select(*meeting), meeting), "unsettled")
+    def placed() -> DataFrame:
+        """The members of all meetings with the groups found so far."""
+        at = members.drop("root").join(groups_of.withColumnRenamed("node", "ref"), "ref", "left")
+        return at.withColumn("root", F.coalesce("root", "ref"))
 
-    open_ = members
     for turn in range(ROUNDS):
         order = F.xxhash64("ref", F.lit(turn)) if turn else F.lit(0)
-        centres = open_.groupBy(*meeting).agg(F.min(F.struct(order.alias("o"), "ref", "n", "probe", "root")).alias("c"))
+        at = placed() if turn else members
+        centres = at.groupBy(*meeting).agg(F.min(F.struct(order.alias("o"), "ref", "n", "probe", "root")).alias("c"))
         centres = centres.select(*meeting, *[F.col(f"c.{c}").alias(f"{c}2") for c in ("ref", "n", "probe", "root")])
-        stars = side(open_, "1").join(centres, meeting).filter((F.col("root1") != F.col("root2")) & fit("1", "2"))
+        stars = side(at, "1").join(centres, meeting).filter((F.col("root1") != F.col("root2")) & fit("1", "2"))
         pairs = stars.groupBy(F.col("ref1").alias("a"), F.col("ref2").alias("b")).agg(F.first("root1").alias("root1"), F.first("root2").alias("root2"))
         pairs = stored(pairs, "pairs")
         near = verified(possible(pairs.select("a", "b"), sets, percent), sets, percent).join(pairs, ["a", "b"])
         links = stored(near.select(F.col("root1").alias("a"), F.col("root2").alias("b")).distinct(), "near")
-        if links.isEmpty() and turn:
+        if turn and links.isEmpty():
             break
         groups_of = merged(links, groups_of)
-        open_ = unsettled()
-        if open_.isEmpty():
-            break
+    last = stored(placed(), "placed")
+    several = last.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    open_ = last.join(several.select(*meeting), meeting)
     marked = open_.join(sets.select("ref", "bits"), "ref")
     wide = lambda name: marked.select(*meeting, *[F.col(c).alias(f"{c}{name}") for c in ("ref", "n", "probe", "root", "bits")])
     across = wide("1").join(wide("2"), meeting).filter((F.col("root1") < F.col("root2")) & fit("1", "2") & alike("1", "2", percent))
