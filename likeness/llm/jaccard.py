@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from likeness.llm.components import components
 from likeness.llm.keys import counted, group_starts, places, shared_keys, told_keys
@@ -251,7 +252,7 @@ def _meetings(size: int, percent: int, seed: int):
     return run, schema
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _common(one: pd.Series, two: pd.Series) -> pd.Series:
     count = [len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True)) for a, b in zip(one, two)]
     return pd.Series(count, dtype="int64")

@@ -82,28 +82,19 @@ def scanned(docs: DataFrame, statements, phrases, percent: int) -> DataFrame:
 
 def statement_matches(blocks: DataFrame, statements, percent: int) -> DataFrame:
     """(row, label, score): statements that reach the threshold in some block of ``blocks`` (row, block, tokens)."""
-    spark = blocks.sparkSession
+    used = sorted({w for _, wording in statements for w in wording.split()})
+    counts = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    often = {r["token"]: r["count"] for r in counts.filter(F.col("token").isin(used)).collect()}  # words of statements only
+    order = sorted(used, key=lambda w: (often.get(w, 0), w))
     rows = []
     for label, wording in statements:
-        tokens = sorted(set(wording.split()))
-        rows.append((label, tokens, needed(len(tokens), percent)))
-    known = spark.sql(
-        "SELECT * FROM VALUES "
-        + ", ".join(f"('{a}', array({', '.join(repr(t) for t in b)}), {c})" for a, b, c in rows)
-        + " AS s(label, statement, least)"
-    )
-    # One row for each word of the statements, whatever the input: a fixed bound.
-    used = known.select(F.explode("statement").alias("token")).distinct()
-    counts = blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    order = used.join(counts, "token", "left").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))), lambda x: x["token"]).alias("vocabulary")
-    )
-    in_order = lambda tokens: F.filter(F.col("vocabulary"), lambda w: F.array_contains(tokens, w))
-    ordered = known.crossJoin(F.broadcast(order)).select("label", in_order(F.col("statement")).alias("statement"), "least")
-    prefix = ordered.select("label", "statement", "least", F.posexplode("statement").alias("i", "token")).filter(
-        F.col("i") <= F.size("statement") - F.col("least")
-    )
-    sorted_blocks = blocks.crossJoin(F.broadcast(order)).select("row", "block", in_order(F.col("tokens")).alias("tokens"))
+        tokens = sorted(set(wording.split()), key=order.index)
+        least = needed(len(tokens), percent)
+        listed = ", ".join(f"'{t}'" for t in tokens)
+        rows += [f"('{label}', array({listed}), {least}, {i}, '{t}')" for i, t in enumerate(tokens[: len(tokens) - least + 1])]
+    # A row for each word in the statements' prefixes, whatever the input: a fixed bound.
+    prefix = blocks.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS s(label, statement, least, i, token)")
+    sorted_blocks = blocks.select("row", "block", F.filter(F.lit(order), lambda w: F.array_contains("tokens", w)).alias("tokens"))
     entries = sorted_blocks.select("row", "block", "tokens", F.posexplode("tokens").alias("j", "token"))
     met = entries.join(F.broadcast(prefix), "token").filter(
         (F.size("tokens") >= F.col("least"))

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from likeness.llm.packs import mix, passing_packs
 from likeness.llm.words import WordSpans, hashes_of
@@ -110,7 +111,7 @@ def measured(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return found.withColumn("base_failed", failed).withColumn("stratum", stratum)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _refuted(n: pd.Series, k: pd.Series, rate: pd.Series) -> pd.Series:
     """Probability of at most ``k`` among ``n`` at the given rate, exactly; 1 where ``k`` is not below the mean."""
 
