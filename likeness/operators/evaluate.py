@@ -155,8 +155,8 @@ def threshold_predict(probability: Column, threshold: float = 0.5) -> Column:
 
 
 def vote_predict(votes: Column, trees: int, tie: int = 1) -> Column:
-    """Majority of the trees; ``tie`` is 1 in service and 0 in evaluation."""
-    return F.when(votes * 2 > trees, 1).when(votes * 2 < trees, 0).otherwise(tie)
+    """Majority of the trees; ``tie`` is 1 in service and 0 in evaluation. Without votes there is no prediction."""
+    return F.when(votes * 2 > trees, 1).when(votes * 2 < trees, 0).when(votes * 2 == trees, tie)
 
 
 def sort_scores(df: DataFrame, ids: list[str], score: str = "score") -> DataFrame:

@@ -14,10 +14,13 @@ NO_CONFIDENCE_TEXT = "No confidence score available."
 TOO_FEW_FILES_TEXT = "ZIP must contain at least 2 Java files"
 
 
-def accepted_batches(files: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """File count per batch, with an error for batches of fewer than two files."""
-    counts = files.groupBy(batch).agg(F.count("*").alias("total_files"))
-    return counts.withColumn("error", F.when(F.col("total_files") < 2, F.lit(TOO_FEW_FILES_TEXT)))
+def accepted_batches(files: DataFrame, batch: str = "batch_id", counts: Column | None = None) -> DataFrame:
+    """Number of files per batch, with an error for batches of fewer than two.
+
+    ``counts`` says which files count; a batch without any has a row and its error too.
+    """
+    counted = files.groupBy(batch).agg(F.count_if(F.lit(True) if counts is None else counts).alias("total_files"))
+    return counted.withColumn("error", F.when(F.col("total_files") < 2, F.lit(TOO_FEW_FILES_TEXT)))
 
 
 def status_label(prediction: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.operators.ranking import hash_rank
+from likeness.operators.ranking import hash_key, hash_rank
 
 
 def random_split(df: DataFrame, ids: list[str], train_percent: int = 80, seed: int = 42) -> DataFrame:
@@ -33,9 +33,16 @@ def folds(df: DataFrame, ids: list[str], k: int = 5, label: str | None = None, s
     return ranked.withColumn("fold", fold).drop("rank", "group_size")
 
 
-def bootstrap(df: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """A sample with replacement of about ``ratio`` times the rows."""
-    return df.sample(withReplacement=True, fraction=ratio, seed=seed)
+def bootstrap(df: DataFrame, ids: list[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:
+    """A sample with replacement of exactly ``ratio`` times the rows, rounded, the same in every run.
+
+    Each draw is a hash of its number and takes the row of that rank.
+    """
+    rows = df.count()
+    draws = df.sparkSession.range(int(ratio * rows + 0.5)).withColumn("draw", hash_key(seed, F.lit("draw"), F.col("id")))
+    number = F.conv(F.substring("draw", 1, 15), 16, 10).cast("bigint")
+    drawn = draws.select((F.pmod(number, F.lit(max(1, rows))) + 1).alias("rank"))
+    return drawn.join(hash_rank(df, ids, seed=seed).drop("group_size"), "rank").drop("rank")
 
 
 def _cut(ranked: DataFrame, train_percent: int) -> DataFrame:

@@ -396,10 +396,16 @@ def oracle_sql() -> dict[str, str]:
         "label_from_path": path_sql(),
         "load_batch": with_ctes(
             "files",
-            """SELECT batch_id, count(*) AS total_files,
-              CASE WHEN count(*) < 2 THEN 'ZIP must contain at least 2 Java files' END AS error
-            FROM files WHERE NOT contains(path, '/') AND path LIKE '%.java' GROUP BY 1""",
+            """SELECT batch_id, total_files, CASE WHEN total_files < 2 THEN 'ZIP must contain at least 2 Java files' END AS error
+            FROM (SELECT batch_id, count(*) FILTER (NOT contains(path, '/') AND path LIKE '%.java') AS total_files
+                  FROM files GROUP BY 1)""",
         ),
+        "bootstrap": """
+            WITH ranked AS (SELECT doc_id, quality::BIGINT AS label, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS rank,
+                count(*) OVER () AS n FROM labels),
+              draws AS (SELECT ('0x' || substr(md5('42|draw|' || i), 1, 15))::BIGINT AS draw
+                FROM (SELECT unnest(range((SELECT floor(0.8 * count(*) + 0.5)::BIGINT FROM labels))) AS i))
+            SELECT doc_id, label FROM draws JOIN ranked ON rank = draw % n + 1""",
         "read_pairs": """SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS width,
             round(list_sum(list_transform(embedding, lambda x: x::VARCHAR::DOUBLE)), 6)::DOUBLE AS total FROM embeddings""",
         "strip_comments": f"SELECT page_id, {drop('url', COMMENT)} AS url, md5({drop('html', COMMENT)}) AS html_md5 FROM pages",

@@ -54,8 +54,7 @@ def label_from_path(spark, folder):
 
 @query
 def load_batch(spark, folder):
-    files = corpus.load_batch(tables.conversation_files(spark, folder))
-    return report.accepted_batches(files)
+    return report.accepted_batches(tables.conversation_files(spark, folder), counts=corpus.counts_in_batch())
 
 
 @query
@@ -300,7 +299,7 @@ def stratified_folds(spark, folder):
 
 @query
 def bootstrap(spark, folder):
-    return splits.bootstrap(_labelled(spark, folder))
+    return bigs(splits.bootstrap(_labelled(spark, folder), ["doc_id"]))
 
 
 # Evaluation

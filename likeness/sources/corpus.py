@@ -45,9 +45,14 @@ def label_from_path(files: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+def counts_in_batch(path: str = "path", suffix: str = ".java") -> Column:
+    """Whether a file counts: a code file that lies at the top of its batch."""
+    return ~F.col(path).contains("/") & F.col(path).endswith(suffix)
+
+
 def load_batch(files: DataFrame, batch: str = "batch_id", path: str = "path", suffix: str = ".java") -> DataFrame:
-    """The files of submitted batches that count: code files that lie at the top of their batch."""
-    return files.filter(~F.col(path).contains("/") & F.col(path).endswith(suffix))
+    """The files of submitted batches that count."""
+    return files.filter(counts_in_batch(path, suffix))
 
 
 def read_pairs(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

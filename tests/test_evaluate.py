@@ -87,6 +87,7 @@ def test_ties_of_votes(spark):
         evaluate.vote_predict(F.lit(99), 200), evaluate.threshold_predict(F.lit(0.5)),
     ).first()
     assert tuple(row) == (1, 0, 0, 0)
+    assert spark.range(1).select(evaluate.vote_predict(F.lit(None).cast("int"), 200)).first()[0] is None
 
 
 def test_class_weights_balance(spark):
