@@ -36,6 +36,8 @@ UPPER = np.array([b[0] for b in BANDS])
 #: 64-bit words of a bitmap, and rounds in which meetings are compared with one set each.
 WORDS = 16
 ROUNDS = 3
+#: Members of a block, about; two blocks are compared at a time.
+BLOCK = 500
 
 
 def shingle_sets(pack: Pack, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,6 +285,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b")
 
 
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different groups that some meeting holds and that sizes and bitmaps leave.
+
+    Meetings that share members often hold the same pairs many times. Where the pairs of all members of such
+    meetings are no more than the pairs of each of them, the members are compared as one team; elsewhere each
+    meeting is a team. The members of a team are dealt into blocks, and each two blocks are compared on their own.
+    """
+    several = placed.groupBy("meeting").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("ref").alias("head"), F.count("*").alias("met"))
+    several = stored(several.filter("low < high").select("meeting", "head", "met"), "several")
+    at = stored(placed.join(several, "meeting"), "open")
+    teams = stored(components(at.select(F.col("head").alias("a"), F.col("ref").alias("b"))).select(F.col("node").alias("ref"), F.col("root").alias("team")), "teams")
+    at = at.join(teams, "ref")
+    pairs = at.groupBy("team").agg(F.sum("met").alias("pairs")).join(teams.groupBy("team").agg(F.count("*").alias("size")), "team")
+    at = at.join(stored(pairs.select("team", "size", (F.col("size") * F.col("size") <= F.col("pairs")).alias("joint")), "costs"), "team")
+    # Members of one team meet in many places; one row of each does.
+    joint = at.filter("joint").groupBy("team", "ref").agg(*[F.first(c).alias(c) for c in ("n", "root", "size")])
+    single = at.filter("not joint").select(F.col("meeting").alias("team"), "ref", "n", "root", F.col("met").alias("size"), "probe")
+    members = joint.withColumn("probe", F.lit(True)).unionByName(single).join(sets.select("ref", "bits"), "ref")
+    members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("ref", F.lit(ROUNDS)), "blocks"))
+    side = lambda name, one, two: members.select("team", one.alias("i"), two.alias("j"), *[F.col(c).alias(f"{c}{name}") for c in ("ref", "n", "probe", "root", "bits")])
+    left = side("1", F.col("block"), F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = side("2", F.explode(F.sequence(F.lit(0).cast("long"), "block")), F.col("block"))
+    # Little data, much comparing: partitions that are not put together again.
+    keys = (int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "team", "i", "j")
+    left, right = left.repartition(*keys), right.repartition(*keys)
+    fit = fitting(F.col("n1"), F.col("n2"), percent) & (F.col("probe1") | F.col("probe2"))
+    other = (F.col("root1") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("ref1") < F.col("ref2")))
+    met = left.join(right, ["team", "i", "j"]).filter(other & fit & alike("1", "2", percent))
+    return met.select(F.least("ref1", "ref2").alias("a"), F.greatest("ref1", "ref2").alias("b")).distinct()
+
+
 def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
     """Each document of the packs with the root of its group: ref, pack, doc_id, n_shingles, root."""
     if not 75 <= percent <= 100:
@@ -349,12 +382,7 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
             break
         groups_of = merged(links, groups_of)
     last = stored(placed(), "placed")
-    several = last.groupBy(*meeting).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    open_ = last.join(several.select(*meeting), meeting)
-    marked = open_.join(sets.select("ref", "bits"), "ref")
-    wide = lambda name: marked.select(*meeting, *[F.col(c).alias(f"{c}{name}") for c in ("ref", "n", "probe", "root", "bits")])
-    across = wide("1").join(wide("2"), meeting).filter((F.col("root1") < F.col("root2")) & fit("1", "2") & alike("1", "2", percent))
-    rest = verified(across.select(F.col("ref1").alias("a"), F.col("ref2").alias("b")).distinct(), sets, percent)
+    rest = verified(_across(last, sets, percent), sets, percent)
     copies = repeated.filter("ref != rep").select(F.col("rep").alias("a"), F.col("ref").alias("b"))
     # Groups found so far stand for their links.
     so_far = groups_of.select(F.col("root").alias("a"), F.col("node").alias("b"))
