@@ -38,18 +38,18 @@ def plagiarized_pairs(comparisons: DataFrame) -> DataFrame:
 
 
 def report_summary(files: DataFrame, comparisons: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Per accepted batch: files, comparisons, listed pairs and plagiarized pairs.
+    """Per batch: files, comparisons, listed pairs and plagiarized pairs, or the error of a rejected one.
 
     The number of comparisons follows from the number of files. A listed row may stand for several
     pairs, where files are copies of each other; ``pairs`` says for how many.
     """
-    accepted = accepted_batches(files, batch).filter(F.col("error").isNull()).drop("error")
+    every = accepted_batches(files, batch)
     listed = comparisons.groupBy(batch).agg(
         F.count("*").alias("listed"),
-        F.sum(F.when(F.col("prediction") == 1, F.col("pairs")).otherwise(0)).alias("plagiarized_pairs"),
+        F.sum(F.when(F.col("prediction") == 1, F.col("pairs")).otherwise(0)).cast("bigint").alias("plagiarized_pairs"),
     )
     return (
-        accepted.join(listed, batch, "left")
+        every.join(listed, batch, "left")
         .withColumn("total_comparisons", (F.col("total_files") * (F.col("total_files") - 1) / 2).cast("bigint"))
         .fillna(0, ["listed", "plagiarized_pairs"])
     )
@@ -58,12 +58,15 @@ def report_summary(files: DataFrame, comparisons: DataFrame, batch: str = "batch
 def batch_report(
     files: DataFrame, comparisons: DataFrame, submitted_at: Column, page_size: int = 1000, batch: str = "batch_id"
 ) -> DataFrame:
-    """Nested report rows: (batch, page, total_files, total_comparisons, comparisons[], submitted_at).
+    """Nested report rows: (batch, page, total_files, total_comparisons, error, comparisons[], submitted_at).
 
+    A rejected batch has a row with its error and no comparisons.
     A batch that lists up to ``page_size`` comparisons is one row. Longer lists are dealt onto
     pages by hash, so no row and no task holds more than about a page.
     """
-    summary = report_summary(files, comparisons, batch).select(batch, "total_files", "total_comparisons", "listed")
+    summary = report_summary(files, comparisons, batch).select(
+        batch, "total_files", "total_comparisons", "error", "listed"
+    )
     pages = F.ceil(F.greatest(F.col("listed"), F.lit(1)) / page_size)
     entry = F.struct("file1", "file2", "prediction", "confidence", "error")
     placed = (
@@ -78,6 +81,7 @@ def batch_report(
         F.coalesce("page", F.lit(0)).alias("page"),
         "total_files",
         "total_comparisons",
+        "error",
         F.coalesce("comparisons", empty).alias("comparisons"),
         submitted_at.alias("submitted_at"),
     )

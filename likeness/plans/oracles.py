@@ -294,12 +294,22 @@ COMPARISONS = (
     + """, comparisons AS (
       SELECT batch_id, 't' || (doc1 % 100000) || '.java' AS file1, 't' || (doc2 % 100000) || '.java' AS file2,
         CASE WHEN greatest(num_tokens1, num_tokens2) > 0 THEN votes / 200 END AS p1,
-        CASE WHEN greatest(num_tokens1, num_tokens2) > 0 THEN (votes >= 100)::BIGINT END AS prediction,
-        CASE WHEN token_overlap = greatest(num_tokens1, num_tokens2) THEN 1 ELSE copies1 * copies2 END AS pairs
+        CASE WHEN greatest(num_tokens1, num_tokens2) > 0 THEN (votes >= 100)::BIGINT END AS prediction
       FROM (SELECT *, 200 * token_overlap // greatest(num_tokens1, num_tokens2, 1) AS votes FROM similar_pairs)),
     listed AS (
-      SELECT batch_id, count(*) AS total_files, (count(*) * (count(*) - 1) // 2)::BIGINT AS total_comparisons
-      FROM files GROUP BY 1 HAVING count(*) >= 2)
+      SELECT batch_id, count(*) AS total_files, (count(*) * (count(*) - 1) // 2)::BIGINT AS total_comparisons,
+        CASE WHEN count(*) < 2 THEN 'ZIP must contain at least 2 Java files' END AS error
+      FROM files GROUP BY 1),
+    -- Every two files of a batch, copies or not, with the tokens they share.
+    each_pair AS (
+      SELECT x.batch_id, greatest(x.n, y.n) AS larger,
+        coalesce((SELECT sum(least(a.cnt, b.cnt)) FROM bag a JOIN bag b USING (batch_id, token)
+          WHERE a.batch_id = x.batch_id AND a.doc_id = x.doc_id AND b.doc_id = y.doc_id), 0) AS in_both,
+        x.n + y.n AS sizes
+      FROM total x JOIN total y ON x.batch_id = y.batch_id AND x.doc_id < y.doc_id),
+    copied AS (
+      SELECT batch_id, count(*)::BIGINT AS plagiarized_pairs FROM each_pair
+      WHERE larger > 0 AND in_both * 100 >= (sizes - in_both) * 20 AND 200 * in_both // larger >= 100 GROUP BY 1)
     """
 )
 
@@ -563,12 +573,13 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY 1, 2""",
         ),
         "batch_report": COMPARISONS
-        + """SELECT l.batch_id, total_files, total_comparisons, file1, file2, prediction, round(p1, 6)::DOUBLE AS p1
+        + """SELECT l.batch_id, total_files, total_comparisons, error, file1, file2, prediction, round(p1, 6)::DOUBLE AS p1
             FROM listed l LEFT JOIN comparisons c ON c.batch_id = l.batch_id""",
         "report_summary": COMPARISONS
         + """SELECT l.batch_id, total_files, count(file1) AS listed,
-              coalesce(sum(pairs) FILTER (prediction = 1), 0)::BIGINT AS plagiarized_pairs, total_comparisons
-            FROM listed l LEFT JOIN comparisons c ON c.batch_id = l.batch_id GROUP BY ALL""",
+              coalesce(any_value(plagiarized_pairs), 0)::BIGINT AS plagiarized_pairs, total_comparisons, error
+            FROM listed l LEFT JOIN comparisons c ON c.batch_id = l.batch_id
+            LEFT JOIN copied d ON d.batch_id = l.batch_id GROUP BY l.batch_id, total_files, total_comparisons, error""",
         "plagiarized_pairs": COMPARISONS
         + """SELECT batch_id, file1, file2, 'Plagiarized' AS status, printf('%.1f%%', p1 * 100) AS confidence
             FROM comparisons WHERE prediction = 1""",

@@ -564,7 +564,6 @@ def _comparisons(spark, folder):
     found = similar.similar_pairs(similarity.bags_of(files, "batch_id"), 20)
     votes = F.expr("200 * token_overlap div greatest(num_tokens1, num_tokens2, 1)")
     file = lambda doc: F.format_string("t%d.java", F.col(doc) % 100000)
-    same = F.col("token_overlap") == F.greatest("num_tokens1", "num_tokens2")
     valid = F.greatest("num_tokens1", "num_tokens2") > 0
     scored = found.select(
         "batch_id",
@@ -572,7 +571,7 @@ def _comparisons(spark, folder):
         file("doc2").alias("file2"),
         votes.alias("votes"),
         valid.alias("valid"),
-        F.when(same, F.lit(1)).otherwise(F.col("copies1") * F.col("copies2")).cast("bigint").alias("pairs"),
+        similar.pairs_behind().alias("pairs"),
     )
     p1 = F.col("votes") / 200
     rated = scored.withColumn("prediction", evaluate.vote_predict(F.col("votes"), 200)).withColumn(
@@ -588,13 +587,14 @@ def batch_report(spark, folder):
     files, comparisons = _comparisons(spark, folder)
     nested = report.batch_report(files, comparisons, F.lit("2025-01-01 00:00:00").cast("timestamp"), page_size=5)
     rows = nested.select(
-        "batch_id", "total_files", "total_comparisons", F.posexplode_outer("comparisons").alias("place", "c")
+        "batch_id", "total_files", "total_comparisons", "error", F.posexplode_outer("comparisons").alias("place", "c")
     )
     return bigs(
         rows.select(
             "batch_id",
             "total_files",
             "total_comparisons",
+            "error",
             "c.file1",
             "c.file2",
             "c.prediction",

@@ -95,10 +95,7 @@ def compare_batches(files: DataFrame, model, percent: int = 30) -> DataFrame:
     scored. Copies of a file are linked to its first one; ``pairs`` counts what a row stands for.
     """
     found = similar.similar_pairs(similarity.bags_of(files, "batch_id"), percent)
-    same = F.col("token_overlap") == F.greatest("num_tokens1", "num_tokens2")
-    wanted = found.select(
-        "batch_id", "doc1", "doc2", F.when(same, F.lit(1)).otherwise(F.col("copies1") * F.col("copies2")).alias("pairs")
-    )
+    wanted = found.select("batch_id", "doc1", "doc2", similar.pairs_behind().alias("pairs"))
     scored = compare(wanted, files, model)
     names = files.select("doc_id", "file")
     named = similarity.attach(similarity.attach(scored, names, 2), names, 1)

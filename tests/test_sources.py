@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from likeness.operators import evaluate, report, similarity
+from likeness.operators import evaluate, report, similar, similarity
 from likeness.sources import corpus, sinks
 
 
@@ -82,11 +82,21 @@ def test_report_pages_hold_everything_once(spark, tmp_path):
     assert len(pages) == 4 and {p.total_comparisons for p in pages} == {780}
     assert sorted(c.file1 for p in pages for c in p.comparisons) == [f"f{i:03}" for i in range(200)]
     assert [c.comparisons for c in back.filter("batch_id = 'empty'").collect()] == [[]]
-    assert back.filter("batch_id = 'single'").count() == 0
+    single = back.filter("batch_id = 'single'").first()
+    assert single.error == report.TOO_FEW_FILES_TEXT and single.comparisons == [] and single.total_comparisons == 0
     one = report.batch_report(files, comparisons(spark, 20), F.lit("2025-01-01").cast("timestamp"))
     assert one.filter("batch_id = 'b'").count() == 1
 
 
+def test_copies_count_as_all_their_pairs(spark):
+    files = spark.createDataFrame([("b", i, f"f{i}", "int a = 1 ;") for i in range(4)] + [("one", 9, "f9", "x")], "batch_id string, doc_id long, file string, text string")
+    found = similar.similar_pairs(similarity.bags_of(files, "batch_id"), 30)
+    judged = found.select("batch_id", similar.pairs_behind().alias("pairs"), F.lit(1).alias("prediction"))
+    made = {r.batch_id: r for r in report.report_summary(files, judged).collect()}
+    assert (made["b"].listed, made["b"].plagiarized_pairs, made["b"].total_comparisons, made["b"].error) == (3, 6, 6, None)
+    assert made["one"].plagiarized_pairs == 0 and made["one"].error == report.TOO_FEW_FILES_TEXT
+
+
 def test_history_across_slices(spark):
     entry = "struct<file1:string,file2:string,prediction:int,confidence:array<double>>"
     days = [(d, [("a", "b", int(p > 0.5), [1 - p, p])]) for d, p in ((1, 0.575), (2, 0.25), (30, 0.75), (31, 0.5), (90, 1.0))]
