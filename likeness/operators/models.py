@@ -165,15 +165,20 @@ def train_mlp(train: DataFrame, inputs: int, hidden: list[int] | None = None, ro
 
 
 def score_pairs(model, df: DataFrame, width: int | None = None) -> DataFrame:
-    """Add prediction and confidence ``[p0, p1]``; a vector of another width gets an ``error``."""
+    """Add prediction and confidence ``[p0, p1]``; a vector that is null or of another width gets an ``error``.
+
+    A forest is served by the votes of its trees, where a tie is 1; other models by their probability.
+    """
     size = F.size("features")
     sound = F.col("features").isNotNull() & ~F.exists("features", lambda x: x.isNull() | F.isnan(x))
     valid = F.coalesce(sound & (size == width) if width else sound, F.lit(False))
     known = df.withColumn("error", F.when(~valid, F.lit("features do not fit the model")))
-    scored = model.transform(with_vector(known.filter(F.col("error").isNull())))
-    good = scored.withColumn("confidence", vector_to_array("probability")).withColumn(
-        "prediction", threshold_predict(F.element_at("confidence", 2))
-    )
+    fit = known.filter(F.col("error").isNull())
+    if isinstance(model, RandomForestClassificationModel):
+        good = forest_predict(forest_votes(model, fit), model.getNumTrees)
+    else:
+        scored = model.transform(with_vector(fit)).withColumn("confidence", vector_to_array("probability"))
+        good = scored.withColumn("prediction", threshold_predict(F.element_at("confidence", 2)))
     kept = [*df.columns, "prediction", "confidence", "error"]
     bad = (
         known.filter(F.col("error").isNotNull())

@@ -39,6 +39,18 @@ def test_classifiers_learn(examples, name):
     assert {r.s for r in sums.distinct().collect()} == {1.0}
 
 
+def test_a_forest_is_served_by_votes_and_bad_vectors_get_an_error(examples):
+    forest = models.train_random_forest(examples.filter("is_train"), trees=4)
+    width = len(examples.first().features)
+    by_votes = models.forest_predict(models.forest_votes(forest, examples), 4)
+    mixed = examples.unionByName(examples.limit(3).withColumn("features", F.lit(None).cast(examples.schema["features"].dataType)))
+    mixed = mixed.unionByName(examples.limit(2).withColumn("features", F.slice("features", 1, 1)))
+    served = models.score_pairs(forest, mixed, width)
+    result = lambda df: sorted((r.prediction, *r.confidence) for r in df.select("prediction", "confidence").collect())
+    assert result(served.filter("error IS NULL")) == result(by_votes)
+    assert [(r.prediction, r.confidence) for r in served.filter("error IS NOT NULL").collect()] == [(None, None)] * 5
+
+
 def test_forest_votes_are_those_of_its_trees(examples, tmp_path, spark):
     forest = models.train_random_forest(examples.filter("is_train"), trees=15)
     voted = models.forest_votes(forest, examples)
