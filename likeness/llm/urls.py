@@ -26,6 +26,8 @@ PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 #: Query parameters that say where a visitor came from, and hosts' first labels that name a site's entrance.
 TRACKING, ENTRANCE = "^(utm_.*|ref)(=|$)", "^(www|m)[.]"
 KEYS_PER_BLOCK = 4
+#: Hosts whose pages are listed: a label, at any depth below the entrance, that begins like one of these.
+BAD_HOSTS = "(^|[.])(spam|casino-|free-bets|cheap-pills|adult-|ads-)"
 
 
 def _part(url: Column, number: int) -> Column:
@@ -39,9 +41,14 @@ def with_host_and_path(pages: DataFrame) -> DataFrame:
     )
 
 
+def _site() -> Column:
+    """Host without its entrance."""
+    return F.regexp_replace("host", ENTRANCE, "")
+
+
 def canonical() -> Column:
     """Host without its entrance, path without slashes at the end, the other parameters in order; null without a host."""
-    host = F.regexp_replace("host", ENTRANCE, "")
+    host = _site()
     path = F.regexp_replace("path", "/+$", "")
     kept = F.array_sort(F.filter(F.split("query", "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     return F.when(host != "", F.concat(host, path, F.lit("?"), F.array_join(kept, "&")))
@@ -95,10 +102,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).drop("query")
 
 
-def reported(pages: DataFrame, hosts: str = "^spam") -> DataFrame:
-    """A list to filter by: the canonical URLs of hosts whose first label matches a pattern, wherever else they show up."""
+def reported(pages: DataFrame, hosts: str = BAD_HOSTS) -> DataFrame:
+    """A list to filter by: the canonical URLs of hosts that match a pattern without their entrance, wherever else they show up."""
     parts = with_host_and_path(pages.select("url"))
-    return parts.filter(F.col("host").rlike(hosts)).select(canonical().alias("canonical")).distinct()
+    return parts.filter(_site().rlike(hosts)).select(canonical().alias("canonical")).distinct()
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -124,7 +131,7 @@ WITH parts AS (
     regexp_replace(host, '{ENTRANCE}', '') || regexp_replace(path, '/+$', '') || '?' || coalesce(array_to_string(
       list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))), '&'), '') END AS canonical
   FROM parts
-), listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '^spam') AND canonical IS NOT NULL)
+), listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(regexp_replace(host, '{ENTRANCE}', ''), '{BAD_HOSTS}') AND canonical IS NOT NULL)
 SELECT page_id, host, path, {_case(RULES, lambda r: r[0] + r[1])} AS rule,
   coalesce({_case(RULES, lambda r: r[2])}, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
   n.canonical, l.canonical IS NOT NULL AS listed

@@ -1,5 +1,6 @@
 """Packing, sharding, URLs, licenses, and all registered queries and the pipeline on stored tables."""
 
+import re
 import zlib
 
 import numpy as np
@@ -100,6 +101,25 @@ def test_urls(spark):
     assert urls.filter_urls(pages, listed.limit(0)).filter("listed").count() == 0
 
 
+def test_bad_hosts_are_listed(spark):
+    """Through any entrance, and with all names; a path or a part of another word makes no bad host."""
+    bad = ["spam-farm.example.com", "www.spam-farm.example.com", "m.casino-win.a.org", "www.free-bets.b.net", "cheap-pills.c.org", "blog.adult-x.d.net", "M.ADS-track.e.com"]
+    good = ["notspam.example.com", "m.example.org", "loads-more.example.org", "x.org/spam-farm.example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/1") for i, h in enumerate(bad + good)], "page_id long, url string")
+    found = urls.filter_urls(pages, urls.reported(pages)).filter("listed").collect()
+    assert sorted(r.page_id for r in found) == list(range(len(bad)))
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_list_is_not_empty_on_stored_tables(spark, size):
+    folder = f"/root/testdata/{size}"
+    names = "spam-farm|casino-win|free-bets|cheap-pills|adult-x|ads-track"
+    bad = {r.page_id for r in spark.read.parquet(f"{folder}/pages.parquet").collect() if re.search(rf"://[^/?#]*\b({names})[.]", r.url or "")}
+    found = urls.op2_url_filter(spark, folder).filter("listed").collect()
+    assert bad and {r.page_id for r in found} == bad
+    assert any(r.verdict == "block" and r.rule is None for r in found) or size == "sf0.001"
+
+
 def test_licenses(spark):
     rows = [
         (1, "Released under the MIT License.", (5, 1, 3, 3, "mit", "mit,mit-line", 1.0)),
