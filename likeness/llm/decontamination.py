@@ -6,6 +6,10 @@ Windows of template tokens are joined by hash with those of the benchmark. Windo
 the same distance from the item's; within it each value of an item's slot must have one counterpart only,
 else the match is chance.
 
+An item's windows are those with enough literal tokens. If these are less than half of them, as in lists of
+numbers, names and units, all its windows count. An item shorter than a window is one window of its own length.
+Windows with next to no literal tokens fit anything of their shape and are matched with their values.
+
 Before the join a bitmap of fixed size, which every task gets, drops windows that no item has.
 """
 
@@ -26,6 +30,8 @@ UNITS = "mm cm m km kg g mg l ml s ms min h kb mb gb tb w kw v hz khz mhz ghz us
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
 #: Bits of the bitmap; its size does not depend on the input.
 FILTER_BITS = 24
+#: Windows of fewer literal tokens are hashed with the values of their slots.
+FEWEST_LITERALS = 2
 
 
 def _classes() -> np.ndarray:
@@ -81,18 +87,25 @@ class Template:
         self.value = hashes_of(data, begin, end)
         self.starts = np.searchsorted(self.doc, np.arange(len(pack) + 1))
 
-    def windows(self, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of each window with at least ``literal`` tokens that are no placeholders."""
-        n = len(self.hashes) - size + 1
-        if n < 1:
-            return np.zeros(0, "u8"), np.zeros(0, "i8")
-        total = np.zeros(n, "u8")
-        for i in range(size):
-            total = mix(total + self.hashes[i : i + n])
+    def windows(self, sizes: list[int]):
+        """For each size: hash and first token of each window, and how many of its tokens are no placeholders."""
+        total = np.zeros(len(self.hashes), "u8")
         slots = np.append(0, np.cumsum(self.slot))
-        whole = self.doc[:n] == self.doc[size - 1 :]
-        first = np.flatnonzero(whole & (slots[size:] - slots[:-size] <= size - literal))
-        return total[first], first
+        for size in range(1, max(sizes, default=0) + 1):
+            n = len(self.hashes) - size + 1
+            if n < 1:
+                return
+            total = mix(total[:n] + self.hashes[size - 1 :])
+            if size in sizes:
+                first = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
+                literals = size - (slots[first + size] - slots[first])
+                hashes = total[first]
+                bare = np.flatnonzero(literals < FEWEST_LITERALS)
+                exact = np.zeros(len(bare), "u8")
+                for i in range(size):
+                    exact = mix(exact + self.value[first[bare] + i])
+                hashes[bare] = exact
+                yield size, hashes, first, literals
 
 
 def _spans(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,40 +114,61 @@ def _spans(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return begin, begin + size
 
 
-def _windows(size: int, literal: int, bitmap=None):
+def _of_items(template: Template, size: int, literal: int):
+    """The windows by which items are found, with how many of them their item has."""
+    tokens = np.diff(template.starts)
+    for length, hashes, first, literals in template.windows(list(range(1, size + 1))):
+        doc = template.doc[first]
+        if length < size:
+            chosen, counts = tokens[doc] == length, np.ones(len(tokens), "i8")
+        else:
+            enough = literals >= literal
+            counts = np.bincount(doc[enough], minlength=len(tokens))
+            every = np.maximum(tokens - size + 1, 0)
+            dense = 2 * counts < every
+            chosen, counts = enough | dense[doc], np.where(dense, every, counts)
+        yield length, hashes[chosen], first[chosen], counts
+
+
+def _windows(size: int, literal: int, lengths=None, bitmap=None):
+    """Windows of items, or with ``lengths`` and ``bitmap`` those of documents that may be an item's."""
+
+    def of_documents(template):
+        for length, hashes, first, _ in template.windows(lengths):
+            spot = hashes >> np.uint64(64 - FILTER_BITS)
+            hit = bitmap.value[(spot >> np.uint64(6)).astype("i8")] >> (spot & np.uint64(63)) & np.uint64(1) == 1
+            yield length, hashes[hit], first[hit], np.zeros(len(template.starts) - 1, "i8")
+
     def run(batches):
         for pack, rows in passing_packs(batches):
             template = Template(pack)
-            hashes, first = template.windows(size, literal)
-            if bitmap is not None:
-                spot = hashes >> np.uint64(64 - FILTER_BITS)
-                hit = bitmap.value[(spot >> np.uint64(6)).astype("i8")] >> (spot & np.uint64(63)) & np.uint64(1) == 1
-                hashes, first = hashes[hit], first[hit]
-            doc = template.doc[first]
-            counts = np.maximum(np.bincount(template.doc, minlength=len(pack)) - size + 1, 0)
-            values = [template.value[a : a + size][template.slot[a : a + size]].view("i8") for a in first.tolist()]
-            owner = rows.column("id").take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    owner,
-                    pa.array(hashes.view("i8")),
-                    pa.array(first - template.starts[doc]),
-                    pa.array(counts[doc].astype("i8")),
-                    pa.array(values, pa.list_(pa.int64())),
-                ],
-                names=["id", "hash", "place", "n_windows", "slots"],
-            )
-
-    return run, "id long, hash long, place long, n_windows long, slots array<long>"
+            for length, hashes, first, counts in _of_items(template, size, literal) if bitmap is None else of_documents(template):
+                doc = template.doc[first]
+                values = [template.value[a : a + length][template.slot[a : a + length]].view("i8") for a in first.tolist()]
+                owner = rows.column("id").take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        owner,
+                        pa.array(hashes.view("i8")),
+                        pa.array(first - template.starts[doc]),
+                        pa.array(counts[doc].astype("i8")),
+                        pa.array(values, pa.list_(pa.int64())),
+                        pa.array(np.full(len(first), length)),
+                    ],
+                    names=["id", "hash", "place", "n_windows", "slots", "length"],
+                )
+
+    return run, "id long, hash long, place long, n_windows long, slots array<long>, length long"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal: int = 5, share: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item, also with other slot values: a row per document and item.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and ``text``; other columns are ignored.
-    An item is found if consistent windows cover at least ``share`` of its windows. Result: doc_id, item_id,
-    n_windows (of the item), n_found, share, verbatim (all slot values the same). Null and short texts, of
-    fewer than ``size`` template tokens, have no windows and cannot match. Rows of equal ids are taken
+    An item is found if consistent windows cover at least ``share`` of its windows: of those with at least
+    ``literal`` literal tokens, or of all if these are less than half. An item of fewer than ``size`` template tokens
+    is found where all of it stands. Result: doc_id, item_id, n_windows (of the item), n_found, share, verbatim
+    (all slot values the same). Null texts and those without any token cannot match. Rows of equal ids are taken
     together; a null id is one of its own. Empty tables give an empty result.
     """
     spark = docs.sparkSession
@@ -148,12 +182,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal: in
     bitmap = np.zeros(1 << FILTER_BITS - 6, "u8")
     for word, bits in words.collect():  # at most as many rows as the bitmap has words
         bitmap[word] = bits & (1 << 64) - 1
-    run, schema = _windows(size, literal, spark.sparkContext.broadcast(bitmap))
+    lengths = [r.length for r in known.select("length").distinct().collect()]  # ``size`` rows at most
+    run, schema = _windows(size, literal, lengths, spark.sparkContext.broadcast(bitmap))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     there = texts.mapInArrow(run, schema).select(
         F.col("id").alias("doc_id"), "hash", F.col("place").alias("doc_place"), F.col("slots").alias("doc_slots")
     )
-    met = there.join(known.withColumnRenamed("id", "item_id"), "hash").withColumn("distance", F.col("doc_place") - F.col("place"))
+    met = there.join(known.drop("length").withColumnRenamed("id", "item_id"), "hash").withColumn("distance", F.col("doc_place") - F.col("place"))
     # Slots of a window come in pairs; windows without any keep a row.
     paired = met.select(
         "doc_id", "item_id", "distance", "place", "n_windows",

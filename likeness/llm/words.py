@@ -19,7 +19,7 @@ _KEPT: dict = {}  # a task makes these arrays once
 
 def _up_to(base: int, n: int) -> np.ndarray:
     """The powers of an odd number, at least ``n`` of them."""
-    if len(_KEPT.get(base, ())) < n:
+    if base not in _KEPT or len(_KEPT[base]) < n:
         powers = np.full(1 << max(16, int(n).bit_length()), base, "u8")
         powers[0] = 1
         _KEPT[base] = np.cumprod(powers)

@@ -100,3 +100,39 @@ def test_slots_must_be_consistent(spark):
     docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert [r.doc_id for r in decontamination.find_leaks(docs, items).collect()] == [1]
+
+
+PENS = "Alice bought 12 pens for 30 dollars, Bob bought 8 pens for 25 dollars, Cora bought 5 pens for 10 dollars."
+UNITS = "Convert 5 km and 3 kg and 7 cm and 9 ml and 4 hours and 6 miles."
+LIST = "12 km 5 kg 7 cm 8 g 3 ml 9 oz"
+
+
+def test_items_dense_in_slots_and_short_ones(spark):
+    """Items with few literal tokens are found, also with other values, but not where these contradict each other."""
+    items = {1: PENS, 2: UNITS, 3: "What is 12 times 7?", 4: LIST, 5: "Photosynthesis", 6: QUESTION, 7: "?!", 8: ""}
+    docs = {
+        10 + i: "Some words come first. " + text + " More of them follow." for i, text in items.items()
+    } | {
+        30: PENS.replace("12", "17").replace("Bob", "Dora").replace("25", "90"),
+        31: UNITS.replace("5 km", "8 cm").replace("7 cm", "2 ml").replace("9 ml", "1 kg"),
+        32: "They ask: What is 3 times 4?",
+        33: LIST.replace("7", "6"),
+        34: "They ask: What is 3 plus 4?",
+        35: "Convert 5 of them and 3 kg or 7 cm and 9.",
+    }
+    item = "Add 7 km, then 7 kg, then 7 cm, then 7 ml, then 7 miles."
+    table = spark.createDataFrame([*docs.items(), (40, item.replace("7", "4")), (41, item.replace("7", "4", 2))], "doc_id long, text string")
+    known = spark.createDataFrame([*items.items(), (20, item)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(table, known).collect()}
+    assert set(found) == {(10 + i, i) for i in range(1, 7)} | {(30, 1), (31, 2), (32, 3), (40, 20)}
+    assert all(found[10 + i, i].verbatim and found[10 + i, i].share == 1 for i in range(1, 7))
+    assert not any(found[k].verbatim for k in [(30, 1), (32, 3), (40, 20)])
+
+
+def test_each_benchmark_item_is_found_in_itself(spark, folder):
+    stored_items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").cast("long"), "text")
+    more = spark.createDataFrame([(-1, PENS), (-2, UNITS), (-3, "What is 12 times 7?"), (-4, LIST)], "item_id long, text string")
+    items = stored_items.unionByName(more)
+    found = decontamination.find_leaks(items.withColumnRenamed("item_id", "doc_id"), items).filter("doc_id = item_id")
+    got = {r.item_id: (r.share, r.verbatim) for r in found.collect()}
+    assert got == {r.item_id: (1.0, True) for r in items.collect()}
