@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.operators.joins import join_one
-from likeness.operators.ranking import hash_key
+from likeness.operators.ranking import hash_key, hash_rank
 from likeness.session import stored
 
 ORIGINAL = "original"
@@ -54,56 +54,46 @@ def positive_pairs(corpus: DataFrame) -> DataFrame:
 
 
 def negative_pairs(corpus: DataFrame, k: int = 5, rings: int = 64, seed: int = 42) -> DataFrame:
-    """Each original with ``k`` non-plagiarized documents of other cases, label 0.
+    """Each original with ``k`` non-plagiarized documents of other cases, label 0; with all there are, if fewer.
 
-    Originals and candidates are dealt onto ``rings`` by hash. Of a ring only the first ``k``
-    candidates of each case can be drawn, and since an original skips one case only, the first
-    ``2k`` of those always hold ``k`` it may take. So an original meets at most ``2k`` candidates of
-    its ring, and where the ring is short, at most ``2k`` of the same kind of list over all rings.
-    It takes its ring's candidates in hash order, then the others': always ``k``, or all there are.
+    All candidates stand in one hash order, those of a case together, so an original's own case is a
+    stretch that its draws step over. What is left is cut into ``k`` parts, from a place that is the
+    original's own, and a hash draws one candidate of each: always different ones, and any can be drawn.
+    Cases are counted in ``rings`` slices.
     """
-    ring = lambda column: F.pmod(F.conv(F.substring(hash_key(seed, column), 1, 8), 16, 10).cast("bigint"), F.lit(rings))
-    candidates = corpus.filter(F.col("role") == NON_PLAGIARIZED).select(
-        F.col("doc_id").alias("doc2"), F.col("case_id").alias("case2"), hash_key(seed + 1, F.col("doc_id")).alias("turn")
+    number = lambda *of: F.conv(F.substring(hash_key(seed, *of), 1, 15), 16, 10).cast("bigint")
+    candidates = corpus.filter((F.col("role") == NON_PLAGIARIZED) & F.col("case_id").isNotNull())
+    candidates = candidates.select(F.col("doc_id").alias("doc2"), F.col("case_id").alias("case2")).distinct()
+    ranked = stored(hash_rank(candidates, ["doc2"], ["case2"], seed + 1), "candidates")
+    cases = stored(_stretches(ranked.filter(F.col("rank") == 1).select("case2", F.col("group_size").alias("own")), rings, seed), "cases")
+    placed = join_one(ranked, cases.select("case2", "first"), ["case2"], "doc2").select(
+        "doc2", (F.col("first") + F.col("rank") - 1).alias("place")
     )
-    with_ring = candidates.withColumn("ring", ring(F.col("doc2")))
-    per_case = stored(_first_k(with_ring, ["ring", "case2"], k), "candidates")
-    ring_list = _first_k(per_case, ["ring"], 2 * k).withColumn("near", F.lit(0))
-    overall = _first_k(_first_k(per_case, ["case2"], k), [], 2 * k)
 
-    originals = corpus.filter(F.col("role") == ORIGINAL).select(
-        F.col("doc_id").alias("doc1"), "case_id", ring(F.col("doc_id")).alias("ring")
+    originals = corpus.filter(F.col("role") == ORIGINAL).select(F.col("doc_id").alias("doc1"), "case_id").distinct()
+    total = F.lit(cases.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0])
+    own = originals.filter(F.col("case_id").isNotNull()).join(cases.withColumnRenamed("case2", "case_id"), "case_id", "left")
+    left = own.fillna(0, ["first", "own"]).withColumn("left", total - F.col("own")).filter("left > 0")
+    draws = left.withColumn("parts", F.least(F.lit(k), F.col("left"))).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
+    begin, end = F.expr("i * left div parts"), F.expr("(i + 1) * left div parts")
+    drawn = begin + F.pmod(number(F.lit("draw"), F.col("doc1"), F.col("i")), end - begin)
+    turned = draws.withColumn("place", F.pmod(drawn + F.pmod(number(F.lit("from"), F.col("doc1")), F.col("left")), F.col("left")))
+    over = F.when(F.col("place") < F.col("first"), F.col("place")).otherwise(F.col("place") + F.col("own"))
+    return turned.withColumn("place", over).join(placed, "place").select("case_id", "doc1", "doc2", F.lit(0).alias("label"))
+
+
+def _stretches(cases: DataFrame, rings: int, seed: int) -> DataFrame:
+    """Add ``first``: the candidates (``own``) of all cases before, in order of ring and hash."""
+    key = hash_key(seed + 1, F.col("case2"))
+    ring = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(rings))
+    dealt = cases.withColumn("turn", key).withColumn("ring", ring)
+    before = lambda window: F.coalesce(F.sum("own").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # As many rows as there are rings.
+    offsets = dealt.groupBy("ring").agg(F.sum("own").alias("own")).select(
+        "ring", before(Window.partitionBy(F.lit(0)).orderBy("ring")).alias("_before")
     )
-    spare = overall.select("doc2", "case2", "turn").withColumn("near", F.lit(1))
-    # The spare list has at most 2k rows; it rides along as one array value.
-    spare_list = spare.agg(F.collect_list(F.struct("doc2", "case2", "turn", "near")).alias("spare")).scalar()
-    own = originals.join(ring_list.select("ring", "doc2", "case2", "turn", "near"), "ring", "left")
-    near = own.filter(F.col("doc2").isNotNull()).select("doc1", "case_id", "doc2", "case2", "turn", "near")
-    far = (
-        originals.select("doc1", "case_id", F.explode(spare_list).alias("s"))
-        .select("doc1", "case_id", "s.doc2", "s.case2", "s.turn", "s.near")
-    )
-    met = near.unionByName(far).filter(F.col("case_id") != F.col("case2"))
-    drawn = met.groupBy("doc1", "case_id", "doc2", "turn").agg(F.min("near").alias("near"))
-    place = F.row_number().over(Window.partitionBy("doc1").orderBy("near", "turn", "doc2"))
-    return (
-        drawn.withColumn("place", place)
-        .filter(F.col("place") <= k)
-        .select("case_id", "doc1", "doc2", F.lit(0).alias("label"))
-    )
-
-
-def _first_k(df: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The first ``k`` rows of each group in hash order.
-
-    Groups are first cut into slices of their own, so no task sorts more than a slice, and the
-    slices hand on ``k`` rows each.
-    """
-    sliced = df.withColumn("_slice", F.substring("turn", 1, 2))
-    for grain in (["_slice"], []):
-        window = Window.partitionBy(*keys, *grain).orderBy("turn", "doc2")
-        sliced = sliced.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") <= k).drop("_place")
-    return sliced.drop("_slice")
+    within = dealt.withColumn("_within", before(Window.partitionBy("ring").orderBy("turn", "case2")))
+    return within.join(offsets, "ring").select("case2", "own", (F.col("_before") + F.col("_within")).alias("first"))
 
 
 def training_pairs(corpus: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

@@ -377,24 +377,26 @@ def vector_sql() -> str:
 
 
 def negative_rows() -> str:
-    """Draws as documented: own ring first, then all, each in hash order."""
-    ring = lambda x: f"(('0x' || substr(md5('42|' || {x}), 1, 8))::BIGINT % 64)"
+    """Draws as documented: one of each part of all candidates in hash order but those of the own case."""
+    number = lambda x, digits: f"('0x' || substr(md5({x}), 1, {digits}))::BIGINT"
+    case = "'43|' || case_id"
     return f"""
-      cands AS (SELECT doc_id AS doc2, case_id AS case2, md5('43|' || doc_id) AS turn, {ring("doc_id")} AS ring
-                FROM corpus WHERE role = 'non-plagiarized'),
-      ringed AS (SELECT * FROM cands QUALIFY row_number() OVER (PARTITION BY ring, case2 ORDER BY turn, doc2) <= 5),
-      ring_list AS (SELECT * FROM ringed QUALIFY row_number() OVER (PARTITION BY ring ORDER BY turn, doc2) <= 10),
-      everywhere AS (SELECT * FROM cands QUALIFY row_number() OVER (PARTITION BY case2 ORDER BY turn, doc2) <= 5),
-      over_all AS (SELECT * FROM everywhere QUALIFY row_number() OVER (ORDER BY turn, doc2) <= 10),
-      origs AS (SELECT doc_id AS doc1, case_id, {ring("doc_id")} AS ring FROM corpus WHERE role = 'original'),
-      met AS (
-        SELECT doc1, case_id, doc2, turn, min(near) AS near FROM (
-          SELECT doc1, case_id, doc2, case2, turn, 0 AS near FROM origs JOIN ring_list USING (ring)
-          UNION ALL SELECT doc1, case_id, doc2, case2, turn, 1 FROM origs, over_all)
-        WHERE case_id <> case2 GROUP BY ALL),
+      ranked AS (
+        SELECT doc_id AS doc2, case_id AS case2,
+          row_number() OVER (ORDER BY {number(case, 8)} % 64, md5({case}), case_id, md5('43|' || doc_id), doc_id) - 1 AS place
+        FROM corpus WHERE role = 'non-plagiarized'),
+      stretch AS (SELECT case2 AS case_id, min(place) AS start, count(*) AS own FROM ranked GROUP BY 1),
+      origs AS (
+        SELECT doc_id AS doc1, c.case_id, coalesce(start, 0) AS start, coalesce(own, 0) AS own,
+          (SELECT count(*) FROM ranked) - coalesce(own, 0) AS others
+        FROM corpus c LEFT JOIN stretch USING (case_id) WHERE role = 'original'),
+      draws AS (SELECT *, least(5, others) AS parts, unnest(range(least(5, others))) AS i FROM origs),
+      spots AS (
+        SELECT *, (i * others // parts + {number("'42|draw|' || doc1 || '|' || i", 15)} % ((i + 1) * others // parts - i * others // parts)
+          + {number("'42|from|' || doc1", 15)} % others) % others AS spot FROM draws),
       negatives AS (
-        SELECT case_id, doc1, doc2, 0::BIGINT AS label FROM met
-        QUALIFY row_number() OVER (PARTITION BY doc1 ORDER BY near, turn, doc2) <= 5)"""
+        SELECT case_id, doc1, doc2, 0::BIGINT AS label FROM spots
+        JOIN ranked ON place = CASE WHEN spot < start THEN spot ELSE spot + own END)"""
 
 
 POSITIVES = "SELECT case_id, doc1, doc2, 1::BIGINT AS label FROM pairs WHERE label = 1"

@@ -47,6 +47,19 @@ def test_negative_pairs_are_k_of_other_cases(corpus, k, rings):
         assert set(drawn) <= set(others)
 
 
+def test_any_candidate_can_be_drawn(spark):
+    """Different negatives grow with the corpus, also beside a case that has most of the candidates."""
+    rows = [(i, f"c{i}", "original") for i in range(600)]
+    rows += [(1000 + i, f"c{i % 600 if i % 2 else 0}", "non-plagiarized") for i in range(3000)]
+    corpus = spark.createDataFrame(rows, "doc_id long, case_id string, role string").withColumn("label", F.lit(None).cast("int"))
+    case = {i: c for i, c, _ in rows}
+    found = [(r.doc1, r.doc2) for r in pairs.negative_pairs(corpus).collect()]
+    assert len(found) == len(set(found)) == 3000 and set(Counter(a for a, _ in found).values()) == {5}
+    assert all(case[a] != case[b] for a, b in found)
+    # 3000 draws of 3000 candidates meet about 1 - 1/e of them.
+    assert 1700 < len({b for _, b in found}) < 2100
+
+
 def test_hash_rank_is_the_order_of_the_keys(spark):
     rows = spark.range(1000).withColumn("label", F.when(F.col("id") % 10 == 0, 1).otherwise(0))
     ranked = hash_rank(rows, ["id"], ["label"], digits=1).collect()
