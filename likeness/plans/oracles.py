@@ -562,7 +562,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "doc_embedding": with_ctes(
             "means",
-            """SELECT doc_id, dim::BIGINT AS dim, round(value, 6)::DOUBLE AS value FROM means WHERE value <> 0""",
+            """SELECT d.doc_id, i::BIGINT AS dim, round(coalesce(value, 0), 6)::DOUBLE AS value
+            FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS i) LEFT JOIN means m ON m.doc_id = d.doc_id AND m.dim = i""",
         ),
         "nn_pair_vector": with_ctes(
             "means pairs",

@@ -528,8 +528,7 @@ def _word_vectors(spark, folder):
 def doc_embedding(spark, folder):
     docs = tables.documents(spark, folder).select("doc_id", "text")
     means = models.doc_embedding(docs, _word_vectors(spark, folder), size=64)
-    rows = means.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value"))
-    return bigs(rows.filter(F.col("value") != 0))
+    return bigs(means.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value")))
 
 
 @query

@@ -101,3 +101,16 @@ def test_embeddings_are_means_of_known_words(spark):
 def test_bootstrap_repeats_rows(spark):
     drawn = splits.bootstrap(spark.range(399), ["id"], 0.8)
     assert drawn.count() == 319 and drawn.distinct().count() < 319
+
+
+def test_doc_embedding_query_keeps_every_document(spark):
+    """Each document has its 64 values, all of them zeros where none of its words is known."""
+    from likeness.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    ids = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
+    found = {}
+    for r in QUERIES["doc_embedding"](spark, folder).collect():
+        found.setdefault(r.doc_id, {})[r.dim] = r.value
+    assert set(found) == ids and all(set(v) == set(range(64)) for v in found.values())
+    assert any(not any(v.values()) for v in found.values())
