@@ -44,8 +44,8 @@ def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return features.join(bags, doc_id)
 
 
-def bags_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """Token bag and token numbers of each document, without any shuffle."""
+def bags_of(docs: DataFrame, *keep: str, text: str = "text", sequence: bool = False) -> DataFrame:
+    """Token bag and token numbers of each document, without any shuffle; with a hash of the token ``sequence`` if asked for."""
     bags = with_bag(with_tokens(docs.select("doc_id", *keep, text), text))
     return bags.select(
         "doc_id",
@@ -53,6 +53,7 @@ def bags_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         F.size("tokens").cast("bigint").alias("num_tokens"),
         F.size("bag").cast("bigint").alias("num_unique_tokens"),
         "bag",
+        *([F.sha2(F.to_json("tokens"), 256).alias("sequence")] if sequence else []),
     )
 
 

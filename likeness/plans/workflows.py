@@ -93,9 +93,10 @@ def compare_batches(files: DataFrame, model, percent: int = 30) -> DataFrame:
 
     Every pair of files whose texts resemble each other by at least ``percent`` is listed and
     scored. Copies of a file are linked to its first one; ``pairs`` counts what a row stands for.
+    Copies have the same tokens in the same order, so all their vectors are equal.
     """
-    found = similar.similar_pairs(similarity.bags_of(files, "batch_id"), percent)
-    wanted = found.select("batch_id", "doc1", "doc2", similar.pairs_behind().alias("pairs"))
+    found = similar.similar_pairs(similarity.bags_of(files, "batch_id", sequence=True), percent)
+    wanted = found.select("batch_id", "doc1", "doc2", similar.pairs_behind(F.col("is_copy")).alias("pairs"))
     scored = compare(wanted, files, model)
     names = files.select("doc_id", "file")
     named = similarity.attach(similarity.attach(scored, names, 2), names, 1)

@@ -79,6 +79,19 @@ def test_batches_and_arrivals(spark, corpus, trained, tmp_path):
     assert all(c.prediction in (0, 1) and c.error is None for c in found[0].comparisons)
 
 
+def test_reordered_files_are_scored_themselves(spark, trained):
+    """Only files with the same tokens in the same order share a score."""
+    model, lines = trained.models["boosted_trees"], BODIES["sum"]
+    texts = [program("P", lines), program("P", lines[::-1]), program("P", lines), program("Q", [*lines, "reset(n);"])]
+    rows = [("b", i, f"F{i}.java", text) for i, text in enumerate(texts, 1)]
+    files = spark.createDataFrame(rows, "batch_id string, doc_id long, file string, text string")
+    found = {(r.doc1, r.doc2): r for r in workflows.compare_batches(files, model).collect()}
+    assert {k: r.pairs for k, r in found.items()} == {(1, 2): 2, (1, 3): 1, (1, 4): 2, (2, 4): 1}
+    wanted = spark.createDataFrame(list(found), "doc1 long, doc2 long")
+    alone = {(r.doc1, r.doc2): r.confidence for r in workflows.compare(wanted, files, model).collect()}
+    assert {k: r.confidence for k, r in found.items()} == alone
+
+
 def test_network(corpus):
     small = workflows.train_network(corpus, size=8, rounds=2, hidden=[8], network_rounds=30)
     table = workflows.evaluate_network(corpus, small).collect()
