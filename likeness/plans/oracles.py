@@ -288,6 +288,35 @@ def similar_sql(source: str, percent: int) -> str:
     """
 
 
+def snippets_sql(source: str, percent: int, shortest: int) -> str:
+    """Common sections of single pairs by comparing all tokens with all; longest runs first, then what is free of the others."""
+    place = lambda axis: f"list_transform(tiles, lambda t: {{'lo': t.{axis} - r[1].{axis}, 'hi': t.{axis} - r[1].{axis} + t.len}})"
+    covered = f"list_filter({place('i')} || {place('j')}, lambda c: c.hi > 0 AND c.lo < r[1].len)"
+    free = "list_filter(list_distinct([0::BIGINT] || list_transform(taken, lambda c: c.hi)), lambda b: b >= 0 AND b < r[1].len AND len(list_filter(taken, lambda c: c.lo <= b AND b < c.hi)) = 0)"
+    stop = "coalesce(list_min(list_transform(list_filter(taken, lambda c: c.lo > b), lambda c: c.lo)), r[1].len)"
+    piece = f"list_transform(list_sort({free}), lambda b: {{'i': r[1].i + b, 'j': r[1].j + b, 'len': {stop} - b}})"
+    pieces = f"list_filter(list_transform([{covered}], lambda taken: {piece})[1], lambda p: p.len >= {shortest})"
+    pieces_of = f"string_split({drop(f"translate({drop('text', COMMENT)}, chr(1), chr(2))", '(' + TOKEN + ')', chr(1) + chr(92) + '1' + chr(1))}, chr(1))"
+    text = lambda side, axis: f"array_to_string({side}.pieces[2 * tile.{axis} + 2 : 2 * (tile.{axis} + tile.len)], '')"
+    return f"""{similar_sql(source, percent)},
+    firsts AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS i, token FROM similar_pairs JOIN t ON doc_id = doc1),
+    seconds AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS j, token FROM similar_pairs JOIN t ON doc_id = doc2),
+    cells AS MATERIALIZED (SELECT doc1, doc2, i, j FROM firsts JOIN seconds USING (doc1, doc2, token)),
+    runs AS MATERIALIZED (
+      SELECT doc1, doc2, min(i) AS i, min(j) AS j, count(*) AS len
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc1, doc2, j - i ORDER BY i) AS run FROM cells)
+      GROUP BY doc1, doc2, j - i, run HAVING count(*) >= {shortest}),
+    tiled AS MATERIALIZED (
+      SELECT doc1, doc2, list_reduce([[]::STRUCT(i BIGINT, j BIGINT, len BIGINT)[]] || list([{{'i': i, 'j': j, 'len': len}}] ORDER BY len DESC, i, j),
+        lambda tiles, r: tiles || {pieces}) AS tiles FROM runs GROUP BY 1, 2),
+    sections AS (
+      SELECT doc1, doc2, generate_subscripts(tiles, 1) AS section, unnest(tiles) AS tile FROM (SELECT doc1, doc2, list_sort(tiles) AS tiles FROM tiled)),
+    cut AS (SELECT doc_id, {pieces_of} AS pieces FROM src)
+    SELECT doc1, doc2, section, tile.i AS start1, tile.i + tile.len AS end1, tile.j AS start2, tile.j + tile.len AS end2,
+      {text("a", "i")} AS text1, {text("b", "j")} AS text2
+    FROM sections JOIN cut a ON a.doc_id = doc1 JOIN cut b ON b.doc_id = doc2"""
+
+
 BATCH_SOURCE = "SELECT batch_id, doc_id, text FROM files"
 COMPARISONS = (
     similar_sql(BATCH_SOURCE, 20)
@@ -469,6 +498,7 @@ def oracle_sql() -> dict[str, str]:
         "batch_pairs": similar_sql(BATCH_SOURCE, 30) + "SELECT * FROM similar_pairs",
         "case_near_copies": similar_sql("SELECT case_id AS batch_id, doc_id, text FROM docs", 60)
         + "SELECT * FROM similar_pairs",
+        "overlap_snippets": snippets_sql("SELECT case_id AS batch_id, doc_id, text FROM docs", 60, 12),
         "token_overlap": with_ctes(
             "shared_counts tn",
             """SELECT doc1, doc2, case_id, token_overlap, a.n AS num_tokens1, b.n AS num_tokens2,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.functions import text as tx
-from likeness.operators import ensemble, evaluate, models, pairs, report, similar, similarity, splits, structure, tokens
+from likeness.operators import ensemble, evaluate, models, pairs, report, sections, similar, similarity, splits, structure, tokens
 from likeness.plans import tables
 from likeness.session import stored
 from likeness.sources import corpus
@@ -208,6 +208,14 @@ def case_near_copies(spark, folder):
     return _similar(docs.select("doc_id", F.col("case_id").alias("batch_id"), "text"), 60)
 
 
+@query
+def overlap_snippets(spark, folder):
+    """The common sections of all near copies within a case."""
+    docs = tables.documents(spark, folder)
+    listed = similar.similar_pairs(similarity.bags_of(docs.select("doc_id", F.col("case_id").alias("batch_id"), "text"), "batch_id"), 60)
+    return bigs(sections.overlap_snippets(listed.select("doc1", "doc2"), docs.select("doc_id", "text")))
+
+
 @query
 def candidate_pairs(spark, folder):
     docs = tokens.with_tokens(tables.documents(spark, folder))
