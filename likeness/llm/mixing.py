@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from likeness.operators.joins import dealt as dealt_out
 from likeness.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,9 +125,11 @@ def mix_sources(
     sums = facts.groupBy("unnamed", "name").agg(F.sum("size").alias("source_size"))
     lined = numbered(sums, ["unnamed", "name"], "source_no")
     weight = F.element_at(F.lit(list(weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    sources = with_targets(stored(lined.withColumn("weight", weight), "sources"), share, limit)
+    # All sources are one group; the column is read back, so that joins by it are not folded into cross joins.
+    whole = stored(lined.withColumns({"weight": weight, "all": F.lit(0)}), "sources")
+    sources = with_targets(whole, share, limit)
     wanted = sources.agg(F.sum("target")).first()[0] or 0.0
-    seated = sources.withColumns({"votes": F.col("target"), "seats": F.lit(int(wanted / block + 0.5)), "all": F.lit(0)})
+    seated = sources.withColumns({"votes": F.col("target"), "seats": F.lit(int(wanted / block + 0.5))})
     quotas = highest_quotients(seated, "all", ["source_no"])
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("shards")
     given = stored(
@@ -149,7 +152,8 @@ def mix_sources(
     blocks = F.floor((F.col("cell_size") - 1) / block)  # all but the last, which may be short and comes last
     inner = F.when(blocks > 0, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array().cast("array<long>"))
     keyed = F.transform(inner, lambda i: seeded(seed, F.col("source_no"), F.col("shard"), i))
-    filled = cells.filter("cell_size > 0").withColumn("asked", asked).select(
+    # A short row stands for many blocks, so the rows are dealt out first.
+    filled = dealt_out(cells.filter("cell_size > 0"), "source_no", "shard").withColumn("asked", asked).select(
         "source_no",
         "shard",
         F.floor(F.col("asked") / F.col("cell_size")).alias("passes"),
