@@ -144,8 +144,11 @@ def auc_rank(df: DataFrame, score: str = "score", label: str = "label", slices:
 
 
 def evaluate_by_group(df: DataFrame, groups: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Confusion cells and rates for every group, every prefix of the groups, and all rows."""
-    levels = df.rollup(*groups).agg(F.grouping_id().alias("grouping"), *confusion_columns(label, prediction))
+    """Confusion cells and rates for every combination of the groups, each of them over all others, and all rows.
+
+    ``grouping`` has a bit for each group that a row is summed over, the last group's being the lowest.
+    """
+    levels = df.cube(*groups).agg(F.grouping_id().alias("grouping"), *confusion_columns(label, prediction))
     return binary_metrics(levels)
 
 

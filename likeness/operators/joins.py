@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table of short rows for broadcast if a count finds it small; else leave it as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Deal a table by the given keys onto as many tasks as the session shuffles with.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likeness.operators.joins import dealt
-from likeness.operators.structure import doc_features
+from likeness.operators.joins import dealt, join_one
+from likeness.operators.structure import KIND_NAMES, features_of_tokens
 from likeness.operators.tokens import with_bag, with_tokens
+from likeness.session import stored
 
 # Names and order of one side of the feature vector.
 FEATURE_KEYS = [
@@ -36,16 +37,27 @@ FEATURE_KEYS = [
 PAIR_KEYS = FEATURE_KEYS[-3:]
 DOC_KEYS = FEATURE_KEYS[:-3]
 
+#: The letters of kind sequences; others are possible and only make the bound of the distance weaker.
+SEQUENCE_LETTERS = sorted(KIND_NAMES)
+FIRST_LIMIT = 8
+LIMIT_STEPS = 6
+
 
 def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Everything a pair measure needs of a document: features, kind sequence and token bag."""
-    features = doc_features(docs, doc_id, text)
-    bags = with_bag(with_tokens(docs.select(doc_id, text), text)).select(doc_id, "bag")
-    return features.join(bags, doc_id)
+    """Everything a pair measure needs of a document: features, kind sequence and token bag.
+
+    A text is cut into tokens once, and the result written, as both sides of a pair are attached from it.
+    """
+    cut = stored(with_tokens(docs.select(doc_id, text), text).select(doc_id, "tokens"), "tokens")
+    bags = with_bag(cut).select(doc_id, "bag")
+    return stored(features_of_tokens(cut, doc_id).join(bags, doc_id), "profiles")
+
 
+def bags_of(docs: DataFrame, *keep: str, text: str = "text", sequence: bool = False, tokens: bool = False) -> DataFrame:
+    """Token bag and token numbers of each document, without any shuffle.
 
-def bags_of(docs: DataFrame, *keep: str, text: str = "text", sequence: bool = False) -> DataFrame:
-    """Token bag and token numbers of each document, without any shuffle; with a hash of the token ``sequence`` if asked for."""
+    With a hash of the token ``sequence``, or with the ``tokens`` themselves, if asked for.
+    """
     bags = with_bag(with_tokens(docs.select("doc_id", *keep, text), text))
     return bags.select(
         "doc_id",
@@ -54,6 +66,7 @@ def bags_of(docs: DataFrame, *keep: str, text: str = "text", sequence: bool = Fa
         F.size("bag").cast("bigint").alias("num_unique_tokens"),
         "bag",
         *([F.sha2(F.to_json("tokens"), 256).alias("sequence")] if sequence else []),
+        *(["tokens"] if tokens else []),
     )
 
 
@@ -73,9 +86,33 @@ def bag_overlap(bag1: Column, bag2: Column) -> Column:
     return F.aggregate(shared, F.lit(0).cast("bigint"), lambda total, cnt: total + cnt)
 
 
-def sequence_distance(kinds1: Column, kinds2: Column) -> Column:
-    """Unit-cost edit distance of two kind sequences."""
-    return F.levenshtein(kinds1, kinds2).cast("bigint")
+def least_distance(kinds1: Column, kinds2: Column) -> Column:
+    """What the edit distance of two sequences is at least, by their lengths and by how often each kind of statement stands in them."""
+    surplus = []
+    for letter in SEQUENCE_LETTERS:
+        count = lambda s: F.length(s) - F.length(F.replace(s, F.lit(letter), F.lit("")))  # noqa: E731, B023
+        surplus.append(count(kinds1) - count(kinds2))
+    more = sum((F.greatest(d, F.lit(0)) for d in surplus), F.lit(0))
+    fewer = sum((F.greatest(-d, F.lit(0)) for d in surplus), F.lit(0))
+    return F.greatest(more, fewer, F.abs(F.length(kinds1) - F.length(kinds2)))
+
+
+def with_sequence_distance(pairs: DataFrame, kinds1: str = "kinds1", kinds2: str = "kinds2", out: str = "distance") -> DataFrame:
+    """Add the unit-cost edit distance of two kind sequences, exactly, by rising limits.
+
+    Within a limit only a band of the table is filled. The first limit is twice what the distance is at least, each further one four
+    times the last; a limit that would fill half of the table gives way to the whole one. Each step is a column of its own, so that
+    it is worked out once.
+    """
+    longest = F.greatest(F.length(kinds1), F.length(kinds2))
+    rows = pairs.withColumn("_limit", 2 * least_distance(F.col(kinds1), F.col(kinds2)) + FIRST_LIMIT).withColumn(out, F.lit(-1))
+    for step in range(LIMIT_STEPS):
+        limit = F.col("_limit") * 4**step
+        full = F.lit(step == LIMIT_STEPS - 1) | (2 * limit >= longest)
+        within = F.expr(f"levenshtein({kinds1}, {kinds2}, CAST(_limit * {4**step} AS INT))")
+        found = F.when(full, F.levenshtein(kinds1, kinds2)).otherwise(within)
+        rows = rows.withColumn(out, F.when(F.col(out) >= 0, F.col(out)).otherwise(found))
+    return rows.withColumn(out, F.col(out).cast("bigint")).drop("_limit")
 
 
 def sequence_similarity(distance: Column, kinds1: Column, kinds2: Column) -> Column:
@@ -89,22 +126,27 @@ def attach(pairs: DataFrame, docs: DataFrame, side: int) -> DataFrame:
     return pairs.join(renamed, f"doc{side}")
 
 
+def attach_firsts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Join the columns of a document table to the first side of a pair table, where a document may have any number of pairs.
+
+    Only documents that are first in a pair take part; the pairs of each are dealt onto several tasks.
+    """
+    firsts = docs.join(pairs.select(F.col("doc1").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    renamed = firsts.select([F.col(c).alias("doc1" if c == "doc_id" else f"{c}1") for c in docs.columns])
+    return join_one(pairs, renamed, ["doc1"], "doc2")
+
+
 def token_overlap(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Add ``token_overlap`` and both token numbers to a pair table, given bags of both sides."""
-    both = attach(attach(dealt(pairs, "doc1", "doc2"), right, 2), left, 1)
+    both = attach(attach_firsts(dealt(pairs, "doc1", "doc2"), left), right, 2)
     return both.withColumn("token_overlap", bag_overlap(F.col("bag1"), F.col("bag2"))).drop("bag1", "bag2")
 
 
 def measure_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Add the three pair measures, given profiles of both sides.
-
-    The second documents go first: there each pair meets a document of its own, while first
-    documents repeat and can be small enough to broadcast.
-    """
-    both = attach(attach(dealt(pairs, "doc1", "doc2"), right, 2), left, 1)
+    """Add the three pair measures, given profiles of both sides."""
+    both = attach(attach_firsts(dealt(pairs, "doc1", "doc2"), left), right, 2)
     both = both.withColumn("token_overlap", bag_overlap(F.col("bag1"), F.col("bag2"))).drop("bag1", "bag2")
-    distance = sequence_distance(F.col("kinds1"), F.col("kinds2"))
-    return both.withColumn("ast_levenshtein_distance", distance).withColumn(
+    return with_sequence_distance(both, out="ast_levenshtein_distance").withColumn(
         "ast_levenshtein_similarity",
         sequence_similarity(F.col("ast_levenshtein_distance"), F.col("kinds1"), F.col("kinds2")),
     )

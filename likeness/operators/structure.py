@@ -226,8 +226,13 @@ def token_context(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def doc_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All per-document features and the kind sequence, with one shuffle by document."""
+    return features_of_tokens(with_tokens(docs.select(doc_id, text), text), doc_id)
+
+
+def features_of_tokens(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The same, from documents that have been cut into ``tokens``."""
     carry = ("num_tokens", "num_unique_tokens")
-    numbered = with_token_numbers(with_tokens(docs.select(doc_id, text), text))
+    numbered = with_token_numbers(docs)
     events = structure_events(numbered, doc_id, carry)
     kind = F.col("kind")
     in_order = Window.partitionBy(doc_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

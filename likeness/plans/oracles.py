@@ -259,8 +259,8 @@ EXTRA = {
 }
 
 
-def similar_sql(source: str, percent: int) -> str:
-    """All pairs by brute force; equal bags are one group and stand for their members."""
+def bags_sql(source: str) -> str:
+    """Token bags of a source, and of each batch's equal bags the first document."""
     return f"""
     WITH docs AS (SELECT doc_id, lang || '/' || source AS case_id, lang, text FROM documents),
     files AS ({CTE["files"]}),
@@ -272,7 +272,12 @@ def similar_sql(source: str, percent: int) -> str:
         coalesce(string_agg(token || chr(1) || cnt, chr(2) ORDER BY token), '') AS bag_text
       FROM src s LEFT JOIN bag USING (batch_id, doc_id) GROUP BY 1, 2),
     grouped AS MATERIALIZED (
-      SELECT batch_id, bag_text, any_value(n) AS n, min(doc_id) AS doc_id, count(*) AS copies FROM total GROUP BY 1, 2),
+      SELECT batch_id, bag_text, any_value(n) AS n, min(doc_id) AS doc_id, count(*) AS copies FROM total GROUP BY 1, 2)"""
+
+
+def similar_sql(source: str, percent: int) -> str:
+    """All pairs by brute force; equal bags are one group and stand for their members."""
+    return f"""{bags_sql(source)},
     shared AS (
       SELECT g.batch_id, g.doc_id AS doc1, h.doc_id AS doc2, g.copies AS copies1, h.copies AS copies2,
         g.n AS num_tokens1, h.n AS num_tokens2, sum(least(a.cnt, b.cnt))::BIGINT AS token_overlap
@@ -288,6 +293,27 @@ def similar_sql(source: str, percent: int) -> str:
     """
 
 
+def candidates_sql(percent: int, hashes: int = 40, rows: int = 2, prime: int = 2147483647) -> str:
+    """Documents that agree in a band of least hash values, with all their tokens compared."""
+    number = lambda at: f"('0x' || substr(r, {at}, 8))::BIGINT % {prime}"
+    return f"""{bags_sql("SELECT 0 AS batch_id, doc_id, text FROM docs")},
+    lists AS (SELECT doc_id, list(token ORDER BY pos) AS tokens FROM t WHERE doc_id IN (SELECT doc_id FROM grouped) GROUP BY 1),
+    runs AS (SELECT DISTINCT doc_id, md5(array_to_string(tokens[i : i + 2], ' ')) AS r FROM (
+      SELECT *, unnest(range(1, greatest(len(tokens) - 2, 1) + 1)) AS i FROM lists)),
+    numbers AS MATERIALIZED (SELECT doc_id, {number(1)} AS a, {number(9)} AS b FROM runs),
+    least_values AS (SELECT doc_id, h, min((a + h * b) % {prime}) AS v FROM numbers, (SELECT unnest(range({hashes})) AS h) GROUP BY 1, 2),
+    bands AS MATERIALIZED (SELECT doc_id, h // {rows} AS band, list(v ORDER BY h) AS key FROM least_values GROUP BY 1, 2),
+    met AS MATERIALIZED (SELECT DISTINCT a.doc_id AS doc1, b.doc_id AS doc2 FROM bands a JOIN bands b USING (band, key) WHERE a.doc_id < b.doc_id),
+    one AS MATERIALIZED (SELECT doc1, doc2, token, cnt AS cnt1 FROM met JOIN bag ON doc_id = doc1),
+    other AS MATERIALIZED (SELECT doc1, doc2, token, cnt AS cnt2 FROM met JOIN bag ON doc_id = doc2),
+    both_have AS (SELECT doc1, doc2, sum(least(cnt1, cnt2))::BIGINT AS token_overlap FROM one JOIN other USING (doc1, doc2, token) GROUP BY 1, 2)
+    SELECT doc1, doc2, a.n AS num_tokens1, b.n AS num_tokens2, token_overlap, false AS is_copy
+    FROM both_have JOIN grouped a ON a.doc_id = doc1 JOIN grouped b ON b.doc_id = doc2
+    WHERE token_overlap * 100 >= (a.n + b.n - token_overlap) * {percent}
+    UNION ALL
+    SELECT g.doc_id, t.doc_id, g.n, g.n, g.n, true FROM grouped g JOIN total t USING (bag_text) WHERE t.doc_id <> g.doc_id"""
+
+
 def snippets_sql(source: str, percent: int, shortest: int) -> str:
     """Common sections of single pairs by comparing all tokens with all; longest runs first, then what is free of the others."""
     place = lambda axis: f"list_transform(tiles, lambda t: {{'lo': t.{axis} - r[1].{axis}, 'hi': t.{axis} - r[1].{axis} + t.len}})"
@@ -498,6 +524,7 @@ def oracle_sql() -> dict[str, str]:
         "batch_pairs": similar_sql(BATCH_SOURCE, 30) + "SELECT * FROM similar_pairs",
         "case_near_copies": similar_sql("SELECT case_id AS batch_id, doc_id, text FROM docs", 60)
         + "SELECT * FROM similar_pairs",
+        "candidate_pairs": candidates_sql(75),
         "overlap_snippets": snippets_sql("SELECT case_id AS batch_id, doc_id, text FROM docs", 60, 12),
         "token_overlap": with_ctes(
             "shared_counts tn",
@@ -564,7 +591,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT lang, level, grouping(lang, level)::BIGINT AS grouping,
                 count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
                 count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp
-              FROM predicted GROUP BY ROLLUP (lang, level))"""
+              FROM predicted GROUP BY CUBE (lang, level))"""
         ),
         "sort_scores": predicted("SELECT doc1, doc2, round(score, 6)::DOUBLE AS score FROM predicted ORDER BY score DESC"),
         "class_weights": f"""SELECT l.label, doc_id, round(total / (classes * n), 6)::DOUBLE AS weight FROM ({LABELLED}) l

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.functions import text as tx
-from likeness.operators import ensemble, evaluate, models, pairs, report, sections, similar, similarity, splits, structure, tokens
+from likeness.operators import candidates, ensemble, evaluate, models, pairs, report, sections, similar, similarity, splits, structure, tokens
 from likeness.plans import tables
 from likeness.session import stored
 from likeness.sources import corpus
@@ -218,8 +218,8 @@ def overlap_snippets(spark, folder):
 
 @query
 def candidate_pairs(spark, folder):
-    docs = tokens.with_tokens(tables.documents(spark, folder))
-    return similar.candidate_pairs(docs.select("doc_id", "tokens"))
+    """Near copies of the whole corpus, measured."""
+    return bigs(candidates.candidate_pairs(similarity.bags_of(tables.documents(spark, folder), tokens=True)))
 
 
 # Measures
@@ -228,9 +228,8 @@ def candidate_pairs(spark, folder):
 @query
 def token_overlap(spark, folder):
     ids = stored(pairs.case_pairs(tables.corpus_ids(spark, folder)), "ids")
-    texts = tables.documents(spark, folder).select("doc_id", "text")
-    left = similarity.bags_of(tables.only_first(texts, ids))
-    return similarity.token_overlap(ids.drop("label"), left, similarity.bags_of(texts))
+    bags = tables.bags_in_pairs(tables.documents(spark, folder).select("doc_id", "text"), ids)
+    return similarity.token_overlap(ids.drop("label"), bags, bags)
 
 
 @query

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.operators.joins import bounded
 from likeness.operators.pairs import NON_PLAGIARIZED, ORIGINAL, PLAGIARIZED, case_pairs, first_as_original
 from likeness.operators.similarity import bags_of, measure_pairs, profiles, token_overlap
 from likeness.session import stored
@@ -123,24 +122,20 @@ def corpus_paths(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", path.alias("path"))
 
 
-def only_first(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents that stand first in some pair; their ids are broadcast if counted to be few."""
-    firsts = pairs.select(F.col("doc1").alias("doc_id")).distinct()
-    return docs.join(bounded(firsts), "doc_id", "left_semi")
+def bags_in_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Bags of the documents that are in some pair, written once."""
+    wanted = pairs.select(F.explode(F.array("doc1", "doc2")).alias("doc_id")).distinct()
+    return stored(bags_of(texts.join(wanted, "doc_id", "left_semi")), "bags")
 
 
 def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled case pairs with four plain scores in 200ths, standing in for models in evaluations.
 
-    Originals and variants are told apart before the texts are read, and only documents that some
-    pair needs are tokenised.
+    Only documents that some pair needs are tokenised, each once.
     """
     pairs = stored(case_pairs(corpus_ids(spark, folder)).filter(F.col("label").isNotNull()), "ids")
-    texts = documents(spark, folder).select("doc_id", "text")
-    variants = pairs.select(F.col("doc2").alias("doc_id"))
-    left = bags_of(only_first(texts, pairs))
-    right = bags_of(texts.join(variants, "doc_id", "left_semi"))
-    both = token_overlap(pairs, left, right)
+    bags = bags_in_pairs(documents(spark, folder).select("doc_id", "text"), pairs)
+    both = token_overlap(pairs, bags, bags)
     parts = "200 * {} div greatest({}, 1)"
     larger, smaller = "greatest(num_tokens1, num_tokens2)", "least(num_tokens1, num_tokens2)"
     return both.select(
@@ -162,5 +157,5 @@ def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def measured_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All case pairs of the code documents with their features and measures."""
     pairs = stored(case_pairs(corpus_ids(spark, folder)), "ids")
-    texts = code_documents(spark, folder).select("doc_id", "text")
-    return measure_pairs(pairs, profiles(only_first(texts, pairs)), profiles(texts))
+    profiled = profiles(code_documents(spark, folder).select("doc_id", "text"))
+    return measure_pairs(pairs, profiled, profiled)

@@ -16,12 +16,10 @@ VECTOR_WIDTH = 2 * len(similarity.FEATURE_KEYS)
 def pair_examples(corpus: DataFrame) -> DataFrame:
     """Labelled vectors of all case pairs: (case_id, doc1, doc2, label, features).
 
-    Originals and variants are profiled apart, each document once.
+    Each document is profiled once.
     """
-    texts = corpus.select("doc_id", "role", "text")
-    left = similarity.profiles(texts.filter(F.col("role") == pairs.ORIGINAL))
-    right = similarity.profiles(texts.filter(F.col("role") != pairs.ORIGINAL))
-    measured = similarity.measure_pairs(pairs.case_pairs(corpus), left, right)
+    profiled = similarity.profiles(corpus.select("doc_id", "text"))
+    measured = similarity.measure_pairs(stored(pairs.case_pairs(corpus), "ids"), profiled, profiled)
     return similarity.pair_vector(measured).select("case_id", "doc1", "doc2", "label", "features")
 
 
@@ -76,8 +74,10 @@ def train(examples: DataFrame, trees: int = models.FOREST_TREES, boosting: dict
 
 def compare(wanted: DataFrame, docs: DataFrame, model) -> DataFrame:
     """Score a pair table (doc1, doc2) against documents (doc_id, text): prediction and confidence."""
-    profiled = similarity.profiles(docs.select("doc_id", "text"))
-    vectors = similarity.pair_vector(similarity.measure_pairs(wanted, profiled, profiled))
+    listed = stored(wanted, "wanted")
+    ids = listed.select(F.explode(F.array("doc1", "doc2")).alias("doc_id")).distinct()
+    profiled = similarity.profiles(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    vectors = similarity.pair_vector(similarity.measure_pairs(listed, profiled, profiled))
     kept = stored(vectors.select(*wanted.columns, "features"), "vectors")
     return models.score_pairs(model, kept, VECTOR_WIDTH)
 

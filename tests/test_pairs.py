@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from likeness.operators import pairs, similar, similarity, splits
+from likeness.operators import candidates, pairs, similar, similarity, splits
 from likeness.operators.ranking import hash_rank
 from likeness.operators.tokens import with_tokens
 
@@ -119,33 +119,66 @@ def test_similar_pairs_against_all_pairs(spark, seed, percent):
         assert r.token_overlap == bag_jaccard(bags[r.batch_id, r.doc1], bags[r.batch_id, r.doc2])[0]
 
 
-def test_candidates_link_copies_in_a_star(spark):
-    text = "int total = price * count ; System . out . println ( total ) ;"
-    docs = [(i, text) for i in range(50)] + [(100 + i, f"other words {i} {i * 7} {i * 13}") for i in range(20)]
-    frame = with_tokens(spark.createDataFrame(docs, "doc_id int, text string"))
-    found = similar.candidate_pairs(frame.select("doc_id", "tokens")).collect()
-    copies = {(r.doc1, r.doc2) for r in found if r.doc2 < 100}
-    assert copies == {(0, i) for i in range(1, 50)}
-    assert all(r.doc1 >= 100 for r in found if r.doc2 >= 100)
-
-
-def test_candidates_find_near_copies(spark, folder):
+def test_heavy_tokens_are_cut_into_blocks(spark):
+    """A token that all files of a batch have meets in many keys, and no pair is lost or doubled."""
+    texts = [(0, i, f"same only{i // 2} a{i}") for i in range(90)]
+    bags = similarity.bags_of(spark.createDataFrame(texts, "batch_id int, doc_id int, text string"), "batch_id")
+    groups = similar.copy_groups(similar.with_bag_key(bags))
+    plain = sorted(map(tuple, similar.candidate_groups(groups, 20).collect()))
+    cut = sorted(map(tuple, similar.candidate_groups(groups, 20, block=7).collect()))
+    assert cut == plain and len(plain) == 90 * 89 // 2
+    rows = similar.rarest_tokens(groups, 20).withColumn("blocks", F.ceil(F.col("docs") / 7))
+    assert rows.filter("docs = 90").first()["blocks"] == 13
+
+
+def test_candidates_are_all_pairs_with_their_overlap(spark):
+    """Copies in a star; of the others each pair at the threshold, also within one bucket."""
+    rng = random.Random(6)
+    text = [f"w{rng.randrange(400)}" for _ in range(150)]
+    docs = [(i, " ".join(text)) for i in range(40)] + [(100 + i, " ".join(text[: 140 + i])) for i in range(9)]
+    docs += [(200 + i, f"other words {i} {i * 7} {i * 13}") for i in range(20)] + [(299, None), (300, ""), (301, ""), (302, "x y"), (303, "x y")]
+    frame = similarity.bags_of(spark.createDataFrame(docs, "doc_id int, text string"), tokens=True)
+    found = {(r.doc1, r.doc2): r for r in candidates.candidate_pairs(frame).collect()}
+    ends = [0, *range(100, 109)]
+    wanted = {(0, i) for i in range(1, 40)} | {(a, b) for a in ends for b in ends if a < b} | {(300, 301), (302, 303)}
+    assert set(found) == wanted
+    assert found[100, 108].token_overlap == 140 and found[0, 3].is_copy and not found[0, 100].is_copy
+
+
+def test_candidates_recall_pairs_of_the_exact_join(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    bags = similarity.bags_of(docs.withColumn("batch_id", F.lit(0)), "batch_id")
-    near = similar.similar_pairs(bags, 90).filter("num_tokens1 > 20").collect()
-    linked = similar.candidate_pairs(with_tokens(docs).select("doc_id", "tokens")).collect()
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for r in linked:
-        parent[root(r.doc2)] = root(r.doc1)
-    assert near
-    together = [root(r.doc1) == root(r.doc2) for r in near]
-    assert sum(together) >= 0.9 * len(together)
+    near = [(i, t.text) for i, t in enumerate(docs.limit(60).collect())]
+    rng = random.Random(9)
+    for i, text in list(near):
+        words = text.split(" ")
+        for k in range(3):
+            near.append((1000 + 10 * i + k, " ".join(w if rng.random() > 0.08 else f"new{rng.randrange(99)}" for w in words)))
+    frame = spark.createDataFrame(near, "doc_id long, text string")
+    exact = similar.similar_pairs(similarity.bags_of(frame.withColumn("batch_id", F.lit(0)), "batch_id"), 75)
+    wanted = {(r.doc1, r.doc2) for r in exact.collect()}
+    found = {(r.doc1, r.doc2) for r in candidates.candidate_pairs(similarity.bags_of(frame, tokens=True)).collect()}
+    assert found <= wanted and len(found) >= 0.9 * len(wanted) > 50
+
+
+def test_arriving_documents_meet_the_index(spark, tmp_path):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(500)}" for _ in range(120)] for _ in range(12)]
+    docs = []
+    for i in range(120):
+        words = list(base[i % 12])
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(120)] = f"x{rng.randrange(50)}"
+        docs.append((i, " ".join(words)))
+    docs += [(200 + i, docs[i][1]) for i in range(5)]
+    frame = similarity.bags_of(spark.createDataFrame(docs, "doc_id long, text string"), tokens=True)
+    whole = candidates.candidate_pairs(frame).collect()
+    index = candidates.CorpusIndex(spark, str(tmp_path))
+    parts = [frame.filter("doc_id < 50"), frame.filter("doc_id BETWEEN 50 AND 99"), frame.filter("doc_id >= 100")]
+    added = [index.add(part, str(number)).collect() for number, part in enumerate(parts)]
+    again = index.add(parts[2], "2").collect()
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(r for rows in added for r in rows) == key(whole) and key(again) == key(added[2])
+    assert any(r.is_copy for r in added[2]) and len(whole) > 300
 
 
 def test_overlap_is_symmetric_and_bounded(spark, folder):
@@ -159,11 +192,61 @@ def test_overlap_is_symmetric_and_bounded(spark, folder):
     assert all(r.token_overlap <= min(r.num_tokens1, r.num_tokens2) for r in there.values())
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_sequence_measures(spark):
-    rows = spark.createDataFrame([("", ""), ("AB", ""), ("ABC", "ABC"), ("ABC", "AXC")], "a string, b string")
-    d = similarity.sequence_distance(F.col("a"), F.col("b"))
-    found = rows.select(d.alias("d"), similarity.sequence_similarity(d, F.col("a"), F.col("b")).alias("s")).collect()
-    assert [(r.d, round(r.s, 6)) for r in found] == [(0, 1.0), (2, 0.0), (0, 1.0), (1, 0.666667)]
+    rng = random.Random(12)
+    plain = [("", ""), ("AB", ""), ("ABC", "ABC"), ("ABC", "AXC")]
+    for n in (5, 40, 300):
+        for changes in (0, 1, 9, 60, 400):
+            one = [rng.choice("PIMVE+é") for _ in range(n)]
+            two = list(one)
+            for _ in range(changes):
+                at = rng.randrange(len(two) + 1)
+                two[at : at + rng.randrange(2)] = rng.choice(["", "V", "E", "X"])
+            plain.append(("".join(one), "".join(two)))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(plain)], "i int, kinds1 string, kinds2 string")
+    measured = similarity.with_sequence_distance(rows)
+    s = similarity.sequence_similarity(F.col("distance"), F.col("kinds1"), F.col("kinds2"))
+    found = measured.select("i", "distance", s.alias("s"), similarity.least_distance(F.col("kinds1"), F.col("kinds2")).alias("low")).orderBy("i").collect()
+    assert [r.distance for r in found] == [edit_distance(a, b) for a, b in plain]
+    assert all(0 <= r.low <= r.distance for r in found)
+    assert [round(r.s, 6) for r in found[:4]] == [1.0, 0.0, 1.0, 0.666667]
+
+
+def test_distance_of_long_sequences(spark):
+    """Near copies of 20,000 statements: only a band of the table is filled."""
+    rng = random.Random(13)
+    one = [rng.choice("PIMVEL") for _ in range(20_000)]
+    two = one[:7000] + list("VVVV") + one[7000:15_000] + one[15_009:]
+    rows = spark.createDataFrame([("".join(one), "".join(two)), ("".join(one), "".join(one))], "kinds1 string, kinds2 string")
+    assert sorted(r.distance for r in similarity.with_sequence_distance(rows).collect()) == [0, 13]
+
+
+def test_pairs_of_one_large_case_are_dealt(spark):
+    """All pairs have the same original: without broadcasts they are still measured in several tasks, from one reading of the texts."""
+    docs = spark.createDataFrame([(i, f"int a = {i} ; f ( {i % 7} ) ;") for i in range(400)], "doc_id long, text string")
+    wanted = docs.select(F.lit(0).cast("long").alias("doc1"), F.col("doc_id").alias("doc2")).filter("doc2 > 0")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        profiled = similarity.profiles(docs)
+        pairs_with_originals = similarity.attach_firsts(wanted, profiled)
+        rows = pairs_with_originals.groupBy(F.spark_partition_id()).count().collect()
+        plan = similarity.pair_vector(similarity.measure_pairs(wanted, profiled, profiled))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(rows) >= 4 and max(r["count"] for r in rows) < 200
+    assert "regexp_extract_all" not in plan
 
 
 def test_cosine(spark):
