@@ -7,8 +7,12 @@ vectors only at this boundary.
 from __future__ import annotations
 
 import json
-import re
+import math
+import uuid
+from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -21,16 +25,19 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from likeness.functions.text import word_tokens
 from likeness.operators.evaluate import class_weights, threshold_predict, vote_predict
+from likeness.operators.ranking import hash_rank
 from likeness.operators.similarity import attach, cosine_similarity
 from likeness.operators.splits import folds
 from likeness.operators.tokens import with_bag
+from likeness.session import shared_folder, stored
 
 # The hyper-parameters of the models.
 FOREST_TREES = 200
@@ -42,6 +49,9 @@ EMBEDDING_SIZE = 128
 EMBEDDING_WINDOW = 5
 EMBEDDING_ROUNDS = 30
 HIDDEN_LAYERS = [512, 256, 64]
+#: Draws that stand for the kernel, and rounds of the factors: of the methods chosen here.
+FOURIER_DRAWS = 512
+FACTOR_ROUNDS = 10
 NETWORK_ROUNDS = 30
 FULL_GRID = {
     "maxDepth": [3, 4, 5, 6],
@@ -74,18 +84,28 @@ def train_random_forest(train: DataFrame, trees: int = FOREST_TREES, seed: int =
     return forest.fit(with_vector(train))
 
 
-def leaf_votes(model: RandomForestClassificationModel) -> list[list[int]]:
-    """The class each leaf of each tree votes for, leaves in the order of their index."""
-    trees = re.split(r"\n\s+Tree \d+ [^\n]*\n", model.toDebugString)[1:]
-    return [[int(float(v)) for v in re.findall(r"Predict: ([-\d.]+)", tree)] for tree in trees]
+def leaf_votes(model: RandomForestClassificationModel) -> DataFrame:
+    """The class each leaf of each tree votes for: (tree, leaf, vote), leaves numbered from the left as in the ``leaf`` column.
+
+    Read from the nodes as the model saves them. Nodes are numbered from the root with left branches first, so
+    leaves in the order of their nodes stand from left to right.
+    """
+    path = f"{shared_folder(SparkSession.active())}/forest-{uuid.uuid4().hex}"
+    model.save(path)
+    nodes = SparkSession.active().read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    from_left = F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1
+    leaves = nodes.filter("leftChild < 0").withColumn("leaf", from_left)
+    return leaves.select(F.col("treeID").alias("tree"), "leaf", F.col("prediction").cast("int").alias("vote"))
 
 
 def forest_votes(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
     """Add ``votes``: how many trees vote for class 1, each by the majority in the leaf reached.
 
-    The leaves' classes are a constant of the plan, as large as the model and not the data.
+    The leaves' classes are one value of the plan, as large as the model and not the data.
     """
-    table = F.from_json(F.lit(json.dumps(leaf_votes(model))), "array<array<int>>")
+    by_tree = leaf_votes(model).groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("leaf", "vote"))).alias("leaves"))
+    trees = by_tree.agg(F.array_sort(F.collect_list(F.struct("tree", F.col("leaves.vote").alias("votes")))).alias("trees"))
+    table = stored(trees.select(F.col("trees.votes").alias("votes")), "leaf-votes").scalar()
     scored = model.transform(with_vector(df)).withColumn("_leaf", vector_to_array("leaf")).withColumn("_table", table)
     votes = F.zip_with("_leaf", "_table", lambda leaf, tree: F.get(tree, leaf.cast("int")))
     total = F.aggregate(votes, F.lit(0), lambda acc, v: acc + v)
@@ -129,6 +149,37 @@ def grid_search_cv(
     return search.fit(with_vector(folds(train, ids, k, "label", seed)))
 
 
+def grid_search_by_rungs(
+    train: DataFrame,
+    ids: list[str],
+    grid: dict | None = None,
+    k: int = 5,
+    rungs: tuple[int, ...] = (5, 20),
+    keep: float = 0.25,
+    parallelism: int = 4,
+    seed: int = 42,
+    **fixed,
+) -> DataFrame:
+    """The grid in rungs: all parameter sets with few rounds of boosting, the best part of them with more, and so on.
+
+    Result: (rung, rounds, params, mean_f1), a row for each set and rung; the best set is the first of the last rung. A grid over ``maxIter``
+    is not for this search, since the rungs set it. The folds are those of ``grid_search_cv``, with ``parallelism`` fits at a time.
+    """
+    spark, names = train.sparkSession, list(grid or SHORT_GRID)
+    sets = [dict(zip(names, values)) for values in product(*(grid or SHORT_GRID).values())]
+    folded = stored(with_vector(folds(train, ids, k, "label", seed)), "folds")
+    f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
+    rows = []
+    for rung, rounds in enumerate(rungs):
+        estimator = boosted_trees(seed, maxIter=rounds, **fixed)
+        maps = [{estimator.getParam(n): v for n, v in params.items()} for params in sets]
+        search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=f1, numFolds=k, foldCol="fold", parallelism=parallelism)
+        found = sorted(zip(search.fit(folded).avgMetrics, range(len(sets)), sets), key=lambda x: (-x[0], x[1]))
+        rows += [(rung, rounds, ", ".join(f"{n}={v}" for n, v in sorted(params.items())), float(mean)) for mean, _, params in found]
+        sets = [params for _, _, params in found[: max(1, math.ceil(keep * len(found)))]]
+    return spark.createDataFrame(rows, "rung int, rounds int, params string, mean_f1 double")
+
+
 def train_svm(train: DataFrame, rounds: int = 100) -> PipelineModel:
     """Linear support vectors with balanced weights, and a logistic curve from margin to probability."""
     svm = LinearSVC(
@@ -144,6 +195,71 @@ def train_svm(train: DataFrame, rounds: int = 100) -> PipelineModel:
     return Pipeline(stages=[svm, curve]).fit(with_vector(class_weights(train)))
 
 
+@dataclass
+class KernelSvm:
+    """Support vectors with a Gaussian kernel, by random Fourier features in front of linear ones.
+
+    The kernel ``exp(-gamma |x - y|^2)`` is the mean of ``2 cos(w x + b) cos(w y + b)`` over normal ``w`` and even ``b``; some
+    hundred draws of them take its place. All draws follow from the seed, so a model is a few numbers and its linear part.
+    """
+
+    linear: PipelineModel
+    inputs: int
+    draws: int
+    gamma: float
+    seed: int
+
+    def with_fourier(self, df: DataFrame, out: str = "vector") -> DataFrame:
+        """Add the Fourier features as a vector; the draws are constants of the plan."""
+        random = np.random.default_rng(self.seed)
+        directions = random.normal(scale=np.sqrt(2 * self.gamma), size=(self.draws, self.inputs))
+        shifts = random.uniform(0, 2 * np.pi, self.draws)
+        table = F.from_json(F.lit(json.dumps([[*w, b] for w, b in zip(directions.tolist(), shifts.tolist())])), "array<array<double>>")
+        extended = F.concat("features", F.array(F.lit(1.0)))
+        dot = lambda w: F.aggregate(F.zip_with(w, extended, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
+        waves = F.transform(table, lambda w: F.cos(dot(w)) * float(np.sqrt(2 / self.draws)))
+        return df.withColumn(out, array_to_vector(waves))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.linear.transform(self.with_fourier(df))
+
+    def save(self, path: str) -> None:
+        facts = json.dumps({"inputs": self.inputs, "draws": self.draws, "gamma": self.gamma, "seed": self.seed})
+        SparkSession.active().range(1).select(F.lit(facts).alias("value")).write.mode("overwrite").text(f"{path}/kernel")
+        self.linear.write().overwrite().save(f"{path}/linear")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> KernelSvm:
+        facts = json.loads(spark.read.text(f"{path}/kernel").first().value)
+        return KernelSvm(PipelineModel.load(f"{path}/linear"), **facts)
+
+
+def kernel_width(train: DataFrame, features: str = "features") -> tuple[int, float]:
+    """Number of inputs and ``1 / (inputs * variance of all entries)``, in one sum over the rows."""
+    entries = train.select(F.size(features).alias("n"), F.explode(features).alias("x"))
+    facts = entries.agg(F.max("n"), F.var_pop("x")).first()
+    return facts[0], 1.0 / (facts[0] * facts[1]) if facts[1] else 1.0
+
+
+def train_kernel_svm(train: DataFrame, draws: int = FOURIER_DRAWS, rounds: int = 100, seed: int = 42) -> KernelSvm:
+    """Support vectors with a Gaussian kernel and balanced weights, and a logistic curve from margin to probability."""
+    inputs, gamma = kernel_width(train)
+    svm = LinearSVC(
+        featuresCol="vector",
+        labelCol="label",
+        weightCol="weight",
+        rawPredictionCol="margin",
+        predictionCol="svm_prediction",
+        maxIter=rounds,
+        regParam=1.0 / max(train.count(), 1),
+        standardization=False,
+    )
+    curve = LogisticRegression(featuresCol="margin", labelCol="label", maxIter=rounds)
+    model = KernelSvm(None, inputs, draws, gamma, seed)
+    model.linear = Pipeline(stages=[svm, curve]).fit(model.with_fourier(class_weights(train)))
+    return model
+
+
 def train_logistic_regression(train: DataFrame, rounds: int = 1000):
     """Logistic regression with the unit penalty spread over the rows."""
     regression = LogisticRegression(
@@ -197,9 +313,11 @@ def train_word2vec(
     text: str = "text",
     size: int = EMBEDDING_SIZE,
     rounds: int = EMBEDDING_ROUNDS,
-    partitions: int = 8,
+    partitions: int | None = None,
     seed: int = 42,
 ) -> Word2VecModel:
+    """Word vectors by skip-grams. The vocabulary and its vectors are held by the driver; ``train_word_factors`` has no such limit."""
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = docs.select(word_tokens(F.col(text)).alias("words"))
     return Word2Vec(
         inputCol="words",
@@ -213,6 +331,61 @@ def train_word2vec(
     ).fit(words)
 
 
+def word_pairs(docs: DataFrame, window: int = EMBEDDING_WINDOW, text: str = "text") -> DataFrame:
+    """How often two words stand within a window of each other: (word, context, cnt), in both orders.
+
+    A document's pairs are made and counted in part where it lies; only sums move.
+    """
+    words = docs.select(word_tokens(F.col(text)).alias("words"))
+    near = [
+        F.zip_with("words", F.slice("words", d + 1, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b"))))
+        for d in range(1, window + 1)
+    ]
+    met = words.select(F.explode_outer(F.concat(*near)).alias("p")).filter(F.col("p").isNotNull())
+    half = met.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context")), F.struct(F.col("b").alias("word"), F.col("a").alias("context")))
+    return half.select("n", F.explode(both).alias("p")).groupBy("p.word", "p.context").agg(F.sum("n").alias("cnt"))
+
+
+def train_word_factors(
+    docs: DataFrame,
+    text: str = "text",
+    size: int = EMBEDDING_SIZE,
+    rounds: int = FACTOR_ROUNDS,
+    window: int = EMBEDDING_WINDOW,
+    shift: float = 1.0,
+    seed: int = 42,
+) -> DataFrame:
+    """Word vectors (word, vector) without a vocabulary on the driver: factors of a table of shifted positive mutual information.
+
+    Counts, marginals and information are tables, and Spark's alternating least squares factors them; nothing is as large as the vocabulary in one
+    place. Words are numbered by rank in hash order. ``train_word2vec`` is the other choice, for vocabularies that fit the driver.
+    """
+    spark = docs.sparkSession
+    counts = stored(word_pairs(docs, window, text), "word-pairs")
+    totals = counts.groupBy("word").agg(F.sum("cnt").alias("total"))
+    numbered = stored(hash_rank(totals, ["word"], seed=seed).select("word", F.col("rank").cast("int").alias("number"), "total"), "words")
+    pairs_in_all = float(counts.agg(F.coalesce(F.sum("cnt"), F.lit(1))).first()[0])
+    side = lambda name: numbered.select(F.col("word").alias(name), F.col("number").alias(f"{name}_no"), F.col("total").alias(f"{name}_total"))
+    known = counts.join(side("word"), "word").join(side("context"), "context")
+    information = F.log(F.col("cnt") * pairs_in_all / (F.col("word_total") * F.col("context_total"))) - float(np.log(shift))
+    positive = known.select("word_no", "context_no", information.alias("information")).filter("information > 0")
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    als = ALS(
+        rank=size,
+        maxIter=rounds,
+        implicitPrefs=True,
+        userCol="word_no",
+        itemCol="context_no",
+        ratingCol="information",
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
+        seed=seed,
+    )
+    factors = als.fit(stored(positive, "information")).userFactors.select(F.col("id").alias("number"), array_to_vector("features").alias("vector"))
+    return numbered.select("word", "number").join(factors, "number").select("word", "vector")
+
+
 def doc_embedding(docs: DataFrame, vectors: DataFrame, size: int = EMBEDDING_SIZE, text: str = "text") -> DataFrame:
     """Mean vector of the known words of each document, repeats counted; zeros if none is known.
 

@@ -37,13 +37,15 @@ def plagiarized_pairs(comparisons: DataFrame) -> DataFrame:
     return comparisons.filter(F.col("prediction") == 1)
 
 
-def report_summary(files: DataFrame, comparisons: DataFrame, batch: str = "batch_id") -> DataFrame:
+def report_summary(
+    files: DataFrame, comparisons: DataFrame, batch: str = "batch_id", counts: Column | None = None
+) -> DataFrame:
     """Per batch: files, comparisons, listed pairs and plagiarized pairs, or the error of a rejected one.
 
-    The number of comparisons follows from the number of files. A listed row may stand for several
-    pairs, where files are copies of each other; ``pairs`` says for how many.
+    ``counts`` says which files count, as for ``accepted_batches``. The number of comparisons follows from their number. A listed row may
+    stand for several pairs, where files are copies of each other; ``pairs`` says for how many.
     """
-    every = accepted_batches(files, batch)
+    every = accepted_batches(files, batch, counts)
     listed = comparisons.groupBy(batch).agg(
         F.count("*").alias("listed"),
         F.sum(F.when(F.col("prediction") == 1, F.col("pairs")).otherwise(0)).cast("bigint").alias("plagiarized_pairs"),
@@ -56,15 +58,22 @@ def report_summary(files: DataFrame, comparisons: DataFrame, batch: str = "batch
 
 
 def batch_report(
-    files: DataFrame, comparisons: DataFrame, submitted_at: Column, page_size: int = 1000, batch: str = "batch_id"
+    files: DataFrame,
+    comparisons: DataFrame,
+    submitted_at: Column,
+    page_size: int = 1000,
+    batch: str = "batch_id",
+    counts: Column | None = None,
+    percent: int | None = None,
 ) -> DataFrame:
-    """Nested report rows: (batch, page, total_files, total_comparisons, error, comparisons[], submitted_at).
+    """Nested report rows: (batch, page, total_files, total_comparisons, threshold, error, comparisons[], submitted_at).
 
-    A rejected batch has a row with its error and no comparisons.
+    A rejected batch has a row with its error and no comparisons. ``threshold`` is the share of common tokens, in ``percent``, from which
+    comparisons are listed; null if all are.
     A batch that lists up to ``page_size`` comparisons is one row. Longer lists are dealt onto
     pages by hash, so no row and no task holds more than about a page.
     """
-    summary = report_summary(files, comparisons, batch).select(
+    summary = report_summary(files, comparisons, batch, counts).select(
         batch, "total_files", "total_comparisons", "error", "listed"
     )
     pages = F.ceil(F.greatest(F.col("listed"), F.lit(1)) / page_size)
@@ -81,6 +90,7 @@ def batch_report(
         F.coalesce("page", F.lit(0)).alias("page"),
         "total_files",
         "total_comparisons",
+        F.lit(percent).cast("int").alias("threshold"),
         "error",
         F.coalesce("comparisons", empty).alias("comparisons"),
         submitted_at.alias("submitted_at"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.functions.text import TOKEN_PATTERN, strip_comments
+from likeness.operators.tokens import once
 from likeness.session import stored
 
 SHORTEST = 12
@@ -141,7 +142,7 @@ def overlap_snippets(pairs: DataFrame, docs: DataFrame, n: int = SHORTEST) -> Da
     streams = stored(cut, "pieces")
     tokens = F.transform(F.sequence(F.lit(1), F.size("pieces") - 2, F.lit(2)), lambda k: F.get("pieces", k))
     tokens = F.when(F.size("pieces") > 2, tokens).otherwise(F.array().cast("array<string>"))
-    runs = common_runs(listed, streams.select("doc_id", tokens.alias("tokens")), n)
+    runs = common_runs(listed, streams.select("doc_id", once(tokens).alias("tokens")), n)
     tiled = stored(tiles_of(runs, n), "tiles")
 
     def with_texts(found: DataFrame, side: int) -> DataFrame:

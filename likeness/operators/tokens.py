@@ -6,12 +6,22 @@ inside its own row, so none of them shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions.text import tokenize
 
 _TO_THE_END = 1 << 30
+SKETCH_SIZE = 14
+
+
+def once(value: Column) -> Column:
+    """A column that is worked out once per row, whatever reads it.
+
+    Spark puts a column's expression in the place of its name if it is named once, which inside a lambda means to work it out for each
+    element. It does not do so through a generator, and one over a single value changes nothing else.
+    """
+    return F.explode_outer(F.array(value))
 
 
 def with_tokens(docs: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -69,3 +79,22 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens"
     """One row per document and different token with its count."""
     bags = with_bag(docs.select(doc_id, tokens), tokens)
     return explode_with_position(bags, doc_id, "bag", "entry").select(doc_id, "entry.token", "entry.cnt")
+
+
+def token_sketches(docs: DataFrame, groups: list[str], tokens: str = "tokens", size: int = SKETCH_SIZE) -> DataFrame:
+    """A mergeable sketch of the different tokens of each group: (groups..., sketch).
+
+    The sketch is some kilobytes of binary, whatever it has seen. ``2 ** size`` is its number of buckets.
+    """
+    cut = docs.select(*groups, F.explode_outer(tokens).alias("token"))
+    return cut.groupBy(*groups).agg(F.hll_sketch_agg("token", size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """Sketches of parts, as of several batches, as one for each of the coarser ``groups``."""
+    return sketches.groupBy(*groups).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def approximate_numbers(sketches: DataFrame) -> DataFrame:
+    """Add ``num_unique_tokens``, off by a relative error of about ``1.04 / sqrt(2 ** size)`` in the mean."""
+    return sketches.withColumn("num_unique_tokens", F.hll_sketch_estimate("sketch"))

@@ -295,26 +295,28 @@ def similar_sql(source: str, percent: int) -> str:
 
 def candidates_sql(percent: int, hashes: int = 40, rows: int = 2, prime: int = 2147483647) -> str:
     """Documents that agree in a band of least hash values, with all their tokens compared."""
-    number = lambda at: f"('0x' || substr(r, {at}, 8))::BIGINT % {prime}"
     return f"""{bags_sql("SELECT 0 AS batch_id, doc_id, text FROM docs")},
     lists AS (SELECT doc_id, list(token ORDER BY pos) AS tokens FROM t WHERE doc_id IN (SELECT doc_id FROM grouped) GROUP BY 1),
     runs AS (SELECT DISTINCT doc_id, md5(array_to_string(tokens[i : i + 2], ' ')) AS r FROM (
       SELECT *, unnest(range(1, greatest(len(tokens) - 2, 1) + 1)) AS i FROM lists)),
-    numbers AS MATERIALIZED (SELECT doc_id, {number(1)} AS a, {number(9)} AS b FROM runs),
-    least_values AS (SELECT doc_id, h, min((a + h * b) % {prime}) AS v FROM numbers, (SELECT unnest(range({hashes})) AS h) GROUP BY 1, 2),
+    numbers AS MATERIALIZED (SELECT doc_id, ('0x' || substr(r, 1, 8))::BIGINT % {prime} AS x FROM runs),
+    functions AS (SELECT h, 2654435761 * (h + 1) % {prime} AS a, 40503 * (h + 1) * (h + 1) % {prime} AS b FROM (SELECT unnest(range({hashes})) AS h)),
+    least_values AS (SELECT doc_id, h, min((x * a + b) % {prime}) AS v FROM numbers, functions GROUP BY 1, 2),
     bands AS MATERIALIZED (SELECT doc_id, h // {rows} AS band, list(v ORDER BY h) AS key FROM least_values GROUP BY 1, 2),
     met AS MATERIALIZED (SELECT DISTINCT a.doc_id AS doc1, b.doc_id AS doc2 FROM bands a JOIN bands b USING (band, key) WHERE a.doc_id < b.doc_id),
     one AS MATERIALIZED (SELECT doc1, doc2, token, cnt AS cnt1 FROM met JOIN bag ON doc_id = doc1),
     other AS MATERIALIZED (SELECT doc1, doc2, token, cnt AS cnt2 FROM met JOIN bag ON doc_id = doc2),
-    both_have AS (SELECT doc1, doc2, sum(least(cnt1, cnt2))::BIGINT AS token_overlap FROM one JOIN other USING (doc1, doc2, token) GROUP BY 1, 2)
+    both_have AS (SELECT doc1, doc2, sum(least(cnt1, cnt2))::BIGINT AS token_overlap FROM one JOIN other USING (doc1, doc2, token) GROUP BY 1, 2),
+    found AS MATERIALIZED (
     SELECT doc1, doc2, a.n AS num_tokens1, b.n AS num_tokens2, token_overlap, false AS is_copy
     FROM both_have JOIN grouped a ON a.doc_id = doc1 JOIN grouped b ON b.doc_id = doc2
     WHERE token_overlap * 100 >= (a.n + b.n - token_overlap) * {percent}
     UNION ALL
-    SELECT g.doc_id, t.doc_id, g.n, g.n, g.n, true FROM grouped g JOIN total t USING (bag_text) WHERE t.doc_id <> g.doc_id"""
+    SELECT g.doc_id, t.doc_id, g.n, g.n, g.n, true FROM grouped g JOIN total t USING (bag_text) WHERE t.doc_id <> g.doc_id)
+    """
 
 
-def snippets_sql(source: str, percent: int, shortest: int) -> str:
+def snippets_sql(percent: int, shortest: int) -> str:
     """Common sections of single pairs by comparing all tokens with all; longest runs first, then what is free of the others."""
     place = lambda axis: f"list_transform(tiles, lambda t: {{'lo': t.{axis} - r[1].{axis}, 'hi': t.{axis} - r[1].{axis} + t.len}})"
     covered = f"list_filter({place('i')} || {place('j')}, lambda c: c.hi > 0 AND c.lo < r[1].len)"
@@ -324,17 +326,17 @@ def snippets_sql(source: str, percent: int, shortest: int) -> str:
     pieces = f"list_filter(list_transform([{covered}], lambda taken: {piece})[1], lambda p: p.len >= {shortest})"
     pieces_of = f"string_split({drop(f"translate({drop('text', COMMENT)}, chr(1), chr(2))", '(' + TOKEN + ')', chr(1) + chr(92) + '1' + chr(1))}, chr(1))"
     text = lambda side, axis: f"array_to_string({side}.pieces[2 * tile.{axis} + 2 : 2 * (tile.{axis} + tile.len)], '')"
-    return f"""{similar_sql(source, percent)},
-    firsts AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS i, token FROM similar_pairs JOIN t ON doc_id = doc1),
-    seconds AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS j, token FROM similar_pairs JOIN t ON doc_id = doc2),
+    return f"""{candidates_sql(percent)},
+    firsts AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS i, token FROM found JOIN t ON doc_id = doc1),
+    seconds AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS j, token FROM found JOIN t ON doc_id = doc2),
     cells AS MATERIALIZED (SELECT doc1, doc2, i, j FROM firsts JOIN seconds USING (doc1, doc2, token)),
-    runs AS MATERIALIZED (
+    common AS MATERIALIZED (
       SELECT doc1, doc2, min(i) AS i, min(j) AS j, count(*) AS len
       FROM (SELECT *, i - row_number() OVER (PARTITION BY doc1, doc2, j - i ORDER BY i) AS run FROM cells)
       GROUP BY doc1, doc2, j - i, run HAVING count(*) >= {shortest}),
     tiled AS MATERIALIZED (
       SELECT doc1, doc2, list_reduce([[]::STRUCT(i BIGINT, j BIGINT, len BIGINT)[]] || list([{{'i': i, 'j': j, 'len': len}}] ORDER BY len DESC, i, j),
-        lambda tiles, r: tiles || {pieces}) AS tiles FROM runs GROUP BY 1, 2),
+        lambda tiles, r: tiles || {pieces}) AS tiles FROM common GROUP BY 1, 2),
     sections AS (
       SELECT doc1, doc2, generate_subscripts(tiles, 1) AS section, unnest(tiles) AS tile FROM (SELECT doc1, doc2, list_sort(tiles) AS tiles FROM tiled)),
     cut AS (SELECT doc_id, {pieces_of} AS pieces FROM src)
@@ -344,17 +346,18 @@ def snippets_sql(source: str, percent: int, shortest: int) -> str:
 
 
 BATCH_SOURCE = "SELECT batch_id, doc_id, text FROM files"
+TOP_FILE = "NOT contains(path, '/') AND path LIKE '%.java'"
 COMPARISONS = (
-    similar_sql(BATCH_SOURCE, 20)
-    + """, comparisons AS (
+    similar_sql(f"{BATCH_SOURCE} WHERE {TOP_FILE}", 20)
+    + f""", comparisons AS (
       SELECT batch_id, 't' || (doc1 % 100000) || '.java' AS file1, 't' || (doc2 % 100000) || '.java' AS file2,
         CASE WHEN greatest(num_tokens1, num_tokens2) > 0 THEN votes / 200 END AS p1,
         CASE WHEN greatest(num_tokens1, num_tokens2) > 0 THEN (votes >= 100)::BIGINT END AS prediction
       FROM (SELECT *, 200 * token_overlap // greatest(num_tokens1, num_tokens2, 1) AS votes FROM similar_pairs)),
     listed AS (
-      SELECT batch_id, count(*) AS total_files, (count(*) * (count(*) - 1) // 2)::BIGINT AS total_comparisons,
-        CASE WHEN count(*) < 2 THEN 'ZIP must contain at least 2 Java files' END AS error
-      FROM files GROUP BY 1),
+      SELECT batch_id, n AS total_files, (n * (n - 1) // 2)::BIGINT AS total_comparisons,
+        CASE WHEN n < 2 THEN 'ZIP must contain at least 2 Java files' END AS error
+      FROM (SELECT batch_id, count(*) FILTER ({TOP_FILE}) AS n FROM files GROUP BY 1)),
     -- Every two files of a batch, copies or not, with the tokens they share.
     each_pair AS (
       SELECT x.batch_id, greatest(x.n, y.n) AS larger,
@@ -473,8 +476,14 @@ def oracle_sql() -> dict[str, str]:
               draws AS (SELECT ('0x' || substr(md5('42|draw|' || i), 1, 15))::BIGINT AS draw
                 FROM (SELECT unnest(range((SELECT floor(0.8 * count(*) + 0.5)::BIGINT FROM labels))) AS i))
             SELECT doc_id, label FROM draws JOIN ranked ON rank = draw % n + 1""",
-        "read_pairs": """SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS width,
-            round(list_sum(list_transform(embedding, lambda x: x::VARCHAR::DOUBLE)), 6)::DOUBLE AS total FROM embeddings""",
+        "read_pairs": """SELECT label::BIGINT AS label, len(embedding)::BIGINT AS width,
+            array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',') AS features FROM embeddings""",
+        "load_corpus": """SELECT 'case-' || item_id AS case_id, 'original' AS role, NULL::BIGINT AS label, NULL::VARCHAR AS level,
+            strlen(text) + 1 AS n_bytes, md5(text || chr(10)) AS text_md5 FROM benchmark""",
+        "approximate_token_numbers": with_ctes(
+            "tok docs",
+            "SELECT lang, count(DISTINCT token) AS num_unique_tokens, true AS within_bound FROM tok JOIN docs USING (doc_id) GROUP BY 1",
+        ),
         "strip_comments": f"SELECT page_id, {drop('url', COMMENT)} AS url, md5({drop('html', COMMENT)}) AS html_md5 FROM pages",
         "normalize_code": with_ctes("code", f"SELECT doc_id, md5({normalized('text')}) AS text_md5 FROM code"),
         "tokenize": with_ctes(
@@ -524,8 +533,8 @@ def oracle_sql() -> dict[str, str]:
         "batch_pairs": similar_sql(BATCH_SOURCE, 30) + "SELECT * FROM similar_pairs",
         "case_near_copies": similar_sql("SELECT case_id AS batch_id, doc_id, text FROM docs", 60)
         + "SELECT * FROM similar_pairs",
-        "candidate_pairs": candidates_sql(75),
-        "overlap_snippets": snippets_sql("SELECT case_id AS batch_id, doc_id, text FROM docs", 60, 12),
+        "candidate_pairs": candidates_sql(75) + "SELECT * FROM found",
+        "overlap_snippets": snippets_sql(75, 12),
         "token_overlap": with_ctes(
             "shared_counts tn",
             """SELECT doc1, doc2, case_id, token_overlap, a.n AS num_tokens1, b.n AS num_tokens2,
@@ -624,16 +633,18 @@ def oracle_sql() -> dict[str, str]:
         ),
         "nn_pair_vector": with_ctes(
             "means pairs",
-            """, norms AS (SELECT doc_id, sqrt(sum(value * value)) AS norm FROM means GROUP BY 1)
-            SELECT p.doc1, p.doc2, 129::BIGINT AS width, round(coalesce(any_value(dot) / (any_value(a.norm) * any_value(b.norm)), 0), 6)::DOUBLE AS cosine
-            FROM pairs p LEFT JOIN norms a ON a.doc_id = p.doc1 LEFT JOIN norms b ON b.doc_id = p.doc2
-            LEFT JOIN (SELECT p.doc1, p.doc2, sum(x.value * y.value) AS dot FROM pairs p
-                       JOIN means x ON x.doc_id = p.doc1 JOIN means y ON y.doc_id = p.doc2 AND x.dim = y.dim
-                       GROUP BY 1, 2) d ON d.doc1 = p.doc1 AND d.doc2 = p.doc2
-            GROUP BY 1, 2""",
+            """, norms AS (SELECT doc_id, sqrt(sum(value * value)) AS norm FROM means GROUP BY 1),
+            cosines AS (
+              SELECT p.doc1, p.doc2, sum(x.value * y.value) / (any_value(a.norm) * any_value(b.norm)) AS cosine FROM pairs p
+              JOIN means x ON x.doc_id = p.doc1 JOIN means y ON y.doc_id = p.doc2 AND x.dim = y.dim
+              JOIN norms a ON a.doc_id = p.doc1 JOIN norms b ON b.doc_id = p.doc2 GROUP BY 1, 2),
+            cells AS (SELECT doc1, doc2, unnest(range(129)) AS dim FROM pairs)
+            SELECT c.doc1, c.doc2, c.dim::BIGINT AS dim, round(coalesce(CASE WHEN c.dim = 128 THEN cosine ELSE m.value END, 0), 6)::DOUBLE AS value
+            FROM cells c LEFT JOIN cosines s ON s.doc1 = c.doc1 AND s.doc2 = c.doc2
+            LEFT JOIN means m ON m.doc_id = CASE WHEN c.dim < 64 THEN c.doc1 ELSE c.doc2 END AND m.dim = c.dim % 64 AND c.dim < 128""",
         ),
         "batch_report": COMPARISONS
-        + """SELECT l.batch_id, total_files, total_comparisons, error, file1, file2, prediction, round(p1, 6)::DOUBLE AS p1
+        + """SELECT l.batch_id, total_files, total_comparisons, 20::BIGINT AS threshold, error, file1, file2, prediction, round(p1, 6)::DOUBLE AS p1
             FROM listed l LEFT JOIN comparisons c ON c.batch_id = l.batch_id""",
         "report_summary": COMPARISONS
         + """SELECT l.batch_id, total_files, count(file1) AS listed,

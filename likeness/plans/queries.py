@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from likeness.functions import text as tx
 from likeness.operators import candidates, ensemble, evaluate, models, pairs, report, sections, similar, similarity, splits, structure, tokens
 from likeness.plans import tables
-from likeness.session import stored
-from likeness.sources import corpus
+from likeness.session import shared_folder, stored
+from likeness.sources import corpus, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,11 +60,23 @@ def load_batch(spark, folder):
 
 @query
 def read_pairs(spark, folder):
-    rows = tables.read_table(spark, folder, "embeddings").select(
-        "vec_id", F.to_json(F.struct(F.col("embedding").alias("features"), "label")).alias("json")
-    )
-    total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
-    return bigs(corpus.parse_pairs(rows).select("vec_id", "label", F.size("features").alias("width"), total.alias("total")))
+    """Labelled vectors, written and read back, with all their values."""
+    vectors = tables.read_table(spark, folder, "embeddings")
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    sinks.write_pairs(vectors.select(F.col("embedding").cast("array<double>").alias("features"), "label"), path, by_case=False)
+    shown = F.array_join(F.transform("features", lambda x: F.format_string("%.8f", x)), ",")
+    return bigs(corpus.read_pairs(spark, path).select("label", F.size("features").alias("width"), shown.alias("features")))
+
+
+@query
+def load_corpus(spark, folder):
+    """Benchmark items written as a corpus of files, one each, and read back."""
+    items = tables.read_table(spark, folder, "benchmark")
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    files = items.select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("item"), F.col("text").alias("value"))
+    files.write.partitionBy("item").text(f"{path}/original")
+    found = corpus.load_corpus(spark, path, ".txt")
+    return bigs(found.select("case_id", "role", "label", "level", "n_bytes", F.md5("text").alias("text_md5")))
 
 
 # Text and tokens
@@ -117,6 +130,18 @@ def token_numbers(spark, folder):
     return tokens.with_token_numbers(docs).select("doc_id", "num_tokens", "num_unique_tokens")
 
 
+@query
+def approximate_token_numbers(spark, folder):
+    """Different tokens of each language, from sketches of its cases, held against the exact number."""
+    docs = stored(tokens.with_tokens(tables.documents(spark, folder)).select("lang", "case_id", "tokens"), "tokens")
+    parts = tokens.token_sketches(docs, ["lang", "case_id"])
+    merged = tokens.approximate_numbers(tokens.merged_sketches(parts, ["lang"])).withColumnRenamed("num_unique_tokens", "near")
+    exact = docs.select("lang", F.explode_outer("tokens").alias("token")).groupBy("lang").agg(F.countDistinct("token").alias("num_unique_tokens"))
+    bound = 4 * 1.04 / 2 ** (tokens.SKETCH_SIZE / 2)
+    within = F.abs(F.col("near") - F.col("num_unique_tokens")) <= bound * F.col("num_unique_tokens") + 1
+    return exact.join(merged, "lang").select("lang", "num_unique_tokens", within.alias("within_bound"))
+
+
 # Structure
 
 
@@ -187,9 +212,9 @@ def training_pairs(spark, folder):
 def one_pair(spark, folder):
     """The first and the last document, compared like any other pair."""
     docs = tables.documents(spark, folder)
-    ends = docs.agg(F.min("doc_id").alias("doc1"), F.max("doc_id").alias("doc2"))
-    wanted = ends.select(F.explode(F.array("doc1", "doc2")).alias("doc_id"))
-    bags = similarity.bags_of(docs.join(wanted, "doc_id", "left_semi"))
+    first, last = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    ends = stored(pairs.one_pair(docs, first, last), "pair")
+    bags = tables.bags_in_pairs(docs.select("doc_id", "text"), ends)
     return similarity.token_overlap(ends, bags, bags)
 
 
@@ -210,16 +235,16 @@ def case_near_copies(spark, folder):
 
 @query
 def overlap_snippets(spark, folder):
-    """The common sections of all near copies within a case."""
+    """The common sections of all near copies of the corpus."""
     docs = tables.documents(spark, folder)
-    listed = similar.similar_pairs(similarity.bags_of(docs.select("doc_id", F.col("case_id").alias("batch_id"), "text"), "batch_id"), 60)
+    listed = candidates.candidate_pairs(docs)
     return bigs(sections.overlap_snippets(listed.select("doc1", "doc2"), docs.select("doc_id", "text")))
 
 
 @query
 def candidate_pairs(spark, folder):
     """Near copies of the whole corpus, measured."""
-    return bigs(candidates.candidate_pairs(similarity.bags_of(tables.documents(spark, folder), tokens=True)))
+    return bigs(candidates.candidate_pairs(tables.documents(spark, folder)))
 
 
 # Measures
@@ -485,14 +510,14 @@ def forest_votes(spark, folder):
 
 @query
 def boosted_trees(spark, folder):
-    return _trained(lambda train: models.train_boosted_trees(train, maxIter=20, maxDepth=4))(spark, folder)
+    return _trained(models.train_boosted_trees)(spark, folder)
 
 
 @query
 def grid_search_cv(spark, folder):
     """Mean F1 over the folds for each parameter set of the short grid."""
     rows = _training(spark, folder)
-    found = models.grid_search_cv(rows.filter("is_train"), ["doc1", "doc2"], {"maxDepth": [2, 3]}, k=3, maxIter=5)
+    found = models.grid_search_cv(rows.filter("is_train"), ["doc1", "doc2"])
     table = [
         (i, float(f1), ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda x: x[0].name)))
         for i, (f1, params) in enumerate(zip(found.avgMetrics, found.getEstimatorParamMaps()))
@@ -500,6 +525,17 @@ def grid_search_cv(spark, folder):
     return spark.createDataFrame(table, "candidate int, mean_f1 double, params string")
 
 
+@query
+def grid_search_by_rungs(spark, folder):
+    """The short grid with few rounds of boosting, its best part with more."""
+    return models.grid_search_by_rungs(_training(spark, folder).filter("is_train"), ["doc1", "doc2"])
+
+
+@query
+def kernel_support_vectors(spark, folder):
+    return _trained(models.train_kernel_svm)(spark, folder)
+
+
 @query
 def support_vectors(spark, folder):
     return _trained(models.train_svm)(spark, folder)
@@ -540,34 +576,45 @@ def doc_embedding(spark, folder):
 
 @query
 def nn_pair_vector(spark, folder):
-    """Width and cosine of the network's pair vectors for all case pairs."""
+    """All values of the network's vectors for all case pairs: both embeddings and the cosine."""
     docs = tables.documents(spark, folder).select("doc_id", "text")
-    means = models.doc_embedding(docs, _word_vectors(spark, folder), size=64)
+    means = stored(models.doc_embedding(docs, _word_vectors(spark, folder), size=64), "means")
     ids = pairs.case_pairs(tables.corpus_ids(spark, folder)).select("doc1", "doc2")
     vectors = models.nn_pair_vector(ids, means)
-    return bigs(vectors.select("doc1", "doc2", F.size("features").alias("width"), "cosine"))
+    return bigs(vectors.select("doc1", "doc2", F.posexplode_outer("features").alias("dim", "value")))
 
 
-@query
-def word2vec_network(spark, folder):
-    """Word vectors learnt from all texts, and a network on the pair vectors they give."""
+def _rated_network(spark, folder, vectors):
+    """Held-out rates of the network on the pair vectors that word vectors give, all in the sizes of the operators."""
+    size = models.EMBEDDING_SIZE
     docs = tables.documents(spark, folder).select("doc_id", "text")
-    vectors = models.train_word2vec(docs, size=16, rounds=1).getVectors()
-    means = models.doc_embedding(docs, vectors, size=16)
+    means = stored(models.doc_embedding(docs, vectors(docs), size), "means")
     drawn = pairs.training_pairs(stored(tables.corpus_ids(spark, folder), "ids")).drop("turn")
     rows = stored(models.nn_pair_vector(drawn, means).select("doc1", "doc2", "label", "features"), "pairs")
     marked = splits.validation_split(rows, ["doc1", "doc2"]).withColumn("is_train", ~F.col("is_validation"))
-    network = models.train_mlp(marked.filter("is_train"), 33, hidden=[32, 16], rounds=20)
-    return _rated(models.score_pairs(network, marked, 33))
+    network = models.train_mlp(marked.filter("is_train"), 2 * size + 1)
+    return _rated(models.score_pairs(network, marked, 2 * size + 1))
+
+
+@query
+def word2vec_network(spark, folder):
+    """Word vectors by skip-grams learnt from all texts, and a network on the pair vectors they give."""
+    return _rated_network(spark, folder, lambda docs: models.train_word2vec(docs).getVectors())
+
+
+@query
+def word_factors_network(spark, folder):
+    """The same with factors of mutual information as word vectors."""
+    return _rated_network(spark, folder, models.train_word_factors)
 
 
 # Reports
 
 
 def _comparisons(spark, folder):
-    """Similar pairs of every conversation with a prediction from their overlap in 200ths."""
+    """Similar pairs of the top files of every conversation with a prediction from their overlap in 200ths."""
     files = tables.conversation_files(spark, folder)
-    found = similar.similar_pairs(similarity.bags_of(files, "batch_id"), 20)
+    found = similar.similar_pairs(similarity.bags_of(corpus.load_batch(files), "batch_id"), 20)
     votes = F.expr("200 * token_overlap div greatest(num_tokens1, num_tokens2, 1)")
     file = lambda doc: F.format_string("t%d.java", F.col(doc) % 100000)
     valid = F.greatest("num_tokens1", "num_tokens2") > 0
@@ -591,15 +638,17 @@ def _comparisons(spark, folder):
 def batch_report(spark, folder):
     """The nested report, read back row by row."""
     files, comparisons = _comparisons(spark, folder)
-    nested = report.batch_report(files, comparisons, F.lit("2025-01-01 00:00:00").cast("timestamp"), page_size=5)
+    when = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    nested = report.batch_report(files, comparisons, when, page_size=5, counts=corpus.counts_in_batch(), percent=20)
     rows = nested.select(
-        "batch_id", "total_files", "total_comparisons", "error", F.posexplode_outer("comparisons").alias("place", "c")
+        "batch_id", "total_files", "total_comparisons", "threshold", "error", F.posexplode_outer("comparisons").alias("place", "c")
     )
     return bigs(
         rows.select(
             "batch_id",
             "total_files",
             "total_comparisons",
+            "threshold",
             "error",
             "c.file1",
             "c.file2",
@@ -612,7 +661,7 @@ def batch_report(spark, folder):
 @query
 def report_summary(spark, folder):
     files, comparisons = _comparisons(spark, folder)
-    return bigs(report.report_summary(files, comparisons))
+    return bigs(report.report_summary(files, comparisons, counts=corpus.counts_in_batch()))
 
 
 @query
@@ -647,7 +696,7 @@ def status_and_confidence(spark, folder):
 
 @query
 def report_history(spark, folder):
-    """Every turn's resemblance to the first turn of its role, report by report."""
+    """Every turn against its role, report by report, with the length of its text in 200ths as a probability."""
     turns = tables.read_table(spark, folder, "conversations")
     p1 = F.pmod(F.length("text"), F.lit(200)) / 200
     rows = turns.select(

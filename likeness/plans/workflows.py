@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likeness.operators import ensemble, evaluate, models, pairs, report, similar, similarity, splits
+from likeness.operators import candidates, ensemble, evaluate, models, pairs, report, sections, similar, similarity, splits
 from likeness.session import stored
+from likeness.sources.corpus import counts_in_batch
 
 VECTOR_WIDTH = 2 * len(similarity.FEATURE_KEYS)
 
@@ -25,12 +26,13 @@ def pair_examples(corpus: DataFrame) -> DataFrame:
 
 @dataclass
 class Trained:
-    """Fitted classifiers by name, their held-out metrics, and the held-out blend."""
+    """Fitted classifiers by name, their held-out metrics, and the held-out blend with its rank AUC and its report by class."""
 
     models: dict
     metrics: DataFrame
     weights: DataFrame
     blend_metrics: DataFrame
+    blend_report: DataFrame
 
 
 def train(examples: DataFrame, trees: int = models.FOREST_TREES, boosting: dict | None = None, seed: int = 42) -> Trained:
@@ -68,8 +70,10 @@ def train(examples: DataFrame, trees: int = models.FOREST_TREES, boosting: dict
     facts = scored[names[0]].select(*key, "fold", "label")
     joined = stored(ensemble.join_scores(scored, key).join(facts, key), "blend")
     weights = ensemble.best_weights(joined.filter("fold = 0"), names)
-    blended = ensemble.blend_with_best(joined.filter("fold = 1"), weights, names)
-    return Trained(fitted, metrics, weights, evaluate.binary_metrics(evaluate.confusion_matrix(blended)))
+    blended = stored(ensemble.blend_with_best(joined.filter("fold = 1"), weights, names), "blended")
+    rates = evaluate.binary_metrics(evaluate.confusion_matrix(blended))
+    blend_metrics = rates.select("*", evaluate.auc_rank(blended).scalar().alias("auc"))
+    return Trained(fitted, metrics, weights, blend_metrics, evaluate.classification_report(blended))
 
 
 def compare(wanted: DataFrame, docs: DataFrame, model) -> DataFrame:
@@ -104,9 +108,37 @@ def compare_batches(files: DataFrame, model, percent: int = 30) -> DataFrame:
 
 
 def report_batches(files: DataFrame, model, submitted_at: Column | None = None, percent: int = 30) -> DataFrame:
-    """Report rows of submitted batches, ready to be written."""
-    comparisons = stored(compare_batches(files, model, percent), "comparisons")
-    return report.batch_report(files, comparisons, F.current_timestamp() if submitted_at is None else submitted_at)
+    """Report rows of submitted batches (batch_id, doc_id, file, text), ready to be written.
+
+    ``file`` is a path within the batch. Only code files at its top count and are compared; a batch with fewer than two of them, or
+    none, has a row with an error.
+    """
+    top = counts_in_batch("file")
+    comparisons = stored(compare_batches(files.filter(top), model, percent), "comparisons")
+    when = F.current_timestamp() if submitted_at is None else submitted_at
+    return report.batch_report(files, comparisons, when, counts=top, percent=percent)
+
+
+def report_corpus(corpus: DataFrame, model, percent: int = 75, shortest: int = sections.SHORTEST) -> DataFrame:
+    """All near copies of a corpus (doc_id, text), scored, with how much of them lies in common sections.
+
+    Columns: doc1, doc2, is_copy, token_overlap, num_tokens1, num_tokens2, prediction, confidence, error, status, shown_confidence, sections,
+    section_tokens. Candidates come from the signatures of the whole corpus; only documents of some pair are profiled, and
+    only pairs that are called plagiarized are searched for sections.
+    """
+    found = stored(candidates.candidate_pairs(corpus, percent), "candidates")
+    scored = compare(found.select("doc1", "doc2"), corpus, model).select("doc1", "doc2", "prediction", "confidence", "error")
+    judged = stored(found.join(scored, ["doc1", "doc2"]), "judged")
+    shown = sections.overlap_snippets(report.plagiarized_pairs(judged), corpus, shortest)
+    extents = shown.groupBy("doc1", "doc2").agg(
+        F.count("*").alias("sections"), F.sum(F.col("end1") - F.col("start1")).alias("section_tokens")
+    )
+    return (
+        judged.withColumn("status", report.status_label(F.col("prediction")))
+        .withColumn("shown_confidence", report.confidence_pct(F.element_at("confidence", 2)))
+        .join(extents, ["doc1", "doc2"], "left")
+        .fillna(0, ["sections", "section_tokens"])
+    )
 
 
 @dataclass
@@ -143,6 +175,11 @@ def compare_by_network(wanted: DataFrame, docs: DataFrame, trained: TrainedNetwo
     return models.score_pairs(trained.network, vectors, 2 * trained.size + 1)
 
 
+def rates_by_level(scored: DataFrame) -> DataFrame:
+    """Rates of scored case pairs (case_id, level, label, prediction): by case and level, by case, by level over all cases, and over all."""
+    return evaluate.evaluate_by_group(scored, ["case_id", "level"])
+
+
 def evaluate_network(corpus: DataFrame, trained: TrainedNetwork) -> DataFrame:
     """Every case pair with its probability, truth and prediction, by case and level."""
     scored = compare_by_network(pairs.case_pairs(corpus), corpus.select("doc_id", "text"), trained)

@@ -11,15 +11,37 @@ PAIR_SCHEMA = T.StructType(
 )
 
 
+#: Two code points that are no characters keep the genuine replacement characters of a text apart from those put in.
+_ESCAPE = "\ufdd0"
+_REPLACED = "\ufffd"
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 are dropped, while replacement characters that the text itself has stay."""
+    kept = F.replace(F.replace(content.cast("string"), F.lit(_ESCAPE), F.lit(_ESCAPE + "a")), F.lit(_REPLACED), F.lit(_ESCAPE + "b"))
+    dropped = F.replace(F.make_valid_utf8(kept), F.lit(_REPLACED), F.lit(""))
+    return F.replace(F.replace(dropped, F.lit(_ESCAPE + "b"), F.lit(_REPLACED)), F.lit(_ESCAPE + "a"), F.lit(_ESCAPE))
+
+
 def load_corpus(spark: SparkSession, path: str, suffix: str = ".java") -> DataFrame:
-    """All files below a folder, one row each, with the facts their path carries."""
+    """All files below a folder, one row each, with the facts their path carries.
+
+    Besides: ``doc_id`` (64 bits of the path's hash, for joins), ``file_id`` (128 bits of it), ``n_bytes`` and ``content_sha256``.
+    Spark's file sources leave out files of no bytes.
+    """
     files = (
-        spark.read.option("recursiveFileLookup", "true")
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*{suffix}")
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .load(path)
+        .select(
+            "path",
+            decoded(F.col("content")).alias("text"),
+            F.col("length").alias("n_bytes"),
+            F.sha2("content", 256).alias("content_sha256"),
+        )
     )
-    return label_from_path(files).withColumn("doc_id", F.xxhash64("path"))
+    return label_from_path(files).withColumn("doc_id", F.xxhash64("path")).withColumn("file_id", F.md5("path"))
 
 
 def path_part(path: Column, from_end: int) -> Column:

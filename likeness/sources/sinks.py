@@ -48,7 +48,7 @@ def write_report(report: DataFrame, path: str, mode: str = "append") -> None:
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     comparison = "struct<file1:string,file2:string,prediction:int,confidence:array<double>,error:string>"
     schema = (
-        "batch_id string, page bigint, total_files bigint, total_comparisons bigint, error string, "
+        "batch_id string, page bigint, total_files bigint, total_comparisons bigint, threshold int, error string, "
         f"comparisons array<{comparison}>, submitted_at timestamp"
     )
     return spark.read.schema(schema).json(path)

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,12 +26,13 @@ def held_out_auc(scored):
     return evaluate.auc_rank(rows).first().auc
 
 
-@pytest.mark.parametrize("name", ["boosted", "svm", "regression", "network"])
+@pytest.mark.parametrize("name", ["boosted", "svm", "kernel", "regression", "network"])
 def test_classifiers_learn(examples, name):
     train = examples.filter("is_train")
     model = {
         "boosted": lambda: models.train_boosted_trees(train, maxIter=10, maxDepth=3),
         "svm": lambda: models.train_svm(train),
+        "kernel": lambda: models.train_kernel_svm(train),
         "regression": lambda: models.train_logistic_regression(train),
         "network": lambda: models.train_mlp(train, 4, hidden=[8]),
     }[name]()
@@ -114,3 +117,58 @@ def test_doc_embedding_query_keeps_every_document(spark):
         found.setdefault(r.doc_id, {})[r.dim] = r.value
     assert set(found) == ids and all(set(v) == set(range(64)) for v in found.values())
     assert any(not any(v.values()) for v in found.values())
+
+
+def test_fourier_features_stand_for_the_kernel(spark, tmp_path):
+    """Inner products are near exp(-gamma |x - y|^2), and a ring, which no line cuts off, is learnt; a saved model is the same."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(400):
+        angle, radius = draw.uniform(0, 6.283), draw.gauss(1.0 if i % 2 else 2.5, 0.15)
+        rows.append((i, [radius * math.cos(angle), radius * math.sin(angle)], i % 2))
+    ring = splits.stratified_split(spark.createDataFrame(rows, "id int, features array<double>, label int"), ["id"]).cache()
+    model = models.train_kernel_svm(ring.filter("is_train"))
+    some = [(r.features, r.vector) for r in model.with_fourier(ring).limit(12).collect()]
+    for x, a in some:
+        for y, b in some:
+            assert abs(a.dot(b) - math.exp(-model.gamma * sum((p - q) ** 2 for p, q in zip(x, y)))) < 0.2
+    assert held_out_auc(models.score_pairs(model, ring, 2)) > 0.95
+    assert held_out_auc(models.score_pairs(models.train_svm(ring.filter("is_train")), ring, 2)) < 0.8
+    model.save(str(tmp_path / "kernel"))
+    again = models.KernelSvm.load(spark, str(tmp_path / "kernel"))
+    score = lambda m: sorted((r.id, r.confidence) for r in models.score_pairs(m, ring, 2).select("id", "confidence").collect())
+    assert score(again) == score(model)
+
+
+def test_word_pairs_by_hand(spark):
+    docs = spark.createDataFrame([("a b a c",), ("c b",), ("",), (None,)], "text string")
+    counted = Counter()
+    for words in (["a", "b", "a", "c"], ["c", "b"]):
+        for i in range(len(words)):
+            for j in range(i + 1, min(i + 3, len(words))):
+                counted[words[i], words[j]] += 1
+                counted[words[j], words[i]] += 1
+    assert {(r.word, r.context): r.cnt for r in models.word_pairs(docs, 2).collect()} == dict(counted)
+
+
+def test_word_factors_tell_topics_apart(spark):
+    draw = random.Random(7)
+    topics = [[f"{t}{i}" for i in range(12)] for t in "abc"]
+    docs = [(n, " ".join(draw.choice(topics[n % 3]) for _ in range(40))) for n in range(90)]
+    vectors = models.train_word_factors(spark.createDataFrame(docs, "doc_id int, text string"), size=6, rounds=5)
+    found = {r.word: r.vector.toArray() for r in vectors.collect()}
+    assert len(found) == 36
+    cosine = lambda x, y: float(x @ y) / ((float(x @ x) * float(y @ y)) ** 0.5 or 1)
+    near = [cosine(found[f"{t}0"], found[f"{t}{i}"]) for t in "abc" for i in range(1, 12)]
+    far = [cosine(found["a0"], found[f"{t}{i}"]) for t in "bc" for i in range(12)]
+    assert sum(near) / len(near) > sum(far) / len(far) + 0.4
+
+
+def test_rungs_keep_the_best_sets(examples):
+    grid = {"maxDepth": [1, 3], "stepSize": [0.1, 0.3]}
+    found = models.grid_search_by_rungs(examples.filter("is_train"), ["id"], grid, k=3, rungs=(1, 4), keep=0.5).collect()
+    first, last = [r for r in found if r.rung == 0], [r for r in found if r.rung == 1]
+    assert (len(first), len(last)) == (4, 2) and {r.rounds for r in last} == {4}
+    assert {r.params for r in last} == {r.params for r in sorted(first, key=lambda r: -r.mean_f1)[:2]} or len({r.mean_f1 for r in first}) < 4
+    whole = models.grid_search_cv(examples.filter("is_train"), ["id"], grid, k=3, maxIter=1)
+    assert sorted(round(x, 9) for x in whole.avgMetrics) == sorted(round(r.mean_f1, 9) for r in first)

@@ -127,7 +127,7 @@ def test_heavy_tokens_are_cut_into_blocks(spark):
     plain = sorted(map(tuple, similar.candidate_groups(groups, 20).collect()))
     cut = sorted(map(tuple, similar.candidate_groups(groups, 20, block=7).collect()))
     assert cut == plain and len(plain) == 90 * 89 // 2
-    rows = similar.rarest_tokens(groups, 20).withColumn("blocks", F.ceil(F.col("docs") / 7))
+    rows = similar.rarest_tokens(groups, 20, block=7).withColumn("blocks", F.ceil(F.col("docs") / 7))
     assert rows.filter("docs = 90").first()["blocks"] == 13
 
 
@@ -137,7 +137,7 @@ def test_candidates_are_all_pairs_with_their_overlap(spark):
     text = [f"w{rng.randrange(400)}" for _ in range(150)]
     docs = [(i, " ".join(text)) for i in range(40)] + [(100 + i, " ".join(text[: 140 + i])) for i in range(9)]
     docs += [(200 + i, f"other words {i} {i * 7} {i * 13}") for i in range(20)] + [(299, None), (300, ""), (301, ""), (302, "x y"), (303, "x y")]
-    frame = similarity.bags_of(spark.createDataFrame(docs, "doc_id int, text string"), tokens=True)
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
     found = {(r.doc1, r.doc2): r for r in candidates.candidate_pairs(frame).collect()}
     ends = [0, *range(100, 109)]
     wanted = {(0, i) for i in range(1, 40)} | {(a, b) for a in ends for b in ends if a < b} | {(300, 301), (302, 303)}
@@ -156,7 +156,7 @@ def test_candidates_recall_pairs_of_the_exact_join(spark, folder):
     frame = spark.createDataFrame(near, "doc_id long, text string")
     exact = similar.similar_pairs(similarity.bags_of(frame.withColumn("batch_id", F.lit(0)), "batch_id"), 75)
     wanted = {(r.doc1, r.doc2) for r in exact.collect()}
-    found = {(r.doc1, r.doc2) for r in candidates.candidate_pairs(similarity.bags_of(frame, tokens=True)).collect()}
+    found = {(r.doc1, r.doc2) for r in candidates.candidate_pairs(frame).collect()}
     assert found <= wanted and len(found) >= 0.9 * len(wanted) > 50
 
 
@@ -170,7 +170,7 @@ def test_arriving_documents_meet_the_index(spark, tmp_path):
             words[rng.randrange(120)] = f"x{rng.randrange(50)}"
         docs.append((i, " ".join(words)))
     docs += [(200 + i, docs[i][1]) for i in range(5)]
-    frame = similarity.bags_of(spark.createDataFrame(docs, "doc_id long, text string"), tokens=True)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
     whole = candidates.candidate_pairs(frame).collect()
     index = candidates.CorpusIndex(spark, str(tmp_path))
     parts = [frame.filter("doc_id < 50"), frame.filter("doc_id BETWEEN 50 AND 99"), frame.filter("doc_id >= 100")]

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -24,6 +25,19 @@ def test_corpus_of_files(spark, tmp_path):
     assert rows["original"].text == "// original/T1.java\nclass A {}\n"
 
 
+def test_bytes_that_are_no_text_are_dropped(spark, tmp_path):
+    cases = [b"plain", b"a\xffb\xc3(\xa9", "é€😀".encode(), "\ufffd genuine \ufdd0a \ufdd0b".encode(), b"\xf0\x9f\x98", b"x\xe2\x82y\xfe\xfe", b"\xff", b"\xed\xa0\x80z\x00"]
+    for i, content in enumerate(cases):
+        os.makedirs(f"{tmp_path}/set/case-{i}/original")
+        with open(f"{tmp_path}/set/case-{i}/original/A.java", "wb") as f:
+            f.write(content)
+    rows = {r.case_id: r for r in corpus.load_corpus(spark, f"{tmp_path}/set").collect()}
+    for i, content in enumerate(cases):
+        row = rows[f"case-{i}"]
+        assert (row.text, row.n_bytes, row.content_sha256) == (content.decode("utf-8", "ignore"), len(content), hashlib.sha256(content).hexdigest())
+    assert len({r.file_id for r in rows.values()}) == len({r.doc_id for r in rows.values()}) == len(cases)
+
+
 def test_batches_take_top_files_and_refuse_single_ones(spark):
     files = spark.createDataFrame(
         [("x", "A.java"), ("x", "B.java"), ("x", "lib/C.java"), ("x", "notes.txt"), ("y", "A.java"), ("z", "lib/A.java")],

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from likeness.functions.text import normalize_code, strip_comments, tokenize, word_tokens
+from likeness.operators import tokens
 from likeness.operators.tokens import token_counts, token_positions, with_token_numbers, with_tokens
 
 
@@ -74,3 +75,12 @@ def test_counts_and_positions(spark):
 def test_token_counts_do_not_shuffle(spark, folder):
     docs = with_tokens(spark.read.parquet(f"{folder}/documents.parquet"))
     assert "Exchange" not in token_counts(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sketches_merge_like_sets(spark):
+    docs = spark.createDataFrame([(g, p, [f"t{(g * 3000 + p * 700 + i) % 20000}" for i in range(2000)]) for g in range(3) for p in range(5)], "g int, p int, tokens array<string>")
+    merged = tokens.approximate_numbers(tokens.merged_sketches(tokens.token_sketches(docs, ["g", "p"]), ["g"]))
+    exact = {r.g: r.n for r in docs.selectExpr("g", "explode(tokens) AS t").groupBy("g").agg(F.countDistinct("t").alias("n")).collect()}
+    for r in merged.collect():
+        assert abs(r.num_unique_tokens - exact[r.g]) <= 4 * 1.04 / 128 * exact[r.g]
+    assert all(len(r.sketch) < 1 << 15 for r in merged.collect())
