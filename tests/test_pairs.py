@@ -131,7 +131,7 @@ def test_heavy_tokens_are_cut_into_blocks(spark):
     assert rows.filter("docs = 90").first()["blocks"] == 13
 
 
-def test_candidates_are_all_pairs_with_their_overlap(spark):
+def test_candidates_are_all_pairs_with_their_overlap(spark, monkeypatch):
     """Copies in a star; of the others each pair at the threshold, also within one bucket."""
     rng = random.Random(6)
     text = [f"w{rng.randrange(400)}" for _ in range(150)]
@@ -143,6 +143,8 @@ def test_candidates_are_all_pairs_with_their_overlap(spark):
     wanted = {(0, i) for i in range(1, 40)} | {(a, b) for a in ends for b in ends if a < b} | {(300, 301), (302, 303)}
     assert set(found) == wanted
     assert found[100, 108].token_overlap == 140 and found[0, 3].is_copy and not found[0, 100].is_copy
+    monkeypatch.setattr(candidates, "SMALL_BUCKET", 1)
+    assert {(r.doc1, r.doc2): r for r in candidates.candidate_pairs(frame).collect()} == found
 
 
 def test_candidates_recall_pairs_of_the_exact_join(spark, folder):
