@@ -584,28 +584,31 @@ def nn_pair_vector(spark, folder):
     return bigs(vectors.select("doc1", "doc2", F.posexplode_outer("features").alias("dim", "value")))
 
 
+#: The network's registered runs are cut to these sizes; at full size its training alone takes minutes on a small table (see the README).
+CUT_SIZE, CUT_LAYERS, CUT_ROUNDS = 16, [32, 16], 20
+
+
 def _rated_network(spark, folder, vectors):
-    """Held-out rates of the network on the pair vectors that word vectors give, all in the sizes of the operators."""
-    size = models.EMBEDDING_SIZE
+    """Held-out rates of a network on the pair vectors that word vectors give."""
     docs = tables.documents(spark, folder).select("doc_id", "text")
-    means = stored(models.doc_embedding(docs, vectors(docs), size), "means")
+    means = stored(models.doc_embedding(docs, vectors(docs), CUT_SIZE), "means")
     drawn = pairs.training_pairs(stored(tables.corpus_ids(spark, folder), "ids")).drop("turn")
     rows = stored(models.nn_pair_vector(drawn, means).select("doc1", "doc2", "label", "features"), "pairs")
     marked = splits.validation_split(rows, ["doc1", "doc2"]).withColumn("is_train", ~F.col("is_validation"))
-    network = models.train_mlp(marked.filter("is_train"), 2 * size + 1)
-    return _rated(models.score_pairs(network, marked, 2 * size + 1))
+    network = models.train_mlp(marked.filter("is_train"), 2 * CUT_SIZE + 1, hidden=CUT_LAYERS, rounds=CUT_ROUNDS)
+    return _rated(models.score_pairs(network, marked, 2 * CUT_SIZE + 1))
 
 
 @query
 def word2vec_network(spark, folder):
-    """Word vectors by skip-grams learnt from all texts, and a network on the pair vectors they give."""
-    return _rated_network(spark, folder, lambda docs: models.train_word2vec(docs).getVectors())
+    """Word vectors by one round of skip-grams over all texts, and a network on the pair vectors they give."""
+    return _rated_network(spark, folder, lambda docs: models.train_word2vec(docs, size=CUT_SIZE, rounds=1).getVectors())
 
 
 @query
 def word_factors_network(spark, folder):
     """The same with factors of mutual information as word vectors."""
-    return _rated_network(spark, folder, models.train_word_factors)
+    return _rated_network(spark, folder, lambda docs: models.train_word_factors(docs, size=CUT_SIZE))
 
 
 # Reports

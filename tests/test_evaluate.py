@@ -76,11 +76,19 @@ def test_groups_add_up(spark):
     rows = [(c, l, y, p) for c in "ab" for l in ("L1", "L2") for y in (0, 1) for p in (0, 1)]
     frame = spark.createDataFrame(rows, "case string, level string, label int, prediction int")
     table = evaluate.evaluate_by_group(frame, ["case", "level"]).collect()
-    assert len(table) == 7
-    for grouping, size in ((0, 4), (1, 8), (3, 16)):
+    assert len(table) == 9
+    assert {(r.case, r.level) for r in table if r.grouping == 2} == {(None, "L1"), (None, "L2")}
+    for grouping, size in ((0, 4), (1, 8), (2, 8), (3, 16)):
         assert {r.tn + r.fp + r.fn + r.tp for r in table if r.grouping == grouping} == {size}
 
 
+def test_scores_come_in_order(spark):
+    rows = [(i % 17, i, (i * 37 % 101) // 10 / 10) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc1 int, doc2 int, score double").repartition(7)
+    found = [tuple(r) for r in evaluate.sort_scores(frame, ["doc1", "doc2"]).collect()]
+    assert found == sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
+
+
 def test_ties_of_votes(spark):
     row = spark.range(1).select(
         evaluate.vote_predict(F.lit(100), 200, tie=1), evaluate.vote_predict(F.lit(100), 200, tie=0),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -47,6 +48,12 @@ def test_negative_pairs_are_k_of_other_cases(corpus, k, rings):
         assert set(drawn) <= set(others)
 
 
+def test_training_pairs_come_in_hash_order(spark, corpus):
+    found = pairs.training_pairs(corpus.repartition(5)).collect()
+    turns = [hashlib.md5(f"42|{r.doc1}|{r.doc2}".encode()).hexdigest() for r in found]
+    assert [r.turn for r in found] == turns == sorted(turns) and {r.label for r in found[:10]} == {0, 1}
+
+
 def test_any_candidate_can_be_drawn(spark):
     """Different negatives grow with the corpus, also beside a case that has most of the candidates."""
     rows = [(i, f"c{i}", "original") for i in range(600)]
