@@ -161,17 +161,21 @@ def with_replies(packs: DataFrame, replies: DataFrame) -> DataFrame:
     return packs.join(gathered, "pack", "left")
 
 
+#: Formats that keep all digits of the columns that ride along.
+REST_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def rest_of(docs: DataFrame):
     """All columns but ``doc_id`` and ``text`` as one string, to ride along as a tag."""
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return F.to_json(F.struct(*names)) if names else F.lit(None).cast("string")
+    return F.to_json(F.struct(*names), REST_FORMATS) if names else F.lit(None).cast("string")
 
 
 def with_rest(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, tag) in the columns of ``docs``."""
     fields = [f for f in docs.schema if f.name not in ("doc_id", "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    rows = rows.withColumn("_rest", F.from_json("tag", schema)) if fields else rows
+    rows = rows.withColumn("_rest", F.from_json("tag", schema, REST_FORMATS)) if fields else rows
     cast = {f.name: f.dataType for f in docs.schema}
     return rows.select(
         *[F.col(c).cast(cast[c]) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns]

@@ -102,7 +102,7 @@ def _measured(with_text: bool):
 
 def measured(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """The documents' columns with the counts, ``base_failed`` and ``stratum`` beside them."""
-    rows = docs.select(*[c for c in docs.columns if c not in RESULTS]).withColumn("text", F.col("text").cast("string"))
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in RESULTS]).withColumn("text", F.col("text").cast("string"))
     counts = ", ".join(f"{c} long" for c in COUNTS)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if with_text or f.name != "text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -180,7 +180,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, leve
     """The documents that ``judged`` keeps, as they are. The text is measured twice rather than moved."""
     few = docs.select("doc_id", "text", "lang")
     limits = stored(cutoffs(stored(measured(few), "measured"), labels, alpha, level), "limits")
-    clash = {c: f"_own_{c}" for c in docs.columns if c in RESULTS}
+    clash = {c: f"_own_{c}" for c in docs.columns if c.lower() in RESULTS}
     renamed = docs.withColumnsRenamed(clash)
     kept = verdicts(measured(renamed, with_text=True), limits).filter("kept")
     return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
