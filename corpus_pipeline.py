@@ -15,8 +15,13 @@ from likeness.llm.packs import rest_of, with_rest
 from likeness.session import stored
 
 
+#: Bytes of texts on their way to a Python worker at a time, for this session.
+BATCH_BYTES = 4 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. The stages' batches are bounded by their bytes from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
