@@ -215,9 +215,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal: in
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents in which no item is found. Rows of equal ids stay or go together."""
+    """The documents in which no item is found. Rows of equal ids stay or go together, those of a null id too."""
     leaks = find_leaks(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id"))
+    return docs.alias("d").join(leaks.alias("l"), same, "left_anti").select(docs.columns)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

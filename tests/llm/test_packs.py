@@ -3,6 +3,7 @@
 import datetime
 import decimal
 
+from likeness.llm.decontamination import without_leaks
 from likeness.llm.packs import chosen_documents, pack_documents, rest_of, with_rest
 
 
@@ -23,3 +24,10 @@ def test_other_columns_keep_their_values(spark):
     back = with_rest(chosen_documents(packs, every), docs)
     assert back.columns == docs.columns and [f.dataType for f in back.schema] == [f.dataType for f in docs.schema]
     assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_leaks_without_an_id_go(spark):
+    item = "a long river runs behind the old mill and turns its wheel until the late winter freezes all of it"
+    docs = spark.createDataFrame([(None, f"see here: {item}."), (1, "nothing of the kind stands in this short text"), (2, item)], "doc_id long, text string")
+    kept = without_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [1]
