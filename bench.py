@@ -23,6 +23,7 @@ HEADLINES = [
     "batch_pairs",
     "case_near_copies",
     "candidate_pairs",
+    "overlap_snippets",
     "cosine_similarity",
     "stratified_split",
     "binary_metrics",
