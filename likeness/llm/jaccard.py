@@ -7,7 +7,7 @@ agree: a segment picked exactly stands for one difference, one picked with its o
 for two, as two sets that differ in one element there have a neighbour in common. Every set picks what is
 cheapest, by how many sets have the same subsets; subsets that no other set has cost nothing.
 
-Sets that meet are first compared with one of each meeting, another one in each round, which links most
+Sets that meet are first compared with one of each meeting, another one in each of two rounds, which links most
 near copies to a group. Only meetings with several groups left are compared further, and only across groups.
 So links that can join two groups are all verified, and no meeting is expanded into all its pairs. Every set
 has a bitmap in which each element turns a bit over; two sets differ in at least as many elements as their
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from likeness.llm.components import components
 from likeness.llm.keys import counted, group_starts, places, shared_keys, told_keys
-from likeness.llm.packs import Pack, chosen_documents, mix, pack_documents, rest_of, unpacked, with_rest
+from likeness.llm.packs import Pack, bucketed, chosen_documents, mix, pack_documents, rest_of, unpacked, with_rest
 from likeness.llm.words import LOWER, WordSpans
 from likeness.session import stored
 
@@ -35,7 +35,7 @@ BANDS += [(768 << i, 256 << i, False) for i in range(32)]
 UPPER = np.array([b[0] for b in BANDS])
 #: 64-bit words of a bitmap, and rounds in which meetings are compared with one set each.
 WORDS = 16
-ROUNDS = 3
+ROUNDS = 2
 #: Members of a block, about; two blocks are compared at a time.
 BLOCK = 500
 
@@ -341,7 +341,8 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
     run, schema = _meetings(size, percent, seed)
     rows = stored(sources.join(gathered, "pack").mapInArrow(run, schema), "meetings")
     entries = rows.filter("key is not null").select("key", "ref", "n", "probe")
-    sets = rows.filter("key is null").select("ref", "n", "shingles", "bits")
+    # Pairs look up sets in every round: only the pairs move, not the sets.
+    sets = bucketed(rows.filter("key is null").select("ref", "n", "shingles", "bits"), "sets", "ref")
 
     # A meeting's members are told by two sums over them, so meetings of the same sets are one.
     who = [F.sum(F.xxhash64("ref", F.lit(i)).bitwiseAND((1 << 40) - 1)).alias(f"who{i}") for i in (1, 2)]
@@ -369,8 +370,10 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
         return at.withColumn("root", F.coalesce("root", "ref"))
 
     for turn in range(ROUNDS):
-        order = F.xxhash64("ref", F.lit(turn)) if turn else F.lit(0)
-        at = placed() if turn else members
+        # At first meetings of about the same sets have the same centre, so there are few pairs. Later each has
+        # its own, so a set that is still apart is compared with as many centres as it has meetings.
+        order = F.xxhash64("ref", "meeting", F.lit(turn)) if turn else F.lit(0)
+        at = stored(placed(), "placed") if turn else members
         centres = at.groupBy(*meeting).agg(F.min(F.struct(order.alias("o"), "ref", "n", "probe", "root")).alias("c"))
         centres = centres.select(*meeting, *[F.col(f"c.{c}").alias(f"{c}2") for c in ("ref", "n", "probe", "root")])
         stars = side(at, "1").join(centres, meeting).filter((F.col("root1") != F.col("root2")) & fit("1", "2"))
@@ -378,8 +381,6 @@ def _grouped(packs: DataFrame, size: int, percent: int) -> DataFrame:
         pairs = stored(pairs, "pairs")
         near = verified(possible(pairs.select("a", "b"), sets, percent), sets, percent).join(pairs, ["a", "b"])
         links = stored(near.select(F.col("root1").alias("a"), F.col("root2").alias("b")).distinct(), "near")
-        if turn and links.isEmpty():
-            break
         groups_of = merged(links, groups_of)
     last = stored(placed(), "placed")
     rest = verified(_across(last, sets, percent), sets, percent)

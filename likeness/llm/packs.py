@@ -116,6 +116,15 @@ def pack_documents(docs: DataFrame, tag: str | None = None, size: int = PACK_BYT
     return spark.table(name)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a table in buckets of ``key`` to the shared folder: joins on the key do not move it again."""
+    spark = df.sparkSession
+    name, buckets = f"{name}_{uuid.uuid4().hex}", shuffle_tasks(spark)
+    dealt = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    dealt.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def shuffle_tasks(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
