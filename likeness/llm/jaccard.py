@@ -298,11 +298,13 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     teams = stored(components(at.select(F.col("head").alias("a"), F.col("ref").alias("b"))).select(F.col("node").alias("ref"), F.col("root").alias("team")), "teams")
     at = at.join(teams, "ref")
     pairs = at.groupBy("team").agg(F.sum("met").alias("pairs")).join(teams.groupBy("team").agg(F.count("*").alias("size")), "team")
-    at = at.join(stored(pairs.select("team", "size", (F.col("size") * F.col("size") <= F.col("pairs")).alias("joint")), "costs"), "team")
+    costs = stored(pairs.select("team", "size", (F.col("size") * F.col("size") <= F.col("pairs")).alias("joint")), "costs")
+    at = stored(at.join(costs, "team"), "in-teams")
     # Members of one team meet in many places; one row of each does.
     joint = at.filter("joint").groupBy("team", "ref").agg(*[F.first(c).alias(c) for c in ("n", "root", "size")])
     single = at.filter("not joint").select(F.col("meeting").alias("team"), "ref", "n", "root", F.col("met").alias("size"), "probe")
-    members = joint.withColumn("probe", F.lit(True)).unionByName(single).join(sets.select("ref", "bits"), "ref")
+    # Both sides are read from one copy.
+    members = stored(joint.withColumn("probe", F.lit(True)).unionByName(single), "team-members").join(sets.select("ref", "bits"), "ref")
     members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("ref", F.lit(ROUNDS)), "blocks"))
     side = lambda name, one, two: members.select("team", one.alias("i"), two.alias("j"), *[F.col(c).alias(f"{c}{name}") for c in ("ref", "n", "probe", "root", "bits")])
     left = side("1", F.col("block"), F.explode(F.sequence("block", F.col("blocks") - 1)))
