@@ -91,11 +91,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     listed = stored(listed.filter("canonical is not null").select("canonical").distinct(), "listed")
     bits, blocks = bloom_blocks(listed)
     parts = with_host_and_path(pages.drop(*results)).withColumn("canonical", canonical())
-    probes = parts.filter("canonical is not null").groupBy("canonical").agg(F.lit(1).alias("one")).select(
+    probes = parts.filter("canonical is not null").select(
         "canonical", F.pmod(F.xxhash64("canonical", F.lit("block")), F.lit(blocks)).alias("block"), _mask(F.xxhash64("canonical")).alias("mask")
     )
+    # Pages are probed as they are read; only URLs that pass are exchanged as strings.
     possible = probes.join(bits, "block").filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-    sure = stored(possible.select("canonical").join(listed, "canonical", "left_semi").withColumn("listed", F.lit(True)), "hits")
+    sure = stored(possible.select("canonical").distinct().join(listed, "canonical", "left_semi").withColumn("listed", F.lit(True)), "hits")
     rule, verdict = rule_columns(rules)
     judged = parts.join(sure, "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     own = F.when(F.col("listed"), "block").otherwise("allow")
