@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from likeness.functions.cutting import counted_tokens, token_coder
 from likeness.operators.joins import dealt
-from likeness.operators.tokens import explode_with_position, with_token_numbers, with_tokens
+from likeness.operators.tokens import explode_with_position, with_tokens
 
 # Words of the analysed language.
 PRIMITIVE_TYPES = ["void", "int", "String", "boolean", "double", "float", "char", "byte", "short", "long"]
@@ -105,6 +106,9 @@ COUNTED_KINDS = {
 }
 
 
+CODER = token_coder(WORD_CODES, PRIMITIVE_TYPES)
+
+
 def token_code(token: Column) -> Column:
     """The one-character class of a token; modifiers have none."""
     known = F.create_map(*[F.lit(x) for pair in WORD_CODES.items() for x in pair])
@@ -142,12 +146,13 @@ EVENT_REWRITES = [
     (r"([!?~])(?=[au]\()", "$1l"),
     (r"([!?~])(?=[^pikqfwrtzsjmvl])", "$1e"),
     (r"([!?~].)|[^(\[){}@<]", "$1"),  # keep marks, parentheses and braces
+    (r"(?<![!?~])(?:\(\)){2,}+", "()"),  # several calls without a statement between them change no more than one
 ]
 
 
-def event_string(tokens: Column) -> Column:
-    """Marked statement starts, parentheses and braces of a document, in order."""
-    return reduce(lambda s, rule: F.regexp_replace(s, *rule), EVENT_REWRITES, code_string(tokens))
+def event_string(codes: Column) -> Column:
+    """Marked statement starts, parentheses and braces of a document, in order, from its code string."""
+    return reduce(lambda s, rule: F.regexp_replace(s, *rule), EVENT_REWRITES, codes)
 
 
 def _sum_of(flag: Column) -> Column:
@@ -158,9 +163,10 @@ def structure_events(docs: DataFrame, doc_id: str = "doc_id", carry: tuple[str,
     """One row per event with nesting depth; a document without events keeps one empty row.
 
     Adds ``kind`` (a letter, set where a statement starts), ``direct`` (it follows a block edge or
-    a semicolon) and ``depth`` (open braces before the event). Expects ``tokens``.
+    a semicolon) and ``depth`` (open braces before the event). Expects ``tokens``, or ``codes`` in their place.
     """
-    strings = dealt(docs.select(doc_id, *carry, event_string(F.col("tokens")).alias("_events")), doc_id)
+    codes = F.col("codes") if "codes" in docs.columns else code_string(F.col("tokens"))
+    strings = dealt(docs.select(doc_id, *carry, event_string(codes).alias("_events")), doc_id)
     events = F.posexplode_outer(F.regexp_extract_all("_events", F.lit(r"[!?~].|."), F.lit(0)))
     by_doc = strings.select(doc_id, *carry, events.alias("pos", "event"))
     event = F.col("event")
@@ -226,14 +232,13 @@ def token_context(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def doc_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All per-document features and the kind sequence, with one shuffle by document."""
-    return features_of_tokens(with_tokens(docs.select(doc_id, text), text), doc_id)
+    return features_of_codes(counted_tokens(docs, doc_id, text=text, code=CODER).drop("bag"), doc_id)
 
 
-def features_of_tokens(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The same, from documents that have been cut into ``tokens``."""
+def features_of_codes(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The same, from documents that have been cut and have ``num_tokens``, ``num_unique_tokens`` and ``codes``."""
     carry = ("num_tokens", "num_unique_tokens")
-    numbered = with_token_numbers(docs)
-    events = structure_events(numbered, doc_id, carry)
+    events = structure_events(docs, doc_id, carry)
     kind = F.col("kind")
     in_order = Window.partitionBy(doc_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     method_depth = F.last(F.when(kind == "M", F.col("depth")), ignorenulls=True).over(in_order)
@@ -245,16 +250,25 @@ def features_of_tokens(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         .groupBy(doc_id)
         .agg(
             *[F.first(name).alias(name) for name in carry],
-            *[_sum_of(kind == letter).alias(name) for name, letter in COUNTED_KINDS.items()],
-            _sum_of(kind.isin(list(STATEMENT_KINDS))).alias("num_statements"),
-            F.lit(0).cast("bigint").alias("num_var_declarations"),
             F.max(open_braces).cast("bigint").alias("max_depth"),
             _sum_of(in_body).alias("_body"),
             F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("kinds"),
         )
     )
+    # Every statement has its letter in the sequence, so counts are read off there.
+    among = lambda letters: (F.length("kinds") - F.length(F.translate("kinds", letters, ""))).cast("bigint")
+    named = counted.select(
+        doc_id,
+        *carry,
+        *[among(letter).alias(name) for name, letter in COUNTED_KINDS.items()],
+        among(STATEMENT_KINDS).alias("num_statements"),
+        F.lit(0).cast("bigint").alias("num_var_declarations"),
+        "max_depth",
+        "_body",
+        "kinds",
+    )
     length = F.when(F.col("num_methods") > 0, F.col("_body") / F.col("num_methods")).otherwise(F.lit(0.0))
-    return counted.withColumn("avg_method_length", length).drop("_body")
+    return named.withColumn("avg_method_length", length).drop("_body")
 
 
 def kind_sequence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
