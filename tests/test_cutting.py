@@ -67,3 +67,19 @@ def test_first_word_cuts_no_more(spark):
     docs = spark.createDataFrame([(t,) for t in [*TEXTS, "  (a b", "...", "/*x*/ // y\n z w"]], "text string")
     rows = docs.select(first_word(F.col("text")).alias("one"), F.get(word_tokens(F.col("text")), F.lit(0)).alias("all")).collect()
     assert all(r.one == r.all for r in rows)
+
+
+def test_sketches_rule_out_pairs_before_bags_move(spark):
+    from likeness.operators.similar import measured_above
+    from likeness.operators.similarity import bags_of
+
+    texts = ["a b c d", "a b c e", " ".join(f"w{i}" for i in range(40)), "x x x x y", "x x x y y", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    facts = bags_of(docs, sketch=True).select("doc_id", "num_tokens", "bag", "sketch")
+    sizes = {r.doc_id: (r.num_tokens, sum(r.sketch)) for r in facts.collect()}
+    assert all(a == b for a, b in sizes.values())
+    met = spark.createDataFrame([(i, j) for i in range(6) for j in range(i + 1, 6)], "doc1 long, doc2 long")
+    for percent in (1, 60, 75):
+        found, plain = measured_above(met, facts, percent), measured_above(met, facts.drop("sketch"), percent)
+        assert sorted(found.collect()) == sorted(plain.collect())
+        assert found.columns == plain.columns
