@@ -83,3 +83,5 @@ def test_sketches_rule_out_pairs_before_bags_move(spark):
         found, plain = measured_above(met, facts, percent), measured_above(met, facts.drop("sketch"), percent)
         assert sorted(found.collect()) == sorted(plain.collect())
         assert found.columns == plain.columns
+        twice = facts.unionByName(facts.filter("doc_id < 2"))
+        assert sorted(measured_above(met, twice, percent).collect()) == sorted(measured_above(met, twice.drop("sketch"), percent).collect())
