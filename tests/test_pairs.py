@@ -1,11 +1,12 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from likeness.operators import candidates, pairs, similar, similarity, splits
+from likeness.operators import blocks, candidates, pairs, similar, similarity, splits
 from likeness.operators.ranking import hash_rank
 from likeness.operators.tokens import with_tokens
 
@@ -268,3 +269,32 @@ def test_one_pair_needs_both_documents(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
     assert [tuple(r) for r in pairs.one_pair(docs, 2, 1).collect()] == [(2, 1)]
     assert pairs.one_pair(docs, 1, 3).count() == 0
+
+
+@pytest.mark.parametrize("percent", [20, 60, 100])
+def test_blocks_find_all_pairs_and_move_bags_by_block(spark, percent):
+    """Small blocks of one class or two: every pair as by hand, each bag in as many cells as blocks are near, however many pairs it has."""
+    rng = random.Random(percent)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(9)}" for _ in range(rng.choice([1, 2, 5, 9, 10, 25]))]
+        rows.append((i % 2, i, " ".join(words) if i % 10 else ""))
+    rows += [(1, 500, "x " * 70_000 + "y z"), (1, 501, "x " * 69_990 + "z"), (None, 502, "w1 w2"), (None, 503, "w1 w2 w1"), (0, 504, None)]
+    bags = similarity.bags_of(spark.createDataFrame(rows, "batch_id int, doc_id int, text string"), "batch_id")
+    keyed = blocks.with_code(similar.with_bag_key(bags))
+    groups = similar.copy_groups(keyed, keep=("entries", "code"))
+    counted = {(r.batch_id, r.doc_id): Counter({e.token: e.cnt for e in r.bag}) for r in bags.filter("num_tokens > 0 AND batch_id IS NOT NULL").collect()}
+    first = {}
+    for key in sorted(counted):
+        first.setdefault((key[0], frozenset(counted[key].items())), key)
+    wanted = {}
+    for one, two in itertools.combinations(sorted(first.values()), 2):
+        shared, both = (counted[one] & counted[two]).total(), counted[one].total() + counted[two].total()
+        if one[0] == two[0] and shared * (100 + percent) >= both * percent:
+            wanted[(one[0], one[1], two[1])] = (counted[one].total(), counted[two].total(), shared)
+    for bags_of_block, entries in ((1 << 13, 1 << 21), (7, 1 << 21), (1 << 13, 60)):
+        found = blocks.pairs_in_blocks(groups, percent, bags=bags_of_block, entries=entries).collect()
+        assert {(r.batch_id, r.doc1, r.doc2): (r.num_tokens1, r.num_tokens2, r.token_overlap) for r in found} == wanted and len(found) == len(wanted)
+    assert percent == 100 or len(wanted) > 30
+    plan = similar.similar_pairs(bags, percent)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bag1" not in plan and "bag2" not in plan
