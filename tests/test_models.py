@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from likeness.functions import cutting
 from likeness.operators import evaluate, models, splits
 from likeness.sources.sinks import load_model, save_model
 
@@ -151,6 +152,30 @@ def test_word_pairs_by_hand(spark):
     assert {(r.word, r.context): r.cnt for r in models.word_pairs(docs, 2).collect()} == dict(counted)
 
 
+def test_word_pairs_are_counted_before_they_move(spark):
+    """A task hands on a pair once, in one order, however often it stands there; small holds change no sum."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(60))) for _ in range(50)] + ["solo", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    pairs, totals = Counter(), Counter()
+    for words in ((t or "").split() for t in texts):
+        for i, j in ((i, j) for i in range(len(words)) for j in range(max(0, i - 5), min(i + 6, len(words))) if i != j):
+            pairs[words[i], words[j]] += 1
+            totals[words[i]] += 1
+    once = cutting.near_words(docs, 5).collect()
+    assert len(once) == len({frozenset((r.a, r.b)) for r in once}) <= 36
+    for held in (1, 5, 1 << 21):
+        summed = Counter()
+        for r in cutting.near_words(docs, 5, held=held).collect():
+            summed[r.a, r.b] += r.n
+            summed[r.b, r.a] += r.n
+        assert summed == pairs
+    found = Counter()
+    for r in cutting.near_totals(docs, 5).collect():
+        found[r.word] += r.total
+    assert found == totals and "solo" not in {r.word for r in cutting.near_totals(docs, 5).collect()}
+
+
 def test_word_factors_tell_topics_apart(spark):
     draw = random.Random(7)
     topics = [[f"{t}{i}" for i in range(12)] for t in "abc"]
