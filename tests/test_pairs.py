@@ -298,3 +298,10 @@ def test_blocks_find_all_pairs_and_move_bags_by_block(spark, percent):
     assert percent == 100 or len(wanted) > 30
     plan = similar.similar_pairs(bags, percent)._jdf.queryExecution().optimizedPlan().toString()
     assert "bag1" not in plan and "bag2" not in plan
+
+
+def test_files_without_an_id_keep_their_rows(spark):
+    rows = [(1, 1, "a b c d e"), (1, None, "a b c d f"), (1, 2, "a b c d e g"), (2, 3, "x y z")]
+    bags = similarity.bags_of(spark.createDataFrame(rows, "batch_id int, doc_id int, text string"), "batch_id")
+    found = sorted((r.doc1, r.doc2, r.num_tokens1, r.num_tokens2, r.token_overlap) for r in similar.similar_pairs(bags, 50).collect())
+    assert found == [(1, 1, 5, 5, 5), (1, 2, 5, 6, 5), (2, 2, 6, 6, 6)]
