@@ -27,7 +27,9 @@ from likeness.session import stored
 
 END = 1
 #: Different words whose tokens a worker process keeps at hand; the number has no influence on the result.
-KEPT_WORDS = 1 << 21
+KEPT_WORDS = 1 << 19
+#: Words that go to the tokenizer at a time; the number has no influence on the result either.
+LEARNT_WORDS = 1 << 12
 
 
 class WordTokens:
@@ -64,14 +66,17 @@ class WordTokens:
         self.at[into], self.size[into] = np.append(self.at[into], at)[order], np.append(self.size[into], size)[order]
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), "i4", len(found))
-        total = int(size.sum())
-        while self.n_flat + total > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros(len(self.flat), "u2"))
-        self.flat[self.n_flat : self.n_flat + total] = np.fromiter((i for ids in found for i in ids), "u2", total)
-        self._add(1, keys, self.n_flat + np.cumsum(size) - size, size)
-        self.n_flat += total
+        begin, size = self.n_flat, np.empty(len(words), "i4")
+        for at in range(0, len(words), LEARNT_WORDS):  # an encoding takes many times its ids' bytes
+            some = words[at : at + LEARNT_WORDS]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            size[at : at + len(some)] = [len(ids) for ids in found]
+            total = sum(map(len, found))
+            while self.n_flat + total > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros(len(self.flat), "u2"))
+            self.flat[self.n_flat : self.n_flat + total] = np.fromiter((i for ids in found for i in ids), "u2", total)
+            self.n_flat += total
+        self._add(1, keys, begin + np.cumsum(size, dtype="i8") - size, size)
         if len(self.keys[1]) * 4 > len(self.keys[0]):
             self._add(0, self.keys[1], self.at[1], self.size[1])
             for part in (self.keys, self.at, self.size):

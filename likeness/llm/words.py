@@ -20,9 +20,9 @@ _KEPT: dict = {}  # a task makes these arrays once
 def _up_to(base: int, n: int) -> np.ndarray:
     """The powers of an odd number, at least ``n`` of them."""
     if base not in _KEPT or len(_KEPT[base]) < n:
-        powers = np.full(1 << max(16, int(n).bit_length()), base, "u8")
+        powers = np.full((int(n) // 2**16 + 1) * 2**16, base, "u8")
         powers[0] = 1
-        _KEPT[base] = np.cumprod(powers)
+        _KEPT[base] = np.cumprod(powers, out=powers)
     return _KEPT[base]
 
 
@@ -30,7 +30,9 @@ def hashes_of(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A polynomial over the bytes of each stretch, scrambled."""
     raw = np.frombuffer(data, "u1")
     total = np.zeros(len(raw) + 1, "u8")
-    np.cumsum(mix(np.arange(1, 257, dtype="u8"))[raw] * _up_to(_ODD, len(raw))[: len(raw)], out=total[1:])
+    terms = mix(np.arange(1, 257, dtype="u8"))[raw]
+    terms *= _up_to(_ODD, len(raw))[: len(raw)]
+    np.cumsum(terms, out=total[1:])
     return mix((total[end] - total[begin]) * _up_to(_INVERSE, len(raw) + 1)[begin])
 
 

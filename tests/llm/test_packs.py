@@ -2,7 +2,12 @@
 
 import datetime
 import decimal
+import tracemalloc
 
+import pyarrow as pa
+import pytest
+
+from likeness.llm import quality_rules
 from likeness.llm.decontamination import without_leaks
 from likeness.llm.packs import chosen_documents, pack_documents, rest_of, with_rest
 
@@ -31,3 +36,36 @@ def test_leaks_without_an_id_go(spark):
     docs = spark.createDataFrame([(None, f"see here: {item}."), (1, "nothing of the kind stands in this short text"), (2, item)], "doc_id long, text string")
     kept = without_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def peak_mb(run, texts):
+    """Most memory of numpy and Python, in MB, while the texts pass in one batch of a task that has warmed up."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    list(run(iter([batch.slice(0, 2)])))
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def many_texts():
+    return [" ".join(f"w{i * 7919 % 30011}{j * 104729 % 9973}" for j in range(400)) for i in range(800)]
+
+
+def test_a_batch_of_texts_passes_in_small_parts():
+    texts = many_texts()
+    assert sum(map(len, texts)) > 2.5e6
+    peak, rows = peak_mb(quality_rules._measured(False), texts)
+    assert rows == len(texts) and peak < 30
+
+
+def test_packing_learns_words_in_small_parts():
+    pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from likeness.llm import packing
+
+    texts = many_texts()
+    peak, rows = peak_mb(packing._pieces(public.path("word_bpe_49k.json"), 2048, False)[0], texts)
+    assert rows >= len(texts) and peak < 50
