@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from likeness.functions.cutting import counted_tokens
+from likeness.functions.cutting import counted_tokens, cut_words
 from likeness.functions.text import word_tokens
 from likeness.operators import structure
 from likeness.operators.tokens import with_bag, with_token_numbers, with_tokens
@@ -30,6 +30,13 @@ def test_batches_cut_like_columns(spark):
         assert words[row.doc_id] == row.bag, row.doc_id
 
 
+def test_words_are_those_of_the_column_in_their_order(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    wanted = {r.doc_id: r.words for r in docs.select("doc_id", word_tokens(F.col("text")).alias("words")).collect()}
+    assert {r.doc_id: r.words for r in cut_words(docs, "doc_id").collect()} == wanted
+    assert wanted[0] is None and wanted[1] == []
+
+
 def test_labelled_pairs_need_no_other_profiles(spark, tmp_path, monkeypatch):
     docs = [(i, f"int a{i} ; b", "en", "s") for i in range(6)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")

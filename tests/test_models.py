@@ -141,6 +141,24 @@ def test_fourier_features_stand_for_the_kernel(spark, tmp_path):
     assert score(again) == score(model)
 
 
+def test_skip_grams_learn_from_words_cut_in_batches(spark):
+    """No column of tokens is cut in the plan that is trained on, and every word of the texts has a vector."""
+    docs = spark.createDataFrame([(f"a{i} = b[{i % 3}]; // no word", ) for i in range(12)] + [("",)], "text string")
+    plans = []
+
+    class Trainer(models.Word2Vec):
+        def fit(self, words):
+            plans.append(words._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(words)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(models, "Word2Vec", Trainer)
+        vectors = models.train_word2vec(docs, size=4, rounds=1, partitions=2).getVectors().collect()
+    assert "MapInArrow" in plans[0] and "regexp" not in plans[0]
+    assert {r.word for r in vectors} == {f"a{i}" for i in range(12)} | set("=b[]012;")
+    assert all(len(r.vector) == 4 for r in vectors)
+
+
 def test_word_pairs_by_hand(spark):
     docs = spark.createDataFrame([("a b a c",), ("c b",), ("",), (None,)], "text string")
     counted = Counter()
