@@ -8,125 +8,192 @@ beginnings and ends take turns, which puts each with its own.
 
 Runs can overlap. The longest are taken first; of each further one those pieces are kept that are still free
 in both documents.
+
+Texts move in compressed form to the cells of their pairs, and pairs of equal texts are worked out once in a cell. Tokens and
+their places never become rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import re
+import sys
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from likeness.functions.text import TOKEN_PATTERN, strip_comments
-from likeness.operators.tokens import once
+from likeness.functions.cutting import CODE_PATTERNS, sliced
+from likeness.operators.cells import in_cells
 from likeness.session import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHORTEST = 12
-#: Stands around each token while a text is cut; where a text has it, it is shown as the other one.
+#: Shown in place of a mark that texts were once cut at.
 MARK, SHOWN_MARK = "\x01", "\x02"
-_TILES = "array<struct<i:int,j:int,len:int>>"
-
-
-def token_pieces(text: Column) -> Column:
-    """A text without comments cut at its tokens: what stands before a token, the token, and so on."""
-    bare = F.translate(strip_comments(text), MARK, SHOWN_MARK)
-    return F.split(F.regexp_replace(bare, f"({TOKEN_PATTERN})", f"{MARK}$1{MARK}"), MARK)
 
 
-def section_text(pieces: Column, start: Column, length: Column) -> Column:
-    """The text from a token on, ``length`` tokens and what stands between them."""
-    return F.array_join(F.slice(pieces, 2 * start + 2, 2 * length - 1), "")
-
-
-def run_ends(streams: DataFrame, n: int) -> DataFrame:
-    """N-grams of each document with what stands next to them: (doc_id, is_end, gram, contexts[neighbour, positions[]]).
-
-    Every n-gram may begin a run and may end one; its neighbour is the token before it or the one behind it.
-    """
-    last = F.size("tokens") - n
-    grams = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.md5(F.array_join(F.slice("tokens", i + 1, n), MARK)).alias("gram"),
-            F.get("tokens", i - 1).alias("before"),
-            F.get("tokens", i + n).alias("behind"),
-        ),
-    )
-    spots = streams.select("doc_id", F.explode_outer(F.when(last >= 0, grams)).alias("g")).filter(F.col("g").isNotNull())
-    both = F.array(
-        F.struct(F.lit(False).alias("is_end"), F.col("g.before").alias("neighbour")),
-        F.struct(F.lit(True).alias("is_end"), F.col("g.behind").alias("neighbour")),
-    )
-    marks = spots.select("doc_id", "g.gram", "g.pos", F.explode(both).alias("m")).select("doc_id", "gram", "pos", "m.*")
-    # Placed once for both groupings.
-    placed = marks.repartition("doc_id", "is_end", "gram")
-    by_neighbour = placed.groupBy("doc_id", "is_end", "gram", "neighbour").agg(F.collect_list("pos").alias("positions"))
-    return by_neighbour.groupBy("doc_id", "is_end", "gram").agg(
-        F.collect_list(F.struct("neighbour", "positions")).alias("contexts")
-    )
+def with_text_code(docs: DataFrame) -> DataFrame:
+    """The texts of (doc_id, text) that are not null in compressed form, with a key that is equal for equal texts: (doc_id, key, code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for rows, texts in sliced(batch):
+                data = [None if text is None else text.encode() for text in texts]
+                keys = [None if d is None else blake2b(d, digest_size=16).digest() for d in data]
+                codes = [None if d is None else squeeze.compress(d) for d in data]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "key", "code"])
+
+    schema = StructType([docs.schema["doc_id"], StructField("key", BinaryType()), StructField("code", BinaryType())])
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema).filter("code IS NOT NULL")
+
+
+class Stream:
+    """Tokens of one text as numbers, and its n-grams in the order of what stands before (or behind) them."""
+
+    def __init__(self, tokens: np.ndarray, grams: np.ndarray, base: int):
+        n = len(tokens) - len(grams) + 1
+        self.grams, self.base, self.n = grams, base, n
+        # 0 stands for the border of a text.
+        self.before = grams * base + np.concatenate([[0], tokens[: len(grams) - 1] + 1]).astype("i8") if len(grams) else grams
+        self.behind = grams * base + np.concatenate([tokens[n:] + 1, [0]]).astype("i8") if len(grams) else grams
+        self.by_before, self.by_behind = np.argsort(self.before, kind="stable"), np.argsort(self.behind, kind="stable")
+        self.sorted_before, self.sorted_behind = self.before[self.by_before], self.behind[self.by_behind]
+
+
+def _met(one: Stream, two: Stream, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the same n-gram in both texts where its neighbour differs, or where there is none; by diagonal."""
+    mine, order, theirs = getattr(one, side), getattr(two, f"by_{side}"), getattr(two, f"sorted_{side}")
+    first, end = np.searchsorted(theirs, one.grams * one.base), np.searchsorted(theirs, (one.grams + 1) * one.base)
+    some = np.flatnonzero(end > first)
+    first, end, mine = first[some], end[some], mine[some]
+    border = mine % one.base == 0
+    same, other = np.where(border, first, np.searchsorted(theirs, mine)), np.where(border, first, np.searchsorted(theirs, mine, "right"))
+    counts = np.concatenate([same - first, end - other])
+    i = np.repeat(np.concatenate([some, some]), counts)
+    within = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+    j = order[np.repeat(np.concatenate([first, other]), counts) + within]
+    diagonal = np.lexsort((i, j - i))
+    return i[diagonal], j[diagonal]
+
+
+def runs_between(one: Stream, two: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All longest common runs of two texts: their starts in both and their lengths."""
+    if not len(one.grams) or not len(two.grams):
+        return (np.zeros(0, "i8"),) * 3
+    i, j = _met(one, two, "before")
+    return i, j, _met(one, two, "behind")[0] - i + one.n
+
+
+def tiles_of(i: np.ndarray, j: np.ndarray, lengths: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Sections that do not overlap, longest runs first: their starts in both texts and their lengths, in order."""
+    if not len(i):
+        return []
+    left, right = np.zeros(int((i + lengths).max()), bool), np.zeros(int((j + lengths).max()), bool)
+    tiles = []
+    for k in np.lexsort((j, i, -lengths)).tolist():
+        a, b, size = int(i[k]), int(j[k]), int(lengths[k])
+        taken = left[a : a + size] | right[b : b + size]
+        if not taken.any():
+            pieces = [(0, size)]
+        else:
+            turns = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype("i1")))
+            pieces = [(s, e) for s, e in turns.reshape(-1, 2).tolist() if e - s >= n]
+        for s, e in pieces:
+            left[a + s : a + e] = right[b + s : b + e] = True
+            tiles.append((a + s, b + s, e - s))
+    return sorted(tiles)
+
+
+class TextCell:
+    """What texts of a cell have in common. Each text is cut once, when the first of its pairs comes."""
+
+    def __init__(self, n: int):
+        self.n, self.numbers, self.texts, self.streams, self.last = n, {}, {}, {}, (None, None)
+        self.comments, self.pattern = map(re.compile, CODE_PATTERNS)
+        #: N-grams are numbered by their halves: of each length on the way, the halves known so far in order, and their numbers.
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.expand = zstandard.ZstdDecompressor()
+
+    def grams(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each n-gram, equal for equal ones of all texts of the cell."""
+        size, found = 1, ids
+        while size < self.n:
+            step = min(size, self.n - size)
+            halves, place = np.unique(found[:-step] << 31 | found[step:], return_inverse=True)
+            known, numbers = self.known.get(size + step, (halves[:0], halves[:0]))
+            at = np.searchsorted(known, halves)
+            new = np.append(known, -1)[at] != halves
+            found = np.where(new, len(known) + np.cumsum(new) - 1, np.append(numbers, 0)[at])
+            every = np.concatenate([known, halves[new]])
+            order = np.argsort(every, kind="stable")
+            self.known[size + step] = every[order], np.concatenate([numbers, found[new]])[order]
+            found, size = found[place], size + step
+        return found
+
+    def numbered(self, key, tokens: list[str]) -> None:
+        ids = np.fromiter((self.numbers.setdefault(t, len(self.numbers)) for t in tokens), "i8", len(tokens))
+        self.streams[key] = Stream(ids, self.grams(ids), 1 << 31)
+
+    def cut(self, key, code: bytes) -> None:
+        text = self.comments.sub("", self.expand.decompress(code).decode()).replace(MARK, SHOWN_MARK)
+        places = np.array([m.span() for m in self.pattern.finditer(text)], "i4").reshape(-1, 2)
+        self.texts[key] = text, places
+        self.numbered(key, [text[a:b] for a, b in places.tolist()])
+
+    def sections(self, key1, key2) -> list[tuple]:
+        found = []
+        (one, places1), (two, places2) = self.texts[key1], self.texts[key2]
+        for at, (i, j, length) in enumerate(tiles_of(*runs_between(self.streams[key1], self.streams[key2]), self.n), 1):
+            text1, text2 = one[places1[i, 0] : places1[i + length - 1, 1]], two[places2[j, 0] : places2[j + length - 1, 1]]
+            found.append((at, i, i + length, j, j + length, text1, text2))
+        return found
+
+    def rows(self, key1, key2, codes1: list[bytes], codes2: list[bytes], doc1, doc2) -> Iterator[tuple]:
+        if self.last[0] != (key1, key2):
+            for key, codes in ((key1, codes1), (key2, codes2)):
+                if key not in self.streams:
+                    self.cut(key, codes[0])
+            self.last = (key1, key2), self.sections(key1, key2)
+        for section in self.last[1]:
+            yield doc1, doc2, *section
+
+    def letters(self, row: tuple) -> int:
+        return len(row[-1]) + len(row[-2])
+
+
+class RunCell(TextCell):
+    """The runs themselves, of texts that have been cut before."""
+
+    def rows(self, key1, key2, codes1: list[bytes], codes2: list[bytes]) -> Iterator[tuple]:
+        for key, codes in ((key1, codes1), (key2, codes2)):
+            if key not in self.streams:
+                self.numbered(key, json.loads(codes[0]))
+        for start1, start2, length in zip(*(a.tolist() for a in runs_between(self.streams[key1], self.streams[key2]))):
+            yield key1, key2, start1, start2, length
+
+    def letters(self, row: tuple) -> int:
+        return 0
 
 
 def common_runs(pairs: DataFrame, streams: DataFrame, n: int = SHORTEST) -> DataFrame:
     """All longest common runs of ``n`` or more tokens of the pairs (doc1, doc2): start1, start2, length.
 
-    ``streams`` has (doc_id, tokens). The n-grams of a document that is in very many pairs are different keys, so its
-    meetings are dealt over all tasks.
+    ``streams`` has (doc_id, tokens), a row for each document.
     """
-    ends = stored(run_ends(streams, n), "run-ends")
-    side = lambda k: ends.select(F.col("doc_id").alias(f"doc{k}"), "is_end", "gram", F.col("contexts").alias(f"contexts{k}"))
-    met = pairs.select("doc1", "doc2").join(side(2), "doc2").join(side(1), ["doc1", "is_end", "gram"])
-    first = met.select("doc1", "doc2", "is_end", "contexts2", F.explode("contexts1").alias("c1"))
-    both = first.select("doc1", "doc2", "is_end", "c1", F.explode("contexts2").alias("c2"))
-    # At a document's border there is no token that could make the run longer.
-    open_ended = ~F.col("c1.neighbour").eqNullSafe(F.col("c2.neighbour")) | F.col("c1.neighbour").isNull()
-    spots = (
-        both.filter(open_ended)
-        .select("doc1", "doc2", "is_end", "c2", F.explode("c1.positions").alias("i"))
-        .select("doc1", "doc2", "is_end", "i", F.explode("c2.positions").alias("j"))
-    )
-    diagonal = Window.partitionBy("doc1", "doc2", F.col("j") - F.col("i")).orderBy("i", "is_end")
-    turns = spots.withColumn("end", F.lead("i").over(diagonal))
-    return turns.filter(~F.col("is_end")).select(
-        "doc1", "doc2", F.col("i").alias("start1"), F.col("j").alias("start2"), (F.col("end") - F.col("i") + n).alias("length")
-    )
-
-
-def _free_pieces(tiles: Column, run: Column, n: int) -> Column:
-    """The pieces of a run, of ``n`` tokens or more, that no tile covers in either document."""
-
-    def covered(start: str) -> Column:
-        place = lambda t: F.struct((t[start] - run[start]).alias("lo"), (t[start] - run[start] + t["len"]).alias("hi"))
-        return F.filter(F.transform(tiles, place), lambda c: (c["hi"] > 0) & (c["lo"] < run["len"]))
-
-    def pieces(taken: Column) -> Column:
-        begins = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(taken, lambda c: c["hi"])))
-        free = F.filter(
-            begins, lambda s: (s >= 0) & (s < run["len"]) & ~F.exists(taken, lambda c: (c["lo"] <= s) & (s < c["hi"]))
-        )
-        piece = lambda s: F.struct(
-            (run["i"] + s).alias("i"),
-            (run["j"] + s).alias("j"),
-            (
-                F.coalesce(F.array_min(F.transform(F.filter(taken, lambda c: c["lo"] > s), lambda c: c["lo"])), run["len"]) - s
-            ).alias("len"),
-        )
-        return F.filter(F.transform(F.array_sort(free), piece), lambda p: p["len"] >= n)
-
-    # The covered stretches are put into an array of their own, so that they are worked out once for each run.
-    bound = F.transform(F.array(F.concat(covered("i"), covered("j"))), pieces)
-    return F.flatten(bound)
-
-
-def tiles_of(runs: DataFrame, n: int = SHORTEST) -> DataFrame:
-    """Sections that do not overlap, longest runs first: (doc1, doc2, tiles[i, j, len])."""
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("length")).alias("shortness"), F.col("start1").alias("i"), F.col("start2").alias("j")))
-    )
-    gathered = runs.groupBy("doc1", "doc2").agg(ordered.alias("runs"))
-    as_runs = F.transform("runs", lambda r: F.struct(r["i"].alias("i"), r["j"].alias("j"), (-r["shortness"]).alias("len")))
-    tiled = F.aggregate(
-        as_runs, F.array().cast(_TILES), lambda tiles, run: F.concat(tiles, _free_pieces(tiles, run, n)).cast(_TILES)
-    )
-    return gathered.select("doc1", "doc2", F.array_sort(tiled).alias("tiles"))
+    keyed = pairs.select(F.col("doc1").alias("key1"), F.col("doc2").alias("key2")).filter("key1 IS NOT NULL AND key2 IS NOT NULL")
+    items = streams.filter("tokens IS NOT NULL").select(F.col("doc_id").alias("key"), F.to_json("tokens").cast("binary").alias("code"))
+    places = [StructField(c, IntegerType()) for c in ("start1", "start2", "length")]
+    schema = StructType([StructField("doc1", pairs.schema["doc1"].dataType), StructField("doc2", pairs.schema["doc2"].dataType), *places])
+    return in_cells(keyed, items, lambda: RunCell(n), schema)
 
 
 def overlap_snippets(pairs: DataFrame, docs: DataFrame, n: int = SHORTEST) -> DataFrame:
@@ -134,35 +201,14 @@ def overlap_snippets(pairs: DataFrame, docs: DataFrame, n: int = SHORTEST) -> Da
 
     ``pairs`` has (doc1, doc2), ``docs`` (doc_id, text). A row for each section: doc1, doc2, section (from 1, in the order of doc1),
     start1, end1, start2, end2 (tokens, the end not included), text1, text2 (as they stand, without comments). Sections
-    have ``n`` tokens or more; pairs without any have no row, nor have those of a null text.
+    have ``n`` tokens or more; pairs without any have no row, nor have those of a null text. Rows of an id that comes twice come twice.
     """
     listed = stored(pairs.select("doc1", "doc2").distinct(), "listed")
     ids = listed.select(F.explode(F.array("doc1", "doc2")).alias("doc_id")).distinct()
-    cut = docs.join(ids, "doc_id", "left_semi").select("doc_id", token_pieces(F.col("text")).alias("pieces"))
-    streams = stored(cut, "pieces")
-    tokens = F.transform(F.sequence(F.lit(1), F.size("pieces") - 2, F.lit(2)), lambda k: F.get("pieces", k))
-    tokens = F.when(F.size("pieces") > 2, tokens).otherwise(F.array().cast("array<string>"))
-    runs = common_runs(listed, streams.select("doc_id", once(tokens).alias("tokens")), n)
-    tiled = stored(tiles_of(runs, n), "tiles")
-
-    def with_texts(found: DataFrame, side: int) -> DataFrame:
-        """Sections' texts in one document of the pair, cut out where the document is met."""
-        place = "i" if side == 1 else "j"
-        texts = F.transform("tiles", lambda t: section_text(F.col("pieces"), t[place], t["len"]))
-        named = streams.withColumnRenamed("doc_id", f"doc{side}")
-        return found.join(named, f"doc{side}").withColumn(f"texts{side}", texts).drop("pieces")
-
-    both = with_texts(with_texts(tiled, 2), 1)
-    rows = both.select("doc1", "doc2", F.posexplode(F.arrays_zip("tiles", "texts1", "texts2")).alias("at", "s"))
-    i, j, length = F.col("s.tiles.i"), F.col("s.tiles.j"), F.col("s.tiles.len")
-    return rows.select(
-        "doc1",
-        "doc2",
-        (F.col("at") + 1).alias("section"),
-        i.alias("start1"),
-        (i + length).alias("end1"),
-        j.alias("start2"),
-        (j + length).alias("end2"),
-        F.col("s.texts1").alias("text1"),
-        F.col("s.texts2").alias("text2"),
-    )
+    texts = stored(with_text_code(docs.select("doc_id", "text")).join(ids, "doc_id", "left_semi"), "texts")
+    named = lambda k: texts.select(F.col("doc_id").alias(f"doc{k}"), F.col("key").alias(f"key{k}"))
+    keyed = listed.join(named(2), "doc2").join(named(1), "doc1").select("key1", "key2", "doc1", "doc2")
+    items = texts.groupBy("key").agg(F.first("code").alias("code"))
+    numbers = [StructField(c, IntegerType()) for c in ("section", "start1", "end1", "start2", "end2")]
+    schema = StructType([*listed.schema.fields, *numbers, StructField("text1", StringType()), StructField("text2", StringType())])
+    return in_cells(keyed, items, lambda: TextCell(n), schema, spread_by="doc2")

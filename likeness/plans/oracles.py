@@ -327,8 +327,14 @@ def snippets_sql(percent: int, shortest: int) -> str:
     pieces_of = f"string_split({drop(f"translate({drop('text', COMMENT)}, chr(1), chr(2))", '(' + TOKEN + ')', chr(1) + chr(92) + '1' + chr(1))}, chr(1))"
     text = lambda side, axis: f"array_to_string({side}.pieces[2 * tile.{axis} + 2 : 2 * (tile.{axis} + tile.len)], '')"
     return f"""{candidates_sql(percent)},
-    firsts AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS i, token FROM found JOIN t ON doc_id = doc1),
-    seconds AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS j, token FROM found JOIN t ON doc_id = doc2),
+    listed AS MATERIALIZED (
+      SELECT least(x.doc_id, y.doc_id) AS doc1, greatest(x.doc_id, y.doc_id) AS doc2
+      FROM found JOIN grouped g ON g.doc_id = doc1 JOIN grouped h ON h.doc_id = doc2 JOIN total x ON x.bag_text = g.bag_text JOIN total y ON y.bag_text = h.bag_text
+      WHERE NOT is_copy
+      UNION
+      SELECT x.doc_id, y.doc_id FROM total x JOIN total y USING (bag_text) WHERE x.doc_id < y.doc_id),
+    firsts AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS i, token FROM listed JOIN t ON doc_id = doc1),
+    seconds AS MATERIALIZED (SELECT doc1, doc2, pos::BIGINT AS j, token FROM listed JOIN t ON doc_id = doc2),
     cells AS MATERIALIZED (SELECT doc1, doc2, i, j FROM firsts JOIN seconds USING (doc1, doc2, token)),
     common AS MATERIALIZED (
       SELECT doc1, doc2, min(i) AS i, min(j) AS j, count(*) AS len

@@ -155,6 +155,17 @@ def test_candidates_are_all_pairs_with_their_overlap(spark, monkeypatch):
     assert {(r.doc1, r.doc2): r for r in candidates.candidate_pairs(frame).collect()} == found
 
 
+def test_every_pair_of_copies_and_near_copies_is_listed(spark):
+    """Copies are linked to their first document only; listed are each two of them, and each with the near copies of the others."""
+    rng = random.Random(6)
+    text = [f"w{rng.randrange(400)}" for _ in range(150)]
+    docs = [(i, " ".join(text)) for i in range(0, 60, 3)] + [(i, " ".join(text[:145])) for i in range(1, 20, 6)] + [(200, "x y"), (201, "x y"), (202, "alone")]
+    found = candidates.candidate_pairs(spark.createDataFrame(docs + docs[:2], "doc_id int, text string"))
+    near = [i for i, _ in docs if i < 200]
+    listed = sorted(map(tuple, candidates.listed_pairs(found).distinct().collect()))
+    assert listed == sorted([(a, b) for a in near for b in near if a < b] + [(200, 201)])
+
+
 def test_candidates_recall_pairs_of_the_exact_join(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     near = [(i, t.text) for i, t in enumerate(docs.limit(60).collect())]

@@ -85,3 +85,26 @@ def test_a_run_is_met_at_its_ends_only(spark):
     streams = docs.selectExpr("doc_id", "split(trim(text), ' ') AS tokens")
     runs = sections.common_runs(spark.createDataFrame([(1, 2)], "doc1 long, doc2 long"), streams, 12)
     assert 400 < runs.count() < 520
+
+
+def test_snippets_of_every_copy(spark, tmp_path):
+    """The query has sections of copies with each other and of each copy with near copies, not of the first one only."""
+    from likeness.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(500)}" for _ in range(120)]
+    turned = words[60:] + words[:60]
+    texts = [" ".join(words), " ".join(words[:115]), " ".join(words), " ".join(words[:115]), " ".join(turned), "few words", "few words"]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in QUERIES["overlap_snippets"](spark, str(tmp_path)).collect():
+        found.setdefault((r.doc1, r.doc2), []).append((r.start1, r.start2, r.end1 - r.start1))
+    cut = [t.split() for t in texts]
+    assert {k: sorted(v) for k, v in found.items()} == {(a, b): tiles_of(runs_of(cut[a], cut[b], 12), 12) for a in range(5) for b in range(a + 1, 5)}
+
+
+def test_ids_that_come_twice_come_twice(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "x a b c d")], "doc_id long, text string")
+    found = sections.overlap_snippets(spark.createDataFrame([(1, 2)], "doc1 long, doc2 long"), docs, 3).collect()
+    assert [(r.section, r.start1, r.end1, r.start2, r.end2) for r in found] == [(1, 0, 4, 1, 5)] * 2
