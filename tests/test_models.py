@@ -89,6 +89,13 @@ def test_search_returns_the_best(examples):
     assert found.bestModel.getMaxIter() == 3
 
 
+def test_search_tries_the_full_grid_unless_told_otherwise(spark, examples, monkeypatch):
+    tried = []
+    monkeypatch.setattr(models.CrossValidator, "fit", lambda self, rows: tried.append(self.getEstimatorParamMaps()))
+    models.grid_search_cv(examples.filter("is_train"), ["id"])
+    assert len({tuple(sorted((p.name, v) for p, v in params.items())) for params in tried[0]}) == 324
+
+
 def test_embeddings_are_means_of_known_words(spark):
     from pyspark.ml.linalg import Vectors
 
