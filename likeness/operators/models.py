@@ -28,15 +28,14 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from likeness.functions.cutting import counted_tokens, cut_words, near_totals, near_words
+from likeness.functions.cutting import counted_tokens, cut_words, near_totals, near_words, word_sums
 from likeness.operators.evaluate import class_weights, threshold_predict, vote_predict
 from likeness.operators.ranking import hash_rank
-from likeness.operators.similarity import attach, cosine_similarity
+from likeness.operators.similarity import attach, attach_firsts, cosine_similarity
 from likeness.operators.splits import folds
 from likeness.session import shared_folder, stored
 
@@ -56,6 +55,10 @@ FACTOR_ROUNDS = 10
 #: Blocks of words in the factorisation, at least, and values in one block at most, while the session's number of partitions allows it.
 FACTOR_BLOCKS = 8
 BLOCK_RATINGS = 1 << 23
+#: Values of word vectors that every task holds, at most.
+HELD_VALUES = 1 << 23
+#: Marks by which tasks leave out most words that have no vector.
+MARKS = 1 << 24
 NETWORK_ROUNDS = 30
 FULL_GRID = {
     "maxDepth": [3, 4, 5, 6],
@@ -405,20 +408,56 @@ def train_word_factors(
     return numbered.select("word", "number").join(factors, "number").select("word", "vector")
 
 
-def doc_embedding(docs: DataFrame, vectors: DataFrame, size: int = EMBEDDING_SIZE, text: str = "text") -> DataFrame:
+def _held_words(docs: DataFrame, vectors: DataFrame, size: int, text: str, held: int) -> tuple[list[str], np.ndarray, np.ndarray, DataFrame | None]:
+    """Words whose vectors every task holds, their summed vectors and the number of these; and what vectors are left, if any.
+
+    All words, if together they have at most ``held`` values; else those that most documents have.
+    """
+    most = max(1, held // size)
+    if vectors.count() <= most:
+        chosen, rest = vectors, None
+    else:
+        bags = counted_tokens(docs, "doc_id", text=text, words=True).select(F.explode_outer("bag").alias("w"))
+        counts = bags.groupBy("w.token").agg(F.count("*").alias("docs")).withColumnRenamed("token", "word")
+        words = stored(vectors.select("word").distinct().join(counts, "word").orderBy(F.desc("docs"), "word").limit(most), "held-words")
+        chosen, rest = vectors.join(words.select("word"), "word", "left_semi"), vectors.join(words.select("word"), "word", "left_anti")
+    got = chosen.toArrow()
+    names = got.column("word").to_pylist()
+    values = np.array(got.column("vector").combine_chunks().flatten(), "f8").reshape(len(names), -1)
+    known: dict[str, int] = {}
+    place = np.fromiter((known.setdefault(word, len(known)) for word in names), "i8", len(names))
+    table = np.zeros((len(known), values.shape[1] if len(names) else size))
+    np.add.at(table, place, values)
+    return list(known), table, np.bincount(place, minlength=len(known)).astype("f8"), rest
+
+
+def _marks(vectors: DataFrame) -> np.ndarray:
+    """Marks that let the words of a table pass and few others; all pass where there are very many."""
+    marks = np.ones(1, bool)
+    if vectors.count() <= MARKS >> 4:
+        marks = np.zeros(MARKS, bool)
+        marks[np.array(vectors.select((F.crc32(F.col("word").cast("binary")) % MARKS).alias("at")).toArrow().column("at"), "i8")] = True
+    return marks
+
+
+def doc_embedding(docs: DataFrame, vectors: DataFrame, size: int = EMBEDDING_SIZE, text: str = "text", held: int = HELD_VALUES) -> DataFrame:
     """Mean vector of the known words of each document, repeats counted; zeros if none is known.
 
-    ``vectors`` has (word, vector). Words are counted per document before they meet their vectors.
+    ``vectors`` has (word, vector). Vectors of common words, up to ``held`` values, go to every task, where a document's words are
+    counted and its vectors summed; only rarer words move to their vectors.
     """
-    counted = counted_tokens(docs, "doc_id", text=text, words=True).select("doc_id", F.explode_outer("bag").alias("w"))
-    known = (
-        counted.filter(F.col("w").isNotNull())
-        .select("doc_id", F.col("w.token").alias("word"), F.col("w.cnt").cast("double").alias("cnt"))
-        .join(vectors, "word")
-        .groupBy("doc_id")
-        .agg(Summarizer.mean(F.col("vector"), F.col("cnt")).alias("mean"))
-        .select("doc_id", vector_to_array("mean").alias("embedding"))
-    )
+    plain = stored(vectors.filter("word IS NOT NULL").select("word", vector_to_array("vector").alias("vector")), "vectors")
+    words, table, times, rest = _held_words(docs, plain, size, text, held)
+    summed = word_sums(docs, words, table, times, None if rest is None else _marks(rest), text=text)
+    if rest is not None:
+        summed = stored(summed, "sums")
+        met = summed.filter("word IS NOT NULL").select("doc_id", "word", F.col("cnt").cast("double").alias("weight")).join(rest, "word")
+        scaled = F.transform("vector", lambda x: x * F.col("weight"))
+        summed = summed.filter("word IS NULL").select("doc_id", "total", "weight").unionByName(met.select("doc_id", scaled.alias("total"), "weight"))
+    # One row for a document, with those of its rare words.
+    gathered = summed.groupBy("doc_id").agg(F.collect_list("total").alias("totals"), F.sum("weight").alias("weight"))
+    total = F.aggregate(F.slice("totals", 2, 1 << 30), F.get("totals", F.lit(0)), lambda acc, t: F.zip_with(acc, t, lambda x, y: x + y))
+    known = gathered.select("doc_id", F.transform(total, lambda x: x / F.col("weight")).alias("embedding"))
     zeros = F.array_repeat(F.lit(0.0), size)
     return docs.select("doc_id").join(known, "doc_id", "left").select(
         "doc_id", F.coalesce("embedding", zeros).alias("embedding")
@@ -427,7 +466,7 @@ def doc_embedding(docs: DataFrame, vectors: DataFrame, size: int = EMBEDDING_SIZ
 
 def nn_pair_vector(pairs: DataFrame, embeddings: DataFrame, out: str = "features") -> DataFrame:
     """Add ``[embedding 1, embedding 2, cosine]`` and the cosine to a pair table."""
-    both = attach(attach(pairs, embeddings, 2), embeddings, 1)
+    both = attach(attach_firsts(pairs, embeddings), embeddings, 2)
     cosine = cosine_similarity(F.col("embedding1"), F.col("embedding2"))
     return (
         both.withColumn("cosine", cosine)

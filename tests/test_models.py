@@ -109,6 +109,29 @@ def test_embeddings_are_means_of_known_words(spark):
     assert len(vector[1].features) == 5
 
 
+@pytest.mark.parametrize("held", [1, 4, 100])
+def test_embeddings_are_the_same_however_many_vectors_are_held(spark, held):
+    """Words held by every task and words that move give one mean; an id's rows count together, a word's vectors each."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 1.0]), ("c", [1.0, 1.0]), ("d", [0.5, 0.0])]
+    vectors = spark.createDataFrame([(w, Vectors.dense(v)) for w, v in rows], ["word", "vector"])
+    docs = spark.createDataFrame([(1, "a a b zz"), (2, "c c a"), (3, None), (4, "d"), (4, "b b zz"), (None, "a")], "doc_id int, text string")
+    found = sorted(((r.doc_id or 0, tuple(round(x, 9) for x in r.embedding)) for r in models.doc_embedding(docs, vectors, 2, held=held).collect()))
+    four = (round(0.5 / 3, 9), round(4 / 3, 9))
+    assert found == [(0, (0.0, 0.0)), (1, (round(2 / 3, 9),) * 2), (2, (1.8, 0.8)), (3, (0.0, 0.0)), (4, four), (4, four)]
+
+
+def test_no_vector_moves_where_all_are_held(spark):
+    """Where all words are held they are summed as texts are cut, and only the sums meet the documents."""
+    from pyspark.ml.linalg import Vectors
+
+    vectors = spark.createDataFrame([(f"w{i}", Vectors.dense([float(i)])) for i in range(30)], ["word", "vector"])
+    docs = spark.createDataFrame([(1, "w1 w2"), (2, "w3")], "doc_id int, text string")
+    plan = models.doc_embedding(docs, vectors, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_bootstrap_repeats_rows(spark):
     drawn = splits.bootstrap(spark.range(399), ["id"], 0.8)
     assert drawn.count() == 319 and drawn.distinct().count() < 319
