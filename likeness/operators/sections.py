@@ -19,17 +19,15 @@ import json
 import re
 import sys
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from likeness.functions.cutting import CODE_PATTERNS, sliced
+from likeness.functions.cutting import CODE_PATTERNS, with_text_code
 from likeness.operators.cells import in_cells
 from likeness.session import stored
 
@@ -40,22 +38,6 @@ SHORTEST = 12
 MARK, SHOWN_MARK = "\x01", "\x02"
 
 
-def with_text_code(docs: DataFrame) -> DataFrame:
-    """The texts of (doc_id, text) that are not null in compressed form, with a key that is equal for equal texts: (doc_id, key, code)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for rows, texts in sliced(batch):
-                data = [None if text is None else text.encode() for text in texts]
-                keys = [None if d is None else blake2b(d, digest_size=16).digest() for d in data]
-                codes = [None if d is None else squeeze.compress(d) for d in data]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "key", "code"])
-
-    schema = StructType([docs.schema["doc_id"], StructField("key", BinaryType()), StructField("code", BinaryType())])
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema).filter("code IS NOT NULL")
-
-
 class Stream:
     """Tokens of one text as numbers, and its n-grams in the order of what stands before (or behind) them."""
 

@@ -142,3 +142,19 @@ def test_saved_lines_are_json(spark, tmp_path):
             with open(f"{tmp_path}/r/{part}") as f:
                 lines += f.readlines()
     assert [json.loads(line) for line in lines] == [{"batch_id": "b", "page": 1}]
+
+
+def test_shuffles_of_a_stored_table_do_not_stay(spark):
+    """Once a table is written, what was shuffled for it takes no disk; a table made from it is whole."""
+    from likeness.session import stored
+
+    def blocks():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = local.getAllFiles()
+        return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(5, "k").groupBy("k").count()
+    before = blocks()
+    kept = stored(rows, "counted")
+    assert blocks() <= before
+    assert kept.count() == 7 and rows.count() == 7
